@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +41,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def bounded(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
+    """Consecutive parts of about ``most`` characters, one text at least."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part

@@ -20,21 +20,26 @@ from .common import cut, documents, text_or_empty
 
 CAPACITY, END = 4096, 1
 #: Remembered words of a task, at most.
-REMEMBER = 1_000_000
+REMEMBER = 400_000
 #: Python's split() takes these for white space and the tokenizer does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Letters with their own lower case and composition, then marks: two pre-tokens at most, in any letter case.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*+,./:;=?@^_|~-]*)").fullmatch
+#: fixed values: in texts of these characters alone (basic Latin, Latin-1, common punctuation) the tokenizer's own pattern is PRETOKEN
+OTHER = re.compile("[^\t-\r -~\x85\xa0-\xff\u2010-\u2027\u2030-\u205e\u20ac]|<\\|")
+LETTER, DIGIT, BLANK = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{BLANK}{LETTER}{DIGIT}]+")
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizer whose tokens never cross white space, as little-endian 32-bit bytes; remembers words."""
+    """Ids of whole texts by a lower-casing tokenizer whose tokens never cross white space, as little-endian 32-bit bytes.
+
+    Plain texts are split by the tokenizer's pattern and each distinct pre-token is given to the tokenizer once; other texts are given to
+    it word by word, or whole where Python and the tokenizer disagree on white space.
+    """
 
     def __init__(self, path: str, remember: int = REMEMBER):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.seen, self.remember = Tokenizer.from_file(path), {}, remember
-        self.cores: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -46,21 +51,13 @@ class WordIds:
         seen = self.seen
         if len(seen) > self.remember:
             seen.clear()
-            self.cores.clear()
-        words = [None if ODD_SPACE.search(t) else t.split() for t in texts]
-        new = set().union(*(ws for ws in words if ws)) - seen.keys()
-        plain = {w: m for w in new if (m := PLAIN(w))}
-        other = [w for w in new if w not in plain]
-        seen.update(zip(other, self._words(other), strict=True))
-        cores, lower = self.cores, {w: (m[1].lower(), m[2]) for w, m in plain.items()}
-        missing = list({x for pair in lower.values() for x in pair if x and x not in cores})
-        letters = [x for x in missing if x[0].isalpha()]
-        cores.update(zip(letters, self._letters(letters), strict=True))
-        marks = [x for x in missing if not x[0].isalpha()]
-        cores.update(zip(marks, self._words(marks), strict=True))
-        cores[""] = b""
-        seen.update((w, cores[a] + cores[b]) for w, (a, b) in lower.items())
-        return [self._encode([t])[0] if ws is None else b"".join(map(seen.__getitem__, ws)) for t, ws in zip(texts, words, strict=True)]
+        split = [PRETOKEN.findall(t.lower()) if not OTHER.search(t) else None if ODD_SPACE.search(t) else t.split() for t in texts]
+        new = set().union(*(s for s in split if s)) - seen.keys()
+        letters = [x for x in new if x.isalpha() and x.islower() and max(x) <= "ÿ"]
+        seen.update(zip(letters, self._letters(letters), strict=True))
+        rest = [x for x in new if x not in seen]
+        seen.update(zip(rest, self._words(rest), strict=True))
+        return [self._encode([t])[0] if s is None else b"".join(map(seen.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
 
     def _letters(self, new: list[str]) -> list[bytes]:
         """Runs of letters, each of which is one pre-token: an id that ends a word ends one of them."""

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, token_counts
+from . import exact_dedup, fingerprints, html_text, mixing, packing, quality, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_quality_classifier": quality.op3_quality_classifier,
+        "op4_syncmer_fingerprints": fingerprints.op4_syncmer_fingerprints,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op6_pfair_mixing": mixing.op6_pfair_mixing,
+        "op8_html_extraction": html_text.op8_html_extraction,
         "op7_token_counts": token_counts.op7_token_counts,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }

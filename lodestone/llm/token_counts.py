@@ -15,14 +15,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty
+from .common import bounded, documents, text_or_empty
 
 LIMIT = 512
 #: White space as the library's pattern has it (Unicode White_Space).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PRETOKEN = f"'s|'t|'re|'ve|'m|'ll|'d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{SPACE}\\p{{L}}\\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: The pieces of a batch that are remembered between batches, at most.
-REMEMBER = 1_000_000
+REMEMBER = 400_000
 
 
 class RankMerger:
@@ -124,19 +124,6 @@ class TokenCounter:
         return [sum(map(seen.__getitem__, ps)) + k for ps, k in zip(parts, special, strict=True)]
 
 
-def bounded(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
-    """Consecutive parts of about ``most`` characters at least one text each."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of each row's whole text.
 
