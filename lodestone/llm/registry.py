@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, html_text, mixing, packing, quality, token_counts, toxicity
+from . import exact_dedup, fingerprints, html_text, mixing, near_dedup, packing, quality, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_quality_classifier": quality.op3_quality_classifier,
         "op4_syncmer_fingerprints": fingerprints.op4_syncmer_fingerprints,
