@@ -1,11 +1,47 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: from raw documents to packed training sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the last return the columns of documents.
+"""
+
+from lodestone.llm import exact_dedup, mixing, near_dedup, packing, toxicity
+from lodestone.llm.common import cut, documents
+
+
+def drop_toxic(spark, docs, sf_dir):
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark, docs, sf_dir):
+    return exact_dedup.keep_first(docs)
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    return near_dedup.keep_one(docs)
+
+
+def mix_sources(spark, docs, sf_dir):
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark, docs, sf_dir):
+    return packing.pack(docs, "word_bpe_49k.json")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: SQL can express neither a learned lexicon nor a tokenizer; tests/llm hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = documents(spark, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs)
     return docs
