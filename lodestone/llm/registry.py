@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, html_text, mixing, near_dedup, packing, quality, token_counts, toxicity
+from . import exact_dedup, fingerprints, html_text, mixing, near_dedup, packing, quality, repeats, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_pfair_mixing": mixing.op6_pfair_mixing,
         "op8_html_extraction": html_text.op8_html_extraction,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
