@@ -6,7 +6,7 @@ later than all registers of its text. Two registers agree with the probability J
 each pair is verified by its exact probability Jaccard, and verified pairs join texts into classes.
 
 Pairs are never listed bucket by bucket. In each round every bucket names leaders, all its members meet the leaders, and leaders leave; a
-bucket whose members are all in one class is done. The number of leaders doubles, so that no link between two classes is lost.
+bucket whose members are all in one class is done. The number of leaders grows fourfold, so that no link between two classes is lost.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def shingles(text: str, known: dict[str, int], words: int = WORDS) -> np.ndarray
     ws = text.lower().split()
     if not ws:
         return np.zeros(0, np.uint64)
-    for w in set(ws) - known.keys():
+    for w in {w for w in ws if w not in known}:
         known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
     h = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
     n = min(words, len(h))
@@ -64,8 +64,8 @@ def prob_minhash(sets: list[tuple[np.ndarray, np.ndarray]], registers: int) -> n
         np.minimum.at(best, at[first], time[first])
         won = np.flatnonzero(first)[time[first] == best[at[first]]]
         winner[at[won]] = item[won]
-        latest = best.reshape(-1, registers).max(1)
-        live = time < latest[doc]
+        still, place = np.unique(doc, return_inverse=True)
+        live = time < best.reshape(-1, registers)[still].max(1)[place]
         doc, item, rate, time = doc[live], item[live], rate[live], time[live]
     return winner.reshape(len(sets), registers)
 
@@ -206,7 +206,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
         rest = cut(rest.select("bucket", "node", "label"))
         unsettled = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
         open_ = cut(rest.join(unsettled, "bucket"))
-        leaders_wanted *= 2
+        leaders_wanted *= 4
     if labels is None:
         of_rep = first.select("key", F.col("node").alias("label"), F.lit(0).cast("long").alias("n_links"))
     else:
