@@ -8,6 +8,7 @@ rank among the pieces of its length. Ranks come from counts of each task's piece
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,6 +40,7 @@ class WordIds:
     def __init__(self, path: str, remember: int = REMEMBER):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each further thread would keep memory of its own
         self.tokenizer, self.seen, self.remember = Tokenizer.from_file(path), {}, remember
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -63,10 +65,9 @@ class WordIds:
         """Runs of letters, each of which is one pre-token: an id that ends a word ends one of them."""
         if not new:
             return []
-        parts = [new[at : at + 4096] for at in range(0, len(new), 4096)]
         out: list[bytes] = []
-        for e in self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False):
-            ids = np.array(e.ids, dtype="<u4")
+        for at in range(0, len(new), 4096):
+            ids = np.frombuffer(self._encode([" ".join(new[at : at + 4096])])[0], dtype="<u4")
             ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             blob = ids.tobytes()
             out += [blob[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
