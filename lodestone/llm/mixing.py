@@ -2,8 +2,10 @@
 
 A source's rows, in a hashed order, fill blocks of equal text length. With weight w, its block i may not come before slot floor(i/w) and
 must come before ceil((i+1)/w); earliest deadline first then keeps every source within one block of its share at every point. Weights are
-whole slots of a frame, so the schedule repeats frame by frame: the driver schedules one frame, whose size depends on the number of
-sources alone, and each block finds its slot from it. Running lengths come from sums of small buckets, at two levels.
+whole slots of a frame, so the schedule repeats frame by frame. When a source runs out, at whatever slot of a frame, a phase ends: the
+source is dropped and the next phase goes on with the target weights of the others, until all have run out. The driver schedules one
+frame a phase, from the sources' block counts alone, and each block finds its slot from it. Running lengths come from sums of small
+buckets, at two levels.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from .common import documents
 
 BLOCK_CHARS, FRAME, TEMPERATURE = 16_384, 4096, 0.5
 BUCKET_ROWS = 64
+#: Slots of the scheduled frames of all phases, about: with more sources than MOST_SLOTS / FRAME, frames are shorter.
+MOST_SLOTS = 1 << 20
 
 
 def whole_slots(weights: dict[str, float], frame: int) -> dict[str, int]:
@@ -32,23 +36,55 @@ def whole_slots(weights: dict[str, float], frame: int) -> dict[str, int]:
     return slots
 
 
-def one_frame(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block in the frame, slot, release, deadline) by earliest deadline first among released blocks."""
-    frame = sum(slots.values())
-    window = {s: [(i * frame // q, -(-(i + 1) * frame // q)) for i in range(q)] for s, q in slots.items()}
-    releases: dict[int, list[tuple[str, int]]] = {}
-    for s, ws in window.items():
-        for i, (r, _) in enumerate(ws):
-            releases.setdefault(r, []).append((s, i))
+def one_frame(slots: dict[str, int], ends: dict[str, int] | None = None) -> list[tuple[str, int, int, int, int]]:
+    """(source, block in the frame, slot, release, deadline) by earliest deadline first among released blocks.
+
+    The list stops after the first block that is its source's last by ``ends`` (source, block in the frame).
+    """
+    frame, ends = sum(slots.values()), ends or {}
+    releases: dict[int, list[tuple[str, int]]] = {0: [(s, 0) for s in slots]}
     ready, out = [], []
     for slot in range(frame):
-        for s, i in releases.get(slot, ()):
-            heapq.heappush(ready, (window[s][i][1], s, i))
+        for s, i in releases.pop(slot, ()):
+            heapq.heappush(ready, (-(-(i + 1) * frame // slots[s]), s, i))
         deadline, s, i = heapq.heappop(ready)
-        out.append((s, i, slot, window[s][i][0], deadline))
+        out.append((s, i, slot, i * frame // slots[s], deadline))
+        if ends.get(s) == i:
+            break
+        if i + 1 < slots[s]:
+            releases.setdefault(max(slot + 1, (i + 1) * frame // slots[s]), []).append((s, i + 1))
     return out
 
 
+def phases(blocks: dict[str, int], target: dict[str, float], frame: int) -> tuple[list[tuple], list[tuple]]:
+    """The schedule of ``blocks`` of each source: what each phase takes of each source, and the slots of one frame a phase.
+
+    The first list has (phase, source, first block, first block after, slots of a frame, frame, first slot); the second has (phase,
+    source, block in the frame, slot, release, deadline). A phase ends when one source has run out. Sources without a target weight
+    follow when all others have run out, in proportion to their blocks.
+    """
+    parts, table = [], []
+    done, begin, phase = dict.fromkeys(blocks, 0), 0, 0
+    for weights in (target, {s: n for s, n in blocks.items() if s not in target}):
+        active = {s: w for s, w in weights.items() if blocks[s] > 0}
+        while active:
+            phase += 1
+            size = max(4 * len(active), min(frame, MOST_SLOTS // len(blocks)))
+            slots = whole_slots(active, size)
+            whole = min((blocks[s] - done[s] - 1) // q for s, q in slots.items())
+            ends = {s: n % q for s, q in slots.items() if (n := blocks[s] - done[s] - 1) // q == whole}
+            last = one_frame(slots, ends)
+            table += [(phase, *x) for x in (one_frame(slots) if whole else last)]
+            took = {s: whole * q for s, q in slots.items()}
+            for s, *_ in last:
+                took[s] += 1
+            parts += [(phase, s, done[s], done[s] + n, slots[s], size, begin) for s, n in took.items() if n]
+            done |= {s: done[s] + n for s, n in took.items()}
+            begin += whole * size + len(last)
+            active = {s: w for s, w in active.items() if done[s] < blocks[s]}
+    return parts, table
+
+
 def keyed(docs: DataFrame, bits: int) -> DataFrame:
     h = F.xxhash64(F.lit("mix"), "doc_id", "text")
     fine = F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")
@@ -58,10 +94,10 @@ def keyed(docs: DataFrame, bits: int) -> DataFrame:
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, frame: int = FRAME, temperature: float = TEMPERATURE) -> DataFrame:
     """``docs`` with m_block, m_phase, m_release, m_deadline, m_slot and m_offset: the mixed order is by (m_slot, m_offset).
 
-    Every row stays. In phase 1 all sources keep to the target weights, within one block; it ends with the last whole frame that every
-    source can fill. Phase 2 is what is left, each source in proportion to what it has left. ``weights`` defaults to the sources' text
-    lengths to the power ``temperature``; sources it does not name come in phase 2 only. A null source is the source "". Null texts have
-    length 0. Rows that agree in id and text may swap places. An empty table gives an empty result.
+    Every row stays. In each phase the sources that are left keep to their target weights, within one block; it ends when one of them
+    has run out. ``weights`` defaults to the sources' text lengths to the power ``temperature``; sources it does not name come after all
+    others, in proportion to their lengths. A null source is the source "". Null texts have length 0. Rows that agree in id and text may
+    swap places. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     bits = max(0, (docs.count() // BUCKET_ROWS).bit_length())
@@ -75,12 +111,8 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_cha
     blocks = {s: max(1, -(-n // block_chars)) for s, n in totals.items()}
     frame = max(4 * len(totals), min(frame, sum(blocks.values()) // 16))
     target = {s: max(1, totals[s]) ** temperature for s in totals} if weights is None else {s: w for s, w in weights.items() if w > 0 and s in totals}
-    q1 = whole_slots(target, frame) if target else {}
-    frames = min((blocks[s] // q for s, q in q1.items()), default=0)
-    left = {s: blocks[s] - frames * q1.get(s, 0) for s in blocks}
-    q2 = whole_slots({s: n for s, n in left.items() if n > 0}, frame) if any(n > 0 for n in left.values()) else {}
-    quota = spark.createDataFrame([(s, frames * q1.get(s, 0), q1.get(s, 1), q2.get(s, 1)) for s in totals], "m_source string, m_first long, m_q1 long, m_q2 long")
-    table = [(p, *x) for p, q in ((1, q1), (2, q2)) if q for x in one_frame(q)]
+    parts, table = phases(blocks, target, frame)
+    quota = spark.createDataFrame([(*x, blocks[x[1]] - 1) for x in parts], "m_phase long, m_source string, m_first long, m_until long, m_q long, m_size long, m_begin long, m_last long")
     slots = spark.createDataFrame(table, "m_phase long, m_source string, m_nth long, f_slot long, f_release long, f_deadline long")
 
     ahead = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
@@ -90,14 +122,13 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_cha
     base = base.join(base_up, ["m_source", "coarse"]).select("m_source", "m_fine", (F.col("base") + F.col("up")).alias("m_base"))
     run = F.coalesce(F.sum("m_chars").over(ahead("m_source", "m_fine").orderBy("m_hash", "doc_id")), zero)
     start = rows.withColumn("m_run", run).join(base, ["m_source", "m_fine"]).withColumn("m_start", F.col("m_base") + F.col("m_run"))
-    block = F.least(F.floor(F.col("m_start") / block_chars), F.lit(2**62)).cast("long")
-    placed = start.withColumns({"m_block": block, "m_offset": F.col("m_start") % block_chars}).join(F.broadcast(quota), "m_source")
-    second = F.col("m_block") >= F.col("m_first")
-    placed = placed.withColumn("m_phase", F.when(second, 2).otherwise(1).cast("long")).withColumn("m_q", F.when(second, F.col("m_q2")).otherwise(F.col("m_q1")))
-    placed = placed.withColumn("m_k", F.when(second, F.col("m_block") - F.col("m_first")).otherwise(F.col("m_block")))
+    filled = start.withColumn("m_full", F.floor(F.col("m_start") / block_chars).cast("long"))
+    block = F.least("m_full", "m_last")  # empty texts at a source's end begin where its last block ends
+    placed = filled.join(F.broadcast(quota.withColumnRenamed("m_source", "q_source")), (F.col("m_source") == F.col("q_source")) & (block >= F.col("m_first")) & (block < F.col("m_until")))
+    placed = placed.withColumn("m_block", block).withColumn("m_offset", F.col("m_start") - F.col("m_block") * block_chars).withColumn("m_k", F.col("m_block") - F.col("m_first"))
     placed = placed.withColumns({"m_nth": F.col("m_k") % F.col("m_q"), "m_frame": F.floor(F.col("m_k") / F.col("m_q")).cast("long")})
     placed = placed.join(F.broadcast(slots), ["m_phase", "m_source", "m_nth"])
-    begin = (F.when(F.col("m_phase") == 2, frames).otherwise(0) + F.col("m_frame")) * F.lit(frame).cast("long")
+    begin = F.col("m_begin") + F.col("m_frame") * F.col("m_size")
     out = placed.withColumns({"m_release": begin + F.col("f_release"), "m_deadline": begin + F.col("f_deadline"), "m_slot": begin + F.col("f_slot")})
     return out.select(*docs.columns, "m_block", "m_phase", "m_release", "m_deadline", "m_slot", "m_offset")
 

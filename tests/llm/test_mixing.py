@@ -58,3 +58,36 @@ def test_hard_rows(spark):
     assert kept.columns == docs.columns and Counter(map(tuple, kept.collect())) == Counter(rows)
     assert mixing.schedule(docs, {"s": 0.5, "gone": 0.5}).count() == 6
     assert mixing.schedule(docs.where("false")).count() == 0
+
+
+def test_weights_hold_until_one_source_is_left(spark):
+    blocks = {"hot": 500, **{f"s{i}": 70 + i for i in range(8)}, "": 1}
+    target = {s: n**0.5 for s, n in blocks.items()}
+    parts, table = mixing.phases(blocks, target, 256)
+    nth = {(p, s, i): slot for p, s, i, slot, *_ in table}
+    order = {begin + k // q * size + nth[p, s, k % q]: (s, first + k) for p, s, first, until, q, size, begin in parts for k in range(until - first)}
+    assert sorted(order) == list(range(sum(blocks.values()))) and sorted(order.values()) == [(s, i) for s in sorted(blocks) for i in range(blocks[s])]
+    phase = 0
+    while True:
+        phase += 1
+        mine = [x for x in parts if x[0] == phase]
+        left = {s for p, s, *_ in parts if p >= phase}
+        if len(left) < 2:
+            break
+        begin, end = mine[0][6], min((x[6] for x in parts if x[0] == phase + 1), default=sum(blocks.values()))
+        share = mixing.whole_slots({s: target[s] for s in left}, mine[0][5])
+        seen = Counter()
+        for slot in range(begin, end):
+            seen[order[slot][0]] += 1
+            assert all(abs(seen[s] - q * (slot - begin + 1) / mine[0][5]) < 1 for s, q in share.items())
+    assert all(order[slot][0] == "hot" for slot in range(mine[0][6], sum(blocks.values())))
+
+
+def test_a_tiny_source_does_not_end_the_weights(spark):
+    rows = [(i, "x" * 100, "big" if i % 5 else "small", 0, "x") for i in range(2000)] + [(2000, "y", None, 0, "x"), (2001, "", "big", 0, "x")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("m_slot", "slot")
+    got = mixing.schedule(docs, block_chars=100, frame=64).collect()
+    assert len(got) == len(rows) and max(r["m_slot"] for r in got) == 2000
+    small = sorted(r["m_slot"] for r in got if r["source"] == "small")
+    assert len(small) == 400 and 1100 < small[-1] < 1300  # weights 2 to 1: all of the 400 are in the first 1200 slots or so
+    assert all(abs(sum(s < at for s in small) - at / 3) < 0.03 * at + 5 for at in range(100, 1100, 100))
