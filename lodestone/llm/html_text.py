@@ -1,14 +1,17 @@
 """Main text of web pages by template deduction from equivalence classes.
 
-A page is a sequence of tokens: its structural tags, each named by the structural tags around it. Tokens of a host's pages that share one
-occurrence vector (the counts in page 1, page 2, ...) form an equivalence class. The class of the page itself (once in every page) is
-the template's frame; valid classes, which nest in it by their paths, are its repeated parts. What stands between a frame's tokens is a
-slot. The slot that holds the articles is found from the names and texts of all pages of the host; it is then taken from each page.
+A page is a sequence of tokens: its structural tags, each named by the structural tags around it, and its blocks of text, each with the
+block tag and the structural tags around it. Tokens of a host's pages that share one occurrence vector (the counts in page 1, page 2, ...)
+form an equivalence class. The class of the page itself (once in every page) is the template's frame; valid classes, which nest in it by
+their paths, are its repeated parts. What stands between a frame's tokens is a slot. The slot that holds the articles is found from the
+names and texts of all pages of the host; it is then taken from each page, without the texts that the frame or a valid class covers.
+Names of tags and classes decide only on text of which the template says nothing.
 Vectors are compared by a sum of page-wise random numbers times counts, so no task holds a host's pages.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
 import re
@@ -36,16 +39,31 @@ NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 #: A token is looked at if this share of a host's pages has it.
 SUPPORT = 0.5
+#: A text is the template's if so many pages have it, at least: fewer may be copies of one article.
+TEXT_PAGES = 3
 
 
-def walk(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
-    """(kind, path, text, in a link, in a dropped part) of a page: kind "open" at a structural tag, "text" at each block of text.
+def names_of(attrs: str | None) -> list[str]:
+    return sorted({w for g in NAMES.findall(attrs) for w in "".join(g).lower().split()}) if attrs else []
+
+
+def named(name: str, attrs: str | None) -> str:
+    return name + "".join("." + re.sub(r"\d+", "0", w) for w in names_of(attrs))
+
+
+def text_key(path: str, holder: str, text: str) -> str:
+    """The name of a text as a token; a tab, which no other path has, tells it from tags."""
+    return f"{path}>{holder}\t{hashlib.blake2b(text.encode('utf-8', 'replace'), digest_size=8).hexdigest()}"
+
+
+def walk(page: str) -> Iterator[tuple[str, str, str, bool, bool, str]]:
+    """(kind, path, text, in a link, in a dropped part, block tag) of a page: kind "open" at a structural tag, "text" at a block of text.
 
     A block's text has its character references decoded and its white space turned into one blank. Unclosed tags end with what holds them.
     """
     stack: list[tuple[str, str, bool]] = [("page", "page", False)]
     parts: list[str] = []
-    linked = links = 0
+    linked, links, holder = 0, 0, ""
     end = page.rfind(">") + 1
     tail = page[end:]
     cut_off = tail.find("<") if re.match(r"[^<]*<[a-zA-Z/!?]", tail) else -1  # a tag that the page's end cuts off
@@ -54,7 +72,7 @@ def walk(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
     def block():
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
-        found = ("text", stack[-1][1], text, linked * 2 > len(text), stack[-1][2])
+        found = ("text", stack[-1][1], text, linked * 2 > len(text), stack[-1][2], holder)
         parts, linked = [], 0
         return found if text else None
 
@@ -75,32 +93,34 @@ def walk(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
         if (found := block()) is not None:
             yield found
         if name not in STRUCTURE:
+            holder = "" if m["close"] else named(name, m["attrs"])
             continue
+        holder = ""
         if m["close"]:
             at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
             if at:
                 del stack[at:]
         else:
-            names = sorted({w for g in NAMES.findall(m["attrs"] or "") for w in "".join(g).lower().split()}) if m["attrs"] else []
-            named = name + "".join("." + re.sub(r"\d+", "0", w) for w in names)
+            names = names_of(m["attrs"])
             inside = any(s[0] in ("article", "main") for s in stack)
             noise = name in DROPPED or (name == "header" and not inside) or any(p in NOISE for w in names for p in re.split(r"[^a-z]+", w))
             if name in ("body", "html", "article", "main"):
                 noise = False
-            stack.append((name, f"{stack[-1][1]}>{named}"[:1000], stack[-1][2] or noise))
-            yield ("open", stack[-1][1], "", False, stack[-1][2])
+            stack.append((name, f"{stack[-1][1]}>{named(name, m["attrs"])}"[:1000], stack[-1][2] or noise))
+            yield ("open", stack[-1][1], "", False, stack[-1][2], "")
     if (found := block()) is not None:
         yield found
 
 
 def tokens(page: str) -> list[tuple[str, int, int, int, bool]]:
-    """(path, count, first place, characters of unlinked text in it, is dropped) of a page's structural tokens, the page itself first."""
+    """(path, count, first place, characters of unlinked text in it, is dropped) of a page's tokens, the page itself first."""
     found: dict[str, list] = {"page": [1, 0, 0, False]}
-    for kind, path, text, link, noise in walk(page):
+    for kind, path, text, link, noise, holder in walk(page):
         if kind == "open":
             found.setdefault(path, [0, len(found), 0, noise])[0] += 1
-        elif not link and not noise:
-            while path:
+        elif not noise:
+            found.setdefault(text_key(path, holder, text), [0, len(found), 0, noise])[0] += 1
+            while path and not link:
                 if path in found:
                     found[path][2] += len(text)
                 path = path.rpartition(">")[0]
@@ -108,18 +128,18 @@ def tokens(page: str) -> list[tuple[str, int, int, int, bool]]:
 
 
 def deduce(found: list[dict]) -> dict:
-    """A host's template from its tokens' statistics: the frame in order, the nested classes, and the path of the slot with articles."""
+    """A host's template from its tokens' statistics: the path of the slot with articles, and the texts that the frame and the valid classes cover."""
     page = next(t for t in found if t["path"] == "page")
     by_vector: dict[int, list[dict]] = {}
     for t in sorted(found, key=lambda t: (t["place"] / max(1, t["pages"]), t["path"])):
         by_vector.setdefault(t["vector"], []).append(t)
     frame = [t["path"] for t in by_vector[page["vector"]]]
-    nested = {}
+    covered = set(frame)
     for vector, members in by_vector.items():
         holder = max((f for f in frame if all(m["path"].startswith(f + ">") for m in members)), key=len, default=None)
         if vector != page["vector"] and holder is not None:  # a class is valid if one part of the frame holds all of it
-            nested.setdefault(holder, []).append([m["path"] for m in members])
-    kept = [t for t in found if not t["noise"] and t["path"] != "page"]
+            covered.update(m["path"] for m in members)
+    kept = [t for t in found if not t["noise"] and t["path"] != "page" and "\t" not in t["path"]]
     marked = [t for t in kept if t["path"].rpartition(">")[2].split(".")[0] in ("article", "main") and t["text"]]
     if marked:
         main = max(marked, key=lambda t: (t["path"].rpartition(">")[2].startswith("article"), t["text"], -len(t["path"])))["path"]
@@ -127,18 +147,23 @@ def deduce(found: list[dict]) -> dict:
         total = max((t["text"] for t in kept), default=0)
         held = [t for t in kept if t["path"] in frame and t["text"] >= 0.8 * total] or [page]
         main = max(held, key=lambda t: len(t["path"]))["path"]
-    return {"frame": frame, "nested": nested, "main": main}
+    return {"main": main, "covered": sorted(t["path"] for t in found if "\t" in t["path"] and t["path"] in covered and t["pages"] >= TEXT_PAGES)}
 
 
 def extract(page: str, template: dict) -> str:
-    """The text blocks of the template's article slot, one a line; of all that is not dropped where the page lacks that slot."""
-    main, inside, rest = template["main"], [], []
-    for kind, path, text, _, noise in walk(page):
+    """The text blocks of the template's article slot, one a line; of all that is not dropped where the page lacks that slot.
+
+    Texts that the template covers are left out, unless nothing else is there: then most pages of the host are copies of one another.
+    """
+    main, covered = template["main"], set(template["covered"])
+    inside, rest = [], []
+    for kind, path, text, _, noise, holder in walk(page):
         if kind == "text" and not noise and text:
-            rest.append(text)
+            rest.append((text, covered and text_key(path, holder, text) in covered))
             if path == main or path.startswith(main + ">"):
-                inside.append(text)
-    return "\n".join(inside or rest)
+                inside.append(rest[-1])
+    found = inside or rest
+    return "\n".join([x for x, c in found if not c] or [x for x, _ in found])
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
@@ -170,7 +195,7 @@ def templates(pages: DataFrame) -> DataFrame:
         )
     )
     size = stats.where("path = 'page'").select("host", F.col("pages").alias("size"))
-    common = stats.join(size, "host").where(F.col("pages") >= SUPPORT * F.col("size"))  # no more of these than a few pages' tokens
+    common = stats.join(size, "host").where(F.col("pages") >= SUPPORT * F.col("size")).where(~F.col("path").contains("\t") | (F.col("pages") >= TEXT_PAGES))  # no more of these than a few pages' tokens
     listed = common.groupBy("host").agg(F.collect_list(F.struct("path", "pages", F.xxhash64("vector").alias("vector"), "place", "text", "noise")).alias("found"))
 
     def run(lists: pd.Series) -> pd.Series:
@@ -184,7 +209,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
     Null html counts as empty and gives an empty text; rows without a readable host in ``url`` form one host. A page that lacks its host's
-    article slot gives all text outside menus and the like. Repeated rows give equal rows; an empty table gives an empty result.
+    article slot gives all text outside menus and the like. Texts of the template, in half of a host's pages or more, are left out. Repeated rows give equal rows; an empty table gives an empty result.
     """
     import pandas as pd
 

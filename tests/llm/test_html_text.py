@@ -52,3 +52,20 @@ def test_query_against_articles_of_the_table(spark):
             assert re.sub(r"\s", "", got[i]) == squeezed(found[1])
             checked += 1
     assert checked > 20
+
+
+def test_texts_of_the_template_are_removed_whatever_their_names(spark):
+    def made(i, extra=""):
+        return (
+            f"<html><body><div class='x1'><article><p class='q'>Read this next</p><h1>Title {i}</h1><p>Own words {i}</p>{extra}"
+            f"<div class='y2'><ul><li>Home</li><li>Contact us</li></ul></div><p>All rights reserved</p></article></div></body></html>"
+        )
+
+    pages = [made(i, "<p>Read this next</p>" if i == 2 else "<p>Shared by two</p>" if i in (3, 4) else "") for i in range(8)]
+    rows = [(i, "http://h.example.com/a", x, "x", 0) for i, x in enumerate(pages)] + [(10 + i, "http://copies.example.com/", made(0), "x", 0) for i in range(4)] + [(20, "http://one.example.com/", made(0), "x", 0)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in range(8):
+        own = ["Read this next"] if i == 2 else ["Shared by two"] if i in (3, 4) else []  # the same words elsewhere on the page are another token
+        assert got[i].split("\n") == [f"Title {i}", f"Own words {i}", *own]
+    whole = "Read this next\nTitle 0\nOwn words 0\nHome\nContact us\nAll rights reserved"
+    assert {got[i] for i in (10, 11, 12, 13, 20)} == {whole}
