@@ -2,7 +2,8 @@
 
 A k-mer is k words in a row, an s-mer s words in a row. A k-mer is chosen if the smallest of its s-mer hashes is its first or its last.
 That depends on the k-mer alone, so an edit changes no choice away from it, and no stretch of k-s+1 k-mers goes without one. The chosen
-k-mers' hashes, as a sorted set, are the fingerprint; two fingerprints are as alike as their sets (Jaccard).
+k-mers' hashes, as a sorted set, are the fingerprint; two fingerprints are as alike as their sets (Jaccard). Texts of so few words that
+no k-mer need be chosen have their s-mers instead (the syncmers of k = s), all of them by their length alone, so that they stay comparable.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import documents, text_or_empty
 
 K, S = 7, 2
+#: Among so many words a k-mer is always chosen: of K - S of them in a row, one is.
+ENOUGH = 2 * K - S - 1
 #: Buckets of neighbouring ids: about so many rows each, at most so many buckets (what the driver and each row's lookup hold).
 BUCKET_ROWS, MOST_BUCKETS, STEP = 64, 4096, 64
 
@@ -38,7 +41,10 @@ def is_closed(h: Column, i: Column) -> Column:
 
 
 def syncmers(text: Column) -> Column:
-    """Array of (position in words, hash) of the closed syncmers; a text of fewer than K words is one k-mer, an empty one has none."""
+    """Array of (position in words, hash) of the closed syncmers; of the s-mers in a text of fewer than ENOUGH words, or of its only word.
+
+    Only a text without words has none.
+    """
 
     def of_words(ws):
         whole = F.array(F.struct(F.lit(0).alias("at"), F.hash(F.array_join(ws, " ")).alias("hash")))
@@ -46,9 +52,11 @@ def syncmers(text: Column) -> Column:
 
         def of_smers(h):
             chosen = F.filter(F.sequence(F.lit(0), F.size(h) - last - 1), lambda i: is_closed(h, i))
-            return F.transform(chosen, lambda i: F.struct(i.alias("at"), F.hash(*[h[i + j] for j in [*range(0, last, S), last]]).alias("hash")))
+            closed = F.transform(chosen, lambda i: F.struct(i.alias("at"), F.hash(*[h[i + j] for j in [*range(0, last, S), last]]).alias("hash")))
+            short = F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.struct(i.alias("at"), F.hash(h[i]).alias("hash")))
+            return F.when(F.size(ws) >= ENOUGH, closed).otherwise(short)
 
-        return F.when(F.size(ws) >= K, bound(smers(ws), of_smers)).when(F.size(ws) > 0, whole).otherwise(F.array().cast("array<struct<at:int,hash:int>>"))
+        return F.when(F.size(ws) >= S, bound(smers(ws), of_smers)).when(F.size(ws) > 0, whole).otherwise(F.array().cast("array<struct<at:int,hash:int>>"))
 
     return bound(words(text), of_words)
 
@@ -59,7 +67,7 @@ def fingerprint(text: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two fingerprints; 1 if both are empty."""
+    """Jaccard similarity of two fingerprints; 1 if both are empty, which only those of texts without words are."""
     common = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(common / (F.size(a) + F.size(b) - common).cast("double"))
 

@@ -57,3 +57,16 @@ def test_hard_rows(spark):
     one = fp.edited_likeness(docs.where("doc_id = 9")).first()
     assert one["near_next"] == 1.0
     assert fp.edited_likeness(docs.where("false")).count() == 0
+
+
+def test_short_texts_have_fingerprints_that_tell_them_apart(spark):
+    texts = [" ".join(f"w{(i * 31 + j * 17) % 101}" for j in range(n)) for n in range(1, 14) for i in range(40)]
+    table = spark.createDataFrame([(t,) for t in texts], "text string").select("text", fp.fingerprint(fp.F.col("text")).alias("f"))
+    assert all(r["f"] for r in table.collect())
+    pairs = [(" ".join(f"{a}{j}" for j in range(n)), " ".join(f"{b}{j}" for j in range(n - 1)) + f" {b}z") for n in range(2, 11) for a, b in (("u", "v"), ("u", "u"))]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fp.likeness(fp.fingerprint(fp.F.col("a")), fp.fingerprint(fp.F.col("b"))).alias("l")).collect()
+    for r in got:
+        n = len(r["a"].split())
+        assert abs(r["l"] - (0 if r["b"].startswith("v") else (n - 2) / n)) < 1e-12
+    none = spark.createDataFrame([("", " \n"), ("", "word")], "a string, b string").select(fp.likeness(fp.fingerprint(fp.F.col("a")), fp.fingerprint(fp.F.col("b")))).collect()
+    assert [r[0] for r in none] == [1.0, 0.0]
