@@ -24,7 +24,7 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def pack_sequences(spark, docs, sf_dir):
-    return packing.pack(docs, "word_bpe_49k.json")
+    return packing.pack(mixing.with_order(docs), "word_bpe_49k.json", order="m_order")  # files do not keep the order of rows
 
 
 STAGES = [

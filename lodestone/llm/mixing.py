@@ -139,6 +139,11 @@ def op6_pfair_mixing(spark, sf_dir: str) -> DataFrame:
     return schedule(docs).select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), *[F.col(a).alias(b) for a, b in names.items()])
 
 
+def with_order(docs: DataFrame, name: str = "m_order") -> DataFrame:
+    """``docs`` with the place of each row in the mixed order as one number. It depends on the rows alone, not on how they are stored."""
+    return schedule(docs).withColumn(name, F.col("m_slot") * (BLOCK_CHARS + 1) + F.col("m_offset")).select(*docs.columns, name)
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all of them, in the mixed order (the order of the files written and of the rows in each)."""
     return schedule(docs).orderBy("m_slot", "m_offset").select(*docs.columns)

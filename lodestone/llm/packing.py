@@ -3,7 +3,8 @@
 Texts are tokenised where they lie. What a piece needs to be placed is its length alone, so the driver packs the histogram of lengths
 (at most one row a length, however large the input): lengths descend, a segment tree over remaining capacities finds the tightest open
 bins, and bins of one remaining capacity are handled as a run. The outcome is a table of runs; each piece finds its place in it by its
-rank among the pieces of its length. Ranks come from counts of each task's pieces, without gathering pieces of a length in one task.
+rank among the pieces of its length. Ranks come from counts of each task's pieces, without gathering pieces of a length in one task. If
+rows have an order, ranks follow it and sequences are numbered by the earliest place in it, both by counts of its buckets.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import cut, documents, text_or_empty
 CAPACITY, END = 4096, 1
 #: Remembered words of a task, at most.
 REMEMBER = 400_000
+#: Buckets of a given order: about so many pieces each, at most so many buckets (what the driver holds).
+BUCKET_ROWS, MOST_BUCKETS = 64, 4096
 #: Python's split() takes these for white space and the tokenizer does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: fixed values: in texts of these characters alone (basic Latin, Latin-1, common punctuation) the tokenizer's own pattern is PRETOKEN
@@ -155,10 +158,10 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> dict[str, np.ndarray
     return dict(zip(("length", "rank", "bin", "per", "offset"), columns, strict=True))
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool, order: str | None = None) -> DataFrame:
     """The pieces of each text, with the task that made them and the rank of each among the task's pieces of its length."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, shard int, nth long" + ", ids binary" * with_ids
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, shard int, nth long" + ", ids binary" * with_ids + f", {order} long" * bool(order)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -190,20 +193,46 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_
                 columns = np.array(rows, dtype=np.int64).T
                 arrays = [keys.take(pa.array(which, pa.int64())), pa.array(columns[0].astype(np.int32)), *map(pa.array, columns[1:4]), pa.array(columns[4].astype(np.int32)), pa.array(columns[5])]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "shard", "nth"] + ["ids"] * with_ids
-                yield pa.RecordBatch.from_arrays(arrays + [pa.array(blobs, pa.binary())] * with_ids, names)
+                if order:
+                    names.append(order)
+                places = [batch.column(2).take(pa.array(which, pa.int64()))] if order else []
+                yield pa.RecordBatch.from_arrays(arrays + [pa.array(blobs, pa.binary())] * with_ids + places, names)
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", text_or_empty().alias("text"), *[order] * bool(order)).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END, with_ids: bool = False) -> DataFrame:
+def in_buckets(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds column ``name``: the bucket of each row by ascending ``order``, whole numbers from 0."""
+    n, top = rows.agg(F.count(F.lit(1)), F.max(order)).first()
+    width = (top or 0) // min(MOST_BUCKETS, max(1, n // BUCKET_ROWS)) + 1
+    return rows.withColumn(name, F.floor(F.col(order) / width).cast("long"))
+
+
+def numbered(packed: DataFrame, order: str) -> DataFrame:
+    """``packed`` with its sequences numbered anew, by the least ``order`` in each."""
+    firsts = cut(packed.groupBy("sequence_id").agg(F.min(order).alias("first")))
+    firsts = in_buckets(firsts, "first", "bucket")
+    sizes = sorted(map(tuple, firsts.groupBy("bucket").count().collect()))  # a row a bucket
+    before = np.cumsum([0, *[n for _, n in sizes]]).tolist()
+    bases = packed.sparkSession.createDataFrame([(b, n) for (b, _), n in zip(sizes, before[:-1], strict=True)], "bucket long, base long")
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("first", "sequence_id")) - 1
+    new = firsts.withColumn("rank", rank).join(F.broadcast(bases), "bucket").select("sequence_id", (F.col("base") + F.col("rank")).alias("new_id"))
+    return packed.join(new, "sequence_id").withColumn("sequence_id", F.col("new_id"))
+
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END, with_ids: bool = False, order: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, the piece's ids as 32-bit bytes).
 
     A text's ids are the tokenizer's, without special tokens added, then ``end_id``; null and empty texts are that id alone. Only longer
     ones are cut, every ``capacity`` ids. Sequences are filled without gaps from offset 0. Rows are neither merged nor dropped (repeated
-    doc_ids give their own pieces); an empty table gives an empty result; other columns are not read.
+    doc_ids give their own pieces); an empty table gives an empty result; other columns are not read. With ``order``, a column of whole
+    numbers from 0, pieces of one length are dealt out in that order and sequences are numbered by the earliest place of their pieces.
     """
     spark = docs.sparkSession
-    made = cut(pieces_of(docs, tokenizer, capacity, end_id, with_ids))
+    made = cut(pieces_of(docs, tokenizer, capacity, end_id, with_ids, order))
+    if order:
+        by_order = Window.partitionBy("shard", "length").orderBy(order, "doc_id", "piece", "ids_crc32")
+        made = in_buckets(made, order, "shard").withColumn("nth", (F.row_number().over(by_order) - 1).cast("long"))
     by_shard = made.groupBy("shard", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in by_shard.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     plan = spark.sparkContext.broadcast(best_fit_plan(counts, capacity))
@@ -221,7 +250,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     place.__annotations__ = {"length": pd.Series, "rank": pd.Series, "return": pd.DataFrame}
     where = F.pandas_udf(place, "sequence_id long, offset long")
     ranked = made.join(base, ["shard", "length"]).withColumn("place", where(F.col("length"), F.col("base") + F.col("nth")))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "place.sequence_id", "place.offset", *["ids"] * with_ids)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids]
+    packed = ranked.select(*columns[:5], "place.sequence_id", "place.offset", *columns[7:], *[order] * bool(order))
+    return numbered(cut(packed), order).select(*columns) if order else packed
 
 
 def op10_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 
 import corpus_pipeline
-from lodestone.llm import near_dedup, toxicity
+from lodestone.llm import mixing, near_dedup, toxicity
 from tests.llm.test_tokens import check_packing
 
 FOLDER = "/root/testdata/sf0.001"
@@ -56,3 +56,19 @@ def test_stages_take_empty_and_hard_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             table = stage(spark, table, FOLDER)
         assert table.count() == n
+
+
+def test_source_shares_follow_the_targets_along_sequences(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = [(i, f"{i:04d} " + "word " * 799, "en", "small" if i < 60 else "big", 4000) for i in range(300)]
+    packed = corpus_pipeline.pack_sequences(spark, spark.createDataFrame(rows, docs.schema).repartition(3, "doc_id"), FOLDER).collect()
+    place = {r["doc_id"]: (r["m_slot"], r["m_offset"]) for r in mixing.schedule(spark.createDataFrame(rows, docs.schema)).collect()}
+    sequences = defaultdict(list)
+    for r in packed:
+        sequences[r["sequence_id"]].append(r["doc_id"])
+    assert sorted(sequences) == list(range(len(sequences))) and len(packed) == len(rows)
+    assert [d for s in sorted(sequences) for d in sorted(sequences[s], key=place.get)] == sorted(place, key=place.get)
+    # blocks of 5 to 3 while both sources last, then the big one alone
+    at = sorted(sequences)
+    share = lambda part: sum(d < 60 for s in part for d in sequences[s]) / sum(len(sequences[s]) for s in part)
+    assert abs(share(at[: len(at) // 4]) - 3 / 8) < 0.1 and abs(share(at[: len(at) // 2]) - 3 / 8) < 0.1 and share(at[2 * len(at) // 3 :]) == 0
