@@ -56,9 +56,10 @@ def text_key(path: str, holder: str, text: str) -> str:
     return f"{path}>{holder}\t{hashlib.blake2b(text.encode('utf-8', 'replace'), digest_size=8).hexdigest()}"
 
 
-def walk(page: str) -> Iterator[tuple[str, str, str, bool, bool, str]]:
+def walk(page: str, opened: frozenset[str] | None = frozenset()) -> Iterator[tuple[str, str, str, bool, bool, str]]:
     """(kind, path, text, in a link, in a dropped part, block tag) of a page: kind "open" at a structural tag, "text" at a block of text.
 
+    Parts at the paths in ``opened`` (if None, outermost articles and main parts) are kept, whatever they and those around them are named.
     A block's text has its character references decoded and its white space turned into one blank. Unclosed tags end with what holds them.
     """
     stack: list[tuple[str, str, bool]] = [("page", "page", False)]
@@ -106,29 +107,37 @@ def walk(page: str) -> Iterator[tuple[str, str, str, bool, bool, str]]:
             noise = name in DROPPED or (name == "header" and not inside) or any(p in NOISE for w in names for p in re.split(r"[^a-z]+", w))
             if name in ("body", "html", "article", "main"):
                 noise = False
-            stack.append((name, f"{stack[-1][1]}>{named(name, m["attrs"])}"[:1000], stack[-1][2] or noise))
+            path = f"{stack[-1][1]}>{named(name, m['attrs'])}"[:1000]
+            is_open = name in ("article", "main") and not inside if opened is None else path in opened
+            stack.append((name, path, not is_open and (stack[-1][2] or noise)))
             yield ("open", stack[-1][1], "", False, stack[-1][2], "")
     if (found := block()) is not None:
         yield found
 
 
-def tokens(page: str) -> list[tuple[str, int, int, int, bool]]:
-    """(path, count, first place, characters of unlinked text in it, is dropped) of a page's tokens, the page itself first."""
-    found: dict[str, list] = {"page": [1, 0, 0, False]}
+def tokens(page: str) -> list[tuple[str, int, int, int, bool, int]]:
+    """(path, count, first place, characters of unlinked text in it, is dropped, these with dropped text) of a page's tokens, the page first."""
+    found: dict[str, list] = {"page": [1, 0, 0, False, 0]}
     for kind, path, text, link, noise, holder in walk(page):
         if kind == "open":
-            found.setdefault(path, [0, len(found), 0, noise])[0] += 1
-        elif not noise:
-            found.setdefault(text_key(path, holder, text), [0, len(found), 0, noise])[0] += 1
-            while path and not link:
-                if path in found:
-                    found[path][2] += len(text)
-                path = path.rpartition(">")[0]
+            found.setdefault(path, [0, len(found), 0, noise, 0])[0] += 1
+            continue
+        if not noise:
+            found.setdefault(text_key(path, holder, text), [0, len(found), 0, noise, 0])[0] += 1
+        while path and not link:
+            if path in found:
+                found[path][2] += 0 if noise else len(text)
+                found[path][4] += len(text)
+            path = path.rpartition(">")[0]
     return [(k, *v) for k, v in found.items()]
 
 
 def deduce(found: list[dict]) -> dict:
-    """A host's template from its tokens' statistics: the path of the slot with articles, and the texts that the frame and the valid classes cover."""
+    """A host's template from its tokens' statistics: the path of the slot with articles, the parts kept in spite of names, and the covered texts.
+
+    Names alone do not drop a part that holds the slot: an article with more text than all that the names leave, or, where no part is an
+    article, parts of the frame with most of the text, dropped or not.
+    """
     page = next(t for t in found if t["path"] == "page")
     by_vector: dict[int, list[dict]] = {}
     for t in sorted(found, key=lambda t: (t["place"] / max(1, t["pages"]), t["path"])):
@@ -140,30 +149,43 @@ def deduce(found: list[dict]) -> dict:
         if vector != page["vector"] and holder is not None:  # a class is valid if one part of the frame holds all of it
             covered.update(m["path"] for m in members)
     kept = [t for t in found if not t["noise"] and t["path"] != "page" and "\t" not in t["path"]]
-    marked = [t for t in kept if t["path"].rpartition(">")[2].split(".")[0] in ("article", "main") and t["text"]]
+    tag = lambda t: t["path"].rpartition(">")[2].split(".")[0]
+    marked = [t for t in kept if tag(t) in ("article", "main") and t["text"]]
+    within = [t for t in found if t["noise"] and tag(t) in ("article", "main") and t["every"] > page["text"]]
+    opened = []
     if marked:
-        main = max(marked, key=lambda t: (t["path"].rpartition(">")[2].startswith("article"), t["text"], -len(t["path"])))["path"]
+        main = max(marked, key=lambda t: (tag(t) == "article", t["text"], -len(t["path"])))["path"]
+    elif within:
+        main = max(within, key=lambda t: (tag(t) == "article", t["every"], -len(t["path"])))["path"]
+        opened = [main]
     else:  # the deepest part of the frame that holds most of the text
+        plain = lambda t: DROPPED.isdisjoint(x.split(".")[0] for x in t["path"].split(">"))
+        most = [t for t in found if t["path"] in frame and t["path"] != "page" and t["every"] and t["every"] >= 0.8 * page["every"] and plain(t)]
+        opened = [t["path"] for t in most if t["noise"]]
         total = max((t["text"] for t in kept), default=0)
-        held = [t for t in kept if t["path"] in frame and t["text"] >= 0.8 * total] or [page]
+        held = most if opened else [t for t in kept if t["path"] in frame and t["text"] >= 0.8 * total] or [page]
         main = max(held, key=lambda t: len(t["path"]))["path"]
-    return {"main": main, "covered": sorted(t["path"] for t in found if "\t" in t["path"] and t["path"] in covered and t["pages"] >= TEXT_PAGES)}
+    return {"main": main, "opened": opened, "covered": sorted(t["path"] for t in found if "\t" in t["path"] and t["path"] in covered and t["pages"] >= TEXT_PAGES)}
 
 
 def extract(page: str, template: dict) -> str:
     """The text blocks of the template's article slot, one a line; of all that is not dropped where the page lacks that slot.
 
-    Texts that the template covers are left out, unless nothing else is there: then most pages of the host are copies of one another.
+    A page without that slot keeps its own article or main part in spite of names, if these drop more than they leave. Texts that the
+    template covers are left out, unless nothing else is there: then most pages of the host are copies of one another.
     """
-    main, covered = template["main"], set(template["covered"])
-    inside, rest = [], []
-    for kind, path, text, _, noise, holder in walk(page):
-        if kind == "text" and not noise and text:
-            rest.append((text, covered and text_key(path, holder, text) in covered))
-            if path == main or path.startswith(main + ">"):
-                inside.append(rest[-1])
-    found = inside or rest
-    return "\n".join([x for x, c in found if not c] or [x for x, _ in found])
+    main, opened, covered = template["main"], frozenset(template["opened"]), set(template["covered"])
+
+    def kept(opened):
+        return [(path, text, bool(covered) and text_key(path, holder, text) in covered) for kind, path, text, _, noise, holder in walk(page, opened) if kind == "text" and not noise]
+
+    rest = kept(opened)
+    found = [x for x in rest if x[0] == main or x[0].startswith(main + ">")]
+    if not found:
+        whole = kept(None)
+        size = lambda found: sum(len(x[1]) for x in found)
+        found = whole if size(whole) > 2 * size(rest) else rest
+    return "\n".join([x for _, x, c in found if not c] or [x for _, x, _ in found])
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
@@ -171,10 +193,10 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     import pandas as pd
 
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("path", "n", "place", "text", "noise"), t, strict=True)) for t in tokens(x)] for x in texts])
+        return pd.Series([[dict(zip(("path", "n", "place", "text", "noise", "every"), t, strict=True)) for t in tokens(x)] for x in texts])
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    found = F.pandas_udf(run, "array<struct<path string, n long, place long, text long, noise boolean>>")
+    found = F.pandas_udf(run, "array<struct<path string, n long, place long, text long, noise boolean, every long>>")
     return pages.select("host", F.xxhash64(F.lit("page"), F.col("page_id"), F.length("html")).alias("random"), F.explode(found("html")).alias("t")).select("host", "random", "t.*")
 
 
@@ -192,11 +214,12 @@ def templates(pages: DataFrame) -> DataFrame:
             F.sum("place").alias("place"),
             F.sum("text").alias("text"),
             F.max("noise").alias("noise"),
+            F.sum("every").alias("every"),
         )
     )
     size = stats.where("path = 'page'").select("host", F.col("pages").alias("size"))
     common = stats.join(size, "host").where(F.col("pages") >= SUPPORT * F.col("size")).where(~F.col("path").contains("\t") | (F.col("pages") >= TEXT_PAGES))  # no more of these than a few pages' tokens
-    listed = common.groupBy("host").agg(F.collect_list(F.struct("path", "pages", F.xxhash64("vector").alias("vector"), "place", "text", "noise")).alias("found"))
+    listed = common.groupBy("host").agg(F.collect_list(F.struct("path", "pages", F.xxhash64("vector").alias("vector"), "place", "text", "noise", "every")).alias("found"))
 
     def run(lists: pd.Series) -> pd.Series:
         return pd.Series([json.dumps(deduce(list(x))) for x in lists])

@@ -69,3 +69,19 @@ def test_texts_of_the_template_are_removed_whatever_their_names(spark):
         assert got[i].split("\n") == [f"Title {i}", f"Own words {i}", *own]
     whole = "Read this next\nTitle 0\nOwn words 0\nHome\nContact us\nAll rights reserved"
     assert {got[i] for i in (10, 11, 12, 13, 20)} == {whole}
+
+
+def test_names_of_wrappers_do_not_drop_what_they_hold(spark):
+    wrappers = ['class="has-sidebar"', 'class="no-banner"', 'class="page-with-nav"', 'class="search-page"', 'id="ad-free"']
+    article = lambda i: f"<article><h1>Title {i}</h1><p>Words {i} of its own, and more</p><div class='ad'>Buy {i}</div><div class='comments'><article>Reader {i}</article></div></article>"
+    want = lambda i: f"Title {i}\nWords {i} of its own, and more"
+    rows = []
+    for k, w in enumerate(wrappers):
+        rows += [(10 * k + i, f"http://h{k}.example.com/", f"<html><body><nav>Go</nav><div {w}>{article(10 * k + i)}</div></body></html>", "x", 0) for i in range(4)]
+    # wrapped on few pages of a host, no article at all, and articles in a list that the names rightly drop
+    rows += [(100 + i, "http://few.example.com/", f"<body><div {wrappers[0] if i == 0 else 'class=x'}>{article(100 + i)}</div></body>", "x", 0) for i in range(4)]
+    rows += [(200 + i, "http://none.example.com/", f"<body><div class='has-sidebar'><div class='text'><p>Title {i}</p><p>Words {i} of its own, and more</p></div><div class='ad'>Buy {i}</div></div></body>", "x", 0) for i in range(4)]
+    rows += [(300 + i, "http://list.example.com/", f"<body><article><h1>Title {i}</h1><p>Words {i} of its own, and more</p></article><div class='related'>" + f"<article>{'Teaser of another ' * 9}{i}</article>" * 3 + "</div></body>", "x", 0) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, text in got.items():
+        assert text == want(i if i < 200 else i % 100), i
