@@ -1,33 +1,51 @@
-"""Helpers shared by the text operators: reading, scratch tables in the shared folder, splitting."""
+"""Helpers shared by the text operators: reading, scratch tables in the shared folder, splitting, mixing of hashes, names of columns."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ODD, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; a local one is set only where there is none (tests, local mode)."""
+    """The checkpoint folder that the cluster names; a local one is set only in local mode (tests), where there is none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jsc.isDefined():
             at = jsc.get()
-        else:
+        elif spark.sparkContext.master.split("[")[0] == "local":
             at = os.path.join(tempfile.gettempdir(), "lodestone-checkpoints")
             spark.sparkContext.setCheckpointDir(at)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return at.rstrip("/")
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Within it, the shuffle files of a query go when the query ends."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to a Parquet table in the shared folder and read it back: lineage ends there and no column is computed twice.
 
@@ -35,8 +53,32 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodestone_path = path
+    return out
+
+
+def spent(*tables: DataFrame | None) -> None:
+    """Delete tables that cut() wrote and that nothing will read again."""
+    for table in tables:
+        path = getattr(table, "_lodestone_path", None)
+        if path is not None:
+            jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """``names``, made longer where a column in ``taken`` has the name already (in whatever case)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def text_or_empty(name: str = "text"):
@@ -54,3 +96,10 @@ def bounded(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
             part, size = [], 0
     if part:
         yield part
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words whose bits all depend on each other."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -5,8 +5,11 @@ keeps the shingle that came first. Arrivals are made in rounds for many texts at
 later than all registers of its text. Two registers agree with the probability Jaccard of the two texts. Bands of registers propose pairs;
 each pair is verified by its exact probability Jaccard, and verified pairs join texts into classes.
 
-Pairs are never listed bucket by bucket. In each round every bucket names leaders, all its members meet the leaders, and leaders leave; a
-bucket whose members are all in one class is done. The number of leaders grows fourfold, so that no link between two classes is lost.
+Pairs are never listed bucket by bucket. First all members of a bucket meet one of them. A bucket whose members are in one class by then is
+done. In a small one that is not, members of different classes meet. The members of large ones, whose texts are alike but mostly below the
+threshold, get a sketch of more registers and many narrower bands, whose buckets hold few pairs below it; there, members of different
+classes meet whose registers agree about as often as those of a pair at the threshold. A pair exactly at the threshold shares a narrow band
+with a chance of 99 %, one of 0.85 with 99.99 %, and a class is found by any chain of its pairs.
 """
 
 from __future__ import annotations
@@ -18,17 +21,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents, text_or_empty
+from .common import cut, documents, fresh, mix, spent, text_or_empty
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit words whose bits all depend on each other."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Members of a bucket up to which those of different classes meet at once; beyond it, narrower bands decide who meets.
+SMALL = 16
+#: Registers of the second sketch, and its bands and the registers of each (bands overlap).
+FINE, FINE_BANDS, FINE_ROWS = 640, 256, 18
+#: Words whose hashes a task remembers, and characters that it works on at once.
+REMEMBER, AT_ONCE = 200_000, 1 << 20
 
 
 def shingles(text: str, known: dict[str, int], words: int = WORDS) -> np.ndarray:
@@ -113,10 +115,10 @@ def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             at = 0
             while at < batch.num_rows:
                 part, chars = [], 0
-                while at + len(part) < batch.num_rows and chars < 1 << 21:
+                while at + len(part) < batch.num_rows and chars < AT_ONCE:
                     part.append(texts[at + len(part)].as_py())
                     chars += len(part[-1])
-                if len(known) > 400_000:
+                if len(known) > REMEMBER:
                     known.clear()
                 found = [shingles(t, known) for t in part]
                 winners = prob_minhash([np.unique(s, return_counts=True) for s in found], bands * rows)
@@ -166,54 +168,139 @@ def components(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = cut(hooked.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
         done = new.where("label < old").isEmpty()
-        labels = new.select("node", "label")
+        spent(labels)
+        labels = new
         if done:
+            spent(both)
             return labels
 
 
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after ``edges`` (a, b) have joined classes; only the classes that an edge touches are worked on."""
+    if edges.isEmpty():
+        return labels
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+    between = edges.join(of("a"), "a").join(of("b"), "b").where("a_label != b_label")
+    found = components(between.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
+    new = found.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    out = cut(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+    spent(labels, found)
+    return out
+
+
+def shared_buckets(places: DataFrame) -> DataFrame:
+    """The rows of ``places`` (bucket, node) whose bucket has several, with the number ``n`` and the least node of them."""
+    several = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
+    return cut(places.join(several, "bucket").select("bucket", "node", "n", "leader"))
+
+
+def unsettled(open_: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``open_`` in buckets with several classes, with their label and the commonest label of the bucket, ``top``."""
+    told = open_.select("bucket", "node", "n", "leader").join(labels, "node")
+    per = told.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
+    per = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("size", "label")).alias("most")).where("classes > 1")
+    return cut(told.join(per.select("bucket", F.col("most.label").alias("top")), "bucket").select("bucket", "node", "n", "leader", "label", "top"))
+
+
+def across(open_: DataFrame, alike=None) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket and have different labels, if ``alike`` holds of columns a_marks and b_marks."""
+    marks = [c for c in ("marks",) if alike is not None]
+    left = open_.where("label != top").select("bucket", F.col("node").alias("x"), F.col("label").alias("x_label"), *[F.col(c).alias("a_marks") for c in marks])
+    right = open_.select("bucket", F.col("node").alias("y"), F.col("label").alias("y_label"), "top", *[F.col(c).alias("b_marks") for c in marks])
+    once = (F.col("y_label") == F.col("top")) | (F.col("x") < F.col("y"))
+    met = (F.col("x_label") != F.col("y_label")) & once & (alike(F.col("a_marks"), F.col("b_marks")) if alike is not None else F.lit(True))
+    both = left.join(right, (left["bucket"] == right["bucket"]) & met)
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def fine_sketches(items: DataFrame) -> DataFrame:
+    """node, marks (a bit of each of FINE registers, as longs) and keys (of FINE_BANDS bands) of the texts of ``items``."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        chosen = np.argsort(np.random.default_rng(FINE_BANDS).random((FINE_BANDS, FINE)), axis=1)[:, :FINE_ROWS]
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part, n = [], 0
+                while at + len(part) < batch.num_rows and n < 1 << 17:
+                    hashes, counts = np.unique(np.frombuffer(batch.column(1)[at + len(part)].as_py(), "<u4"), return_counts=True)
+                    part.append((mix(hashes.astype(np.uint64) + np.uint64(FINE)), counts))
+                    n += len(hashes)
+                winners = prob_minhash(part, FINE)
+                bits = np.packbits((winners & np.uint64(1)).astype(bool), axis=1)
+                keys = np.tile(np.arange(FINE_BANDS, dtype=np.uint64), (len(part), 1))
+                for r in range(FINE_ROWS):
+                    keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + winners[:, chosen[:, r]])
+                offsets = lambda width: pa.array(np.arange(0, width * len(part) + 1, width, dtype=np.int32))
+                marks = pa.ListArray.from_arrays(offsets(FINE // 64), pa.array(bits.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), marks, pa.ListArray.from_arrays(offsets(FINE_BANDS), pa.array(keys.view(np.int64).ravel()))], ["node", "marks", "keys"])
+                at += len(part)
+
+    return items.select("node", "items").mapInArrow(run, "node long, marks array<long>, keys array<long>")
+
+
+def alike(threshold: float):
+    """Whether marks differ no more often than those of a pair at ``threshold``, give or take three standard deviations."""
+    p = (1 - threshold) / 2
+    most = int(FINE * p + 3 * (FINE * p * (1 - p)) ** 0.5)
+
+    def test(a, b):
+        return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(FINE // 64)), F.lit(0)) <= most
+
+    return test
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id, class_size, n_links and kept.
 
     Texts are in one class if a chain of pairs of ``threshold`` or more joins them. ``class_id`` is the smallest doc_id of the class, and
     that row is kept (of several rows with that doc_id, or where all are null, one). Null texts count as empty; all texts without words
     are one class. ``n_links`` is the number of verified pairs through which a text was joined, of distinct texts. Repeated rows are one
-    class. An empty table gives an empty result; other columns are not read.
+    class. Very long texts are compared by all their shingles. An empty table gives an empty result; other columns are not read.
     """
     made = cut(sketches(docs, bands, rows))
-    thin = made.select("node", "doc_id", "key")
-    reps = thin.groupBy("key").agg(F.min("node").alias("rep"))
-    first = cut(reps.select(F.col("rep").alias("node"), "key"))
-    items = made.select("node", "items")
-    places = made.join(first.select("node"), "node", "left_semi").select("node", F.explode("keys").alias("bucket"))
-    places = cut(places.select("bucket", "node"))
-    shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    open_ = cut(places.join(shared, "bucket").withColumn("label", F.col("node")))
-    edges, labels, leaders_wanted, tried = None, None, 1, None
-    while not open_.isEmpty():
-        part = F.pmod(F.xxhash64("node"), F.lit(leaders_wanted))
-        leaders = open_.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "label")).alias("x"))
-        leaders = leaders.select("bucket", F.col("x.node").alias("a"), F.col("x.label").alias("a_label"))
-        met = open_.join(leaders, "bucket").where(F.col("label") != F.col("a_label"))
-        pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.union(pairs)
+    thin = cut(made.select("node", "doc_id", "key"))
+    first = cut(thin.groupBy("key").agg(F.min("node").alias("node")))
+    places = cut(made.join(first.select("node"), "node", "left_semi").select(F.explode("keys").alias("bucket"), "node"))
+    open_ = shared_buckets(places)
+    spent(places)
+    items = cut(made.select("node", "items").join(open_.select("node").distinct(), "node", "left_semi"))
+    spent(made)
+    labels = cut(items.select("node", F.col("node").alias("label")))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.distinct())
         good = cut(verified(pairs, items, threshold))
-        edges = good if edges is None else edges.union(good)
-        rest = open_.join(leaders.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
-        if not good.isEmpty():
-            labels = components(edges)
-            rest = rest.drop("label").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        rest = cut(rest.select("bucket", "node", "label"))
-        unsettled = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-        open_ = cut(rest.join(unsettled, "bucket"))
-        leaders_wanted *= 4
-    if labels is None:
-        of_rep = first.select("key", F.col("node").alias("label"), F.lit(0).cast("long").alias("n_links"))
-    else:
-        links = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-        of_rep = first.join(labels, "node", "left").join(links, "node", "left")
-        of_rep = of_rep.select("key", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        spent(pairs)
+        return good
+
+    with_leader = lambda rows: rows.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    found = [linked(with_leader(open_))]
+    labels = joined(labels, found[-1])
+    mixed = unsettled(open_, labels)
+    spent(open_)
+    crowd = mixed.where(F.col("n") > SMALL).select("node").distinct()
+    sketched = cut(fine_sketches(items.join(crowd, "node", "left_semi")))
+    places = cut(sketched.select(F.explode("keys").alias("bucket"), "node"))
+    fine = shared_buckets(places)
+    spent(places)
+    met = unsettled(fine, labels)
+    found.append(linked(across(mixed.where(F.col("n") <= SMALL)).union(with_leader(met))))
+    labels = joined(labels, found[-1])
+    spent(mixed, met)
+    left = unsettled(fine, labels)
+    marked = left.join(sketched.select("node", "marks"), "node")
+    found.append(linked(across(marked, alike(threshold))))
+    labels = joined(labels, found[-1])
+    spent(fine, left, sketched, items)
+    edges = found[0].union(found[1]).union(found[2]).distinct()
+    links = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    of_rep = first.join(labels, "node", "left").join(links, "node", "left")
+    of_rep = of_rep.select("key", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = cut(thin.join(of_rep, "key").drop("key"))
+    spent(thin, first, labels, *found)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("node"))
     sizes = out.groupBy("label").agg(F.count(F.lit(1)).alias("class_size"), F.min(order).alias("best"))
     sizes = sizes.select("label", "class_size", F.col("best.doc_id").alias("class_id"), F.col("best.node").alias("best"))
@@ -225,11 +312,15 @@ def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class of near duplicates (see classes), with all its columns; of rows that share a doc_id, too, each by its text."""
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = classes(docs).where("kept").select(F.col("doc_id").alias("k_id"))
-        return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
-    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()))  # rows need names of their own
-    named = numbered.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("__row").alias("row")).alias("doc_id"), "text")
-    kept = classes(named).where("kept").select(F.col("doc_id.row").alias("__row"))
-    return numbered.join(kept, "__row", "left_semi").drop("__row")
+    """One row of each class of near duplicates (see classes), with all its columns; of rows that share a doc_id, too, each by its text.
+
+    Columns may have any names. An empty table stays empty.
+    """
+    name, key = fresh(docs.columns, "row", "kept_id")
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        kept = classes(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias(key))
+        return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
+    numbered = cut(docs.withColumn(name, F.monotonically_increasing_id()))  # rows need names of their own
+    named = numbered.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(name).alias("row")).alias("doc_id"), "text")
+    kept = classes(named).where("kept").select(F.col("doc_id.row").alias(name))
+    return numbered.join(kept, name, "left_semi").drop(name)
