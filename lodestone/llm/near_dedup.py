@@ -141,20 +141,20 @@ def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 def verified(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """The (a, b) of ``pairs`` whose items have a probability Jaccard of ``threshold`` or more."""
-    import pandas as pd
 
-    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         def weighted(blob):
             return np.unique(np.frombuffer(blob, "<u4"), return_counts=True)
 
-        return pd.Series([probability_jaccard(*weighted(a), *weighted(b)) for a, b in zip(left, right, strict=True)], dtype="float64")
+        for batch in batches:
+            near = [probability_jaccard(*weighted(x.as_py()), *weighted(y.as_py())) >= threshold for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    run.__annotations__ = {"left": pd.Series, "right": pd.Series, "return": pd.Series}
-    near = F.pandas_udf(run, "double")
     left = items.select(F.col("node").alias("a"), F.col("items").alias("left_items"))
     right = items.select(F.col("node").alias("b"), F.col("items").alias("right_items"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.where(near("left_items", "right_items") >= threshold).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left_items", "right_items").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
