@@ -7,10 +7,12 @@ output is linear in the average, so scoring needs one number a word, remembered
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import documents
+from .common import INVERSE, ODD, documents, mix
 from .learning import SAMPLE, fit, score
 
 BUCKETS, WIDTH, GRAMS = 1 << 17, 8, (3, 4)
@@ -18,15 +20,8 @@ EPOCHS, RATE, BATCH = 6, 2.0, 32
 MOD, HELD, THRESHOLD = 4, 2, 0.7
 #: Stands for a word that repeats the one before it.
 SAME = "\x00same"
-REMEMBER = 400_000
-ODD, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit words whose high bits depend on all bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Words that a task remembers, and words taken apart at once.
+REMEMBER, PART = 200_000, 20_000
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -62,54 +57,58 @@ def words_of(text: str) -> list[str]:
     return ws + [SAME for a, b in zip(ws, ws[1:], strict=False) if a == b]
 
 
-def train(texts: list[str], targets: np.ndarray, buckets: int = BUCKETS, epochs: int = EPOCHS, seed: int = 7) -> dict:
-    """The two layers (``vectors``, ``output``, ``bias``), by minibatch gradient descent with a falling rate."""
+def train(rows: Iterable[tuple[str, int]], buckets: int = BUCKETS, epochs: int = EPOCHS, seed: int = 7) -> dict:
+    """The two layers (``vectors``, ``output``, ``bias``), by minibatch gradient descent with a falling rate.
+
+    Of a text only its distinct words' numbers and their counts are held; a minibatch's words are taken apart when it comes.
+    """
     number: dict[str, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], dtype=np.int64) for t in texts]
-    word, bucket = features(list(number), buckets)
-    order = np.argsort(word, kind="stable")
-    word, bucket = word[order], bucket[order]
-    first = np.searchsorted(word, np.arange(len(number) + 1))
-    parts = np.diff(first)
-    rows = []  # a document as distinct buckets and their weights, which sum to 1
-    for d in docs:
-        if not len(d):
-            rows.append((np.zeros(0, np.int64), np.zeros(0, np.float32)))
-            continue
+    docs, shares, targets = [], [], []
+    for text, y in rows:
+        d = np.array([number.setdefault(w, len(number)) for w in words_of(text)], dtype=np.int32)
         ids, n = np.unique(d, return_counts=True)
-        k = parts[ids]
-        at = np.repeat(first[ids] - np.append(0, np.cumsum(k)[:-1]), k) + np.arange(k.sum())
-        used, back = np.unique(bucket[at], return_inverse=True)
-        rows.append((used, np.bincount(back, np.repeat(n / k / len(d), k)).astype(np.float32)))
+        docs.append(ids)
+        shares.append((n / max(1, len(d))).astype(np.float32))
+        targets.append(y)
+    targets = np.array(targets, dtype=np.int64)
+    known, first, bucket = list(number), np.zeros(len(number) + 1, np.int64), [np.zeros(0, np.int32)]
+    for at in range(0, len(known), PART):
+        word, found = features(known[at : at + PART], buckets)
+        first[at + 1 : at + PART + 1] = np.bincount(word)
+        bucket.append(found[np.argsort(word, kind="stable")].astype(np.int32))
+    bucket = np.concatenate(bucket)
+    parts, first = first[1:].copy(), np.cumsum(first)
+    del number, known
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (buckets, WIDTH)).astype(np.float32)
     output, bias = np.zeros((WIDTH, 2), np.float32), np.zeros(2, np.float32)
     output[:] = rng.normal(0, 0.1, output.shape)
-    steps, done = max(1, epochs * -(-len(rows) // BATCH)), 0
+    steps, done = max(1, epochs * -(-len(docs) // BATCH)), 0
     for _ in range(epochs):
-        for chosen in np.array_split(rng.permutation(len(rows)), -(-len(rows) // BATCH) or 1):
-            rate = RATE * (1 - done / steps)
-            done += 1
-            sizes = np.array([len(rows[i][0]) for i in chosen])
-            ids, weights = np.concatenate([rows[i][0] for i in chosen]), np.concatenate([rows[i][1] for i in chosen])
+        for chosen in np.array_split(rng.permutation(len(docs)), -(-len(docs) // BATCH) or 1):
+            rate, done = RATE * (1 - done / steps), done + 1
+            share = np.concatenate([shares[i] for i in chosen])
+            word, of = np.unique(np.concatenate([docs[i] for i in chosen]), return_inverse=True)
+            sizes = np.array([len(docs[i]) for i in chosen])
             doc = np.repeat(np.arange(len(chosen)), sizes)
-            gathered = vectors[ids] * weights[:, None]
+            k = parts[word]
+            ids = bucket[np.repeat(first[word] - np.cumsum(k) + k, k) + np.arange(k.sum())]
             hidden = np.zeros((len(chosen), WIDTH), np.float32)
-            full = np.flatnonzero(sizes)
-            if len(full):
-                hidden[full] = np.add.reduceat(gathered, (np.cumsum(sizes) - sizes)[full])
+            if len(word):
+                vector = np.add.reduceat(vectors[ids], np.cumsum(k) - k) / k[:, None].astype(np.float32)
+                full = np.flatnonzero(sizes)
+                hidden[full] = np.add.reduceat(vector[of] * share[:, None], (np.cumsum(sizes) - sizes)[full])
             z = hidden @ output + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(chosen)), targets[chosen]] -= 1
+            back = (p @ output.T)[doc] * share[:, None]  # each document moves its own words by a full step
             p /= len(chosen)
-            back = (p @ output.T)[doc] * weights[:, None] * len(chosen)  # each document moves its own words by a full step
             output -= rate * hidden.T @ p
             bias -= rate * p.sum(0)
             for j in range(WIDTH):
-                vectors[:, j] -= rate * np.bincount(ids, back[:, j], minlength=buckets).astype(np.float32) if len(ids) > buckets // 8 else 0
-            if len(ids) <= buckets // 8:
-                np.subtract.at(vectors, ids, rate * back)
+                moved = np.bincount(of, back[:, j], minlength=len(word)) / k
+                vectors[:, j] -= rate * np.bincount(ids, np.repeat(moved, k), minlength=buckets).astype(np.float32)
     return {"vectors": vectors, "output": output, "bias": bias}
 
 
@@ -123,10 +122,9 @@ def scorer(model: dict):
             seen.clear()
         docs = [words_of(t) for t in texts]
         new = list(set().union(*docs) - seen.keys())
-        if new:
-            word, bucket = features(new, len(weight))
-            share = np.bincount(word, weight[bucket]) / np.bincount(word)
-            seen.update(zip(new, share.tolist(), strict=True))
+        for at in range(0, len(new), PART):
+            word, bucket = features(new[at : at + PART], len(weight))
+            seen.update(zip(new[at : at + PART], (np.bincount(word, weight[bucket]) / np.bincount(word)).tolist(), strict=True))
         z = np.array([sum(map(seen.__getitem__, d)) / len(d) if d else 0.0 for d in docs]) + bias
         return (1 / (1 + np.exp(-np.clip(z, -500, 500)))).tolist()
 

@@ -12,12 +12,13 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import documents
-from .learning import SAMPLE, fit, score
+from .common import documents, text_or_empty
+from .learning import SAMPLE, fit, score, scored
 
 MOD, HELD, THRESHOLD = 3, 1, 0.7
 #: Least log-likelihood gain of a term over the base rate, least documents with it, and words that share an open beginning.
@@ -27,10 +28,13 @@ TELLING, SEEDS = 8, 4
 SHORTEST_OPEN, LONGEST_OPEN = 4, 10
 #: Words on each side of a hit that are its context; what a quoted hit counts for.
 WINDOW, QUOTED = 6, 0.3
-#: fixed values: marks that open or close quotation, and words of reporting
+#: fixed values: marks that open or close quotation, and words of reporting in English, German, French and Spanish
 QUOTES = "\"“”„‟«»‹›‘’"
-REPORTING = frozenset("quote quoted quotes quoting said says word words term insult insults called reported wrote writes article defines definition".split())
-REMEMBER = 400_000
+REPORTING = frozenset(
+    "quote quoted quotes quoting said says word words term insult insults called reported wrote writes article defines definition"
+    " zitat zitiert zitierte sagte wort wörter begriff beleidigung schrieb citation cité cita citó dit mot mots terme insulte écrit dijo palabra palabras término insulto escribió".split()
+)
+REMEMBER = 200_000
 WORD = re.compile(r"\w+").findall
 
 
@@ -156,36 +160,48 @@ def witnesses(word_sets: list[set[str]]) -> list[int]:
     return [root(i) for i in range(len(word_sets))]
 
 
-def train(texts: list[str], targets: np.ndarray) -> dict:
+def heads(word: str) -> list[str]:
+    """The beginnings of a word that may be open terms; each is followed by one letter at least."""
+    return [word[:k] for k in range(SHORTEST_OPEN, min(len(word), LONGEST_OPEN + 1))]
+
+
+def counts_of(judged: list[tuple[np.ndarray, bool]], vocabulary: list[str]) -> tuple[int, int, np.ndarray, np.ndarray, list[tuple[np.ndarray, bool]]]:
+    """Documents, toxic ones among them, documents and toxic ones with each word, and the documents; near copies of a toxic text are one."""
+    merged: dict[int, list[np.ndarray]] = {}
+    bad = [ids for ids, y in judged if y]
+    for ids, group in zip(bad, witnesses([{vocabulary[i] for i in ids.tolist()} for ids in bad]), strict=True):
+        merged.setdefault(group, []).append(ids)
+    docs = [(np.unique(np.concatenate(parts)), True) for parts in merged.values()] + [(ids, False) for ids, y in judged if not y]
+    total, toxic = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
+    for ids, y in docs:
+        total[ids] += 1
+        if y:
+            toxic[ids] += 1
+    return len(docs), len(merged), total, toxic, docs
+
+
+def train(rows: Iterable[tuple[str, int]]) -> dict:
     """The lexicon with each term's evidence, words near a term that labelled documents show to mean something else, and how strongly
     a document's hits together speak for the label.
 
-    Equal texts are one witness, and so are near copies among the toxic texts.
+    Equal texts are one witness, and so are near copies among the toxic texts. Of a text its bytes and the numbers of its distinct words
+    are held; beginnings are counted only where toxic texts have them often enough.
     """
-    sets = {}
-    for t, y in zip(texts, targets.tolist(), strict=True):
-        sets.setdefault(t, []).append(y)
-    judged = [(t, set(WORD(t.lower())), sum(y) / len(y) >= 0.5) for t, y in sets.items()]
-    merged: dict[int, set[str]] = {}
-    for (_, words, _), group in zip(bad := [x for x in judged if x[2]], witnesses([x[1] for x in bad]), strict=True):
-        merged.setdefault(group, set()).update(words)
-    docs = [(words, True) for words in merged.values()] + [(words, False) for _, words, y in judged if not y]
-    n, bad = len(docs), sum(y for _, y in docs)
+    number: dict[str, int] = {}
+    seen: dict[bytes, list] = {}
+    for text, y in rows:
+        raw = zlib.compress(text.encode("utf-8", "surrogatepass"), 1)
+        if raw not in seen:
+            ids = np.array([number.setdefault(w, len(number)) for w in set(WORD(text.lower()))], dtype=np.int32)
+            seen[raw] = [np.sort(ids), 0, 0]
+        seen[raw][1] += y
+        seen[raw][2] += 1
+    vocabulary = list(number)
+    judged = [(ids, a / k >= 0.5) for ids, a, k in seen.values()]
+    n, bad, total, toxic, docs = counts_of(judged, vocabulary)
     if not bad:
         return {"closed": {}, "opened": {}, "known": {}, "near": 0.0, "line": (1.0, 0.0)}
     base = min(max(bad / n, 1e-6), 1 - 1e-6)
-    toxic, total = Counter(), Counter()
-    beginnings, begun, ending = Counter(), Counter(), {}
-    for words, y in docs:
-        total.update(words)
-        heads = {w[:k] for w in words for k in range(SHORTEST_OPEN, min(len(w), LONGEST_OPEN + 1))}
-        begun.update(heads)
-        if y:
-            toxic.update(words)
-            beginnings.update(heads)
-            for w in words:
-                for k in range(SHORTEST_OPEN, min(len(w), LONGEST_OPEN + 1)):
-                    ending.setdefault(w[:k], set()).add(w[k:])
 
     def evidence(a: int, k: int) -> float:
         """Gain in log likelihood by a term in ``k`` documents, ``a`` of them toxic; 0 if it speaks for the other label."""
@@ -194,25 +210,41 @@ def train(texts: list[str], targets: np.ndarray) -> dict:
             return 0.0
         return a * math.log(p / base) + ((k - a) * math.log((1 - p) / (1 - base)) if k > a else 0)
 
-    gain = max(GAIN, math.log(1 + sum(k >= SUPPORT for k in total.values())) + 2)
+    gain = max(GAIN, math.log(1 + int((total >= SUPPORT).sum())) + 2)
 
     def weight(a: int, k: int) -> float:
         return (a + base) / (k + 2 + base)
 
-    closed = {w: weight(a, total[w]) for w, a in toxic.items() if a >= SUPPORT and evidence(a, total[w]) > gain}
-    opened = {}
-    for head in sorted(beginnings, key=len):  # the shortest beginning stands for the longer ones
-        a, k = beginnings[head], begun[head]
-        if a >= SUPPORT and len(ending[head]) >= ENDINGS and evidence(a, k) > gain and not any(head[:i] in opened for i in range(SHORTEST_OPEN, len(head))):
+    closed = {vocabulary[i]: weight(int(toxic[i]), int(total[i])) for i in np.flatnonzero(toxic >= SUPPORT).tolist() if evidence(int(toxic[i]), int(total[i])) > gain}
+    beginnings: Counter = Counter()
+    for ids, y in docs:
+        if y:
+            beginnings.update({h for i in ids.tolist() for h in heads(vocabulary[i])})
+    likely = {h: j for j, h in enumerate(h for h, a in beginnings.items() if a >= SUPPORT)}
+    of_word = [[likely[h] for h in heads(w) if h in likely] for w in vocabulary]
+    begun, endings = np.zeros(len(likely), np.int64), np.zeros(len(likely), np.int64)
+    for i in np.flatnonzero(toxic).tolist():
+        endings[of_word[i]] += 1
+    for ids, _ in docs:
+        begun[list({j for i in ids.tolist() for j in of_word[i]})] += 1
+    opened: dict[str, float] = {}
+    for head, j in sorted(likely.items(), key=lambda x: len(x[0])):  # the shortest beginning stands for the longer ones
+        a, k = beginnings[head], int(begun[j])
+        if endings[j] >= ENDINGS and evidence(a, k) > gain and not any(head[:i] in opened for i in range(SHORTEST_OPEN, len(head))):
             opened[head] = weight(a, k)
-    closed = {w: x for w, x in closed.items() if not any(w[:i] in opened for i in range(SHORTEST_OPEN, len(w) + 1))}
-    words = [w for w in total if w not in closed]
-    near = [w for w, (x, e) in zip(words, Lexicon(closed, opened).match(words), strict=True) if x and e]
-    known = {w: weight(toxic[w], total[w]) if toxic[w] >= 0.8 * total[w] else 0.0 for w in near}
-    share = (sum(toxic[w] >= 0.8 * total[w] for w in near) + 1) / (len(near) + 2)
+    del beginnings, likely, of_word, docs
+    near: dict[str, int] = {}
+    lexicon = Lexicon(closed, opened)
+    for at in range(0, len(vocabulary), 50_000):
+        part = vocabulary[at : at + 50_000]
+        near.update((w, at + i) for i, (w, (x, e)) in enumerate(zip(part, lexicon.match(part), strict=True)) if x and e and w not in closed)
+    speaks = {w: bool(toxic[i] >= 0.8 * total[i]) for w, i in near.items()}
+    known = {w: weight(int(toxic[i]), int(total[i])) if speaks[w] else 0.0 for w, i in near.items()}
+    share = (sum(speaks.values()) + 1) / (len(near) + 2)
     model = {"closed": closed, "opened": opened, "known": known, "near": share, "line": (1.0, 0.0)}
-    hits = scorer(model)([t for t, _, _ in judged], raw=True)
-    return model | {"line": fitted_line(np.array(hits), np.array([y for _, _, y in judged], dtype=float))}
+    raws, scores = list(seen), scorer(model)
+    hits = [x for at in range(0, len(raws), 256) for x in scores([zlib.decompress(r).decode("utf-8", "surrogatepass") for r in raws[at : at + 256]], raw=True)]
+    return model | {"line": fitted_line(np.array(hits), np.array([y for _, y in judged], dtype=float))}
 
 
 def fitted_line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -280,22 +312,9 @@ def op5_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns; a null or repeated doc_id is judged by its own text."""
-    import pandas as pd
-    from collections.abc import Iterator
-    from pyspark.sql import functions as F
-
-    from .common import bounded, text_or_empty
-
-    model = fit(docs, labels, "toxic", MOD, HELD, train)
-    if model is None:
-        return docs
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of ``docs`` that are not predicted toxic, with all their columns; a null or repeated doc_id is judged by its own text.
 
-    def run(batches):
-        scores = scorer(shared.value)
-        for batch in batches:
-            yield pd.Series([x for part in bounded(batch.tolist()) for x in scores(part)], dtype="float64")
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.where(F.pandas_udf(run, "double")(text_or_empty()) < THRESHOLD)
+    Null, empty and very long texts are judged as in toxicity_scores. Columns may have any names. Without usable labels all rows stay.
+    """
+    model = fit(docs.select("doc_id", "text"), labels, "toxic", MOD, HELD, train)
+    return docs if model is None else docs.where(scored(docs.sparkSession, model, scorer)(text_or_empty()) < THRESHOLD)
