@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents, text_or_empty
+from .common import cut, documents, fresh, text_or_empty
 
 #: A chunk ends after two letters of these kinds, once it has MIN_CHUNK characters, or at MAX_CHUNK characters.
 MIN_CHUNK, MAX_CHUNK = 256, 4096
@@ -103,12 +103,15 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id NULLS
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that stay, with all their columns: one of each group of equal normalised texts (see exact_groups)."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("k_id"), F.col("n_chars").alias("k_chars"), F.col("text_sha256").alias("k_sha"))
-    text = F.coalesce(docs["text"], F.lit(""))
-    keyed = docs.withColumns({"__chars": F.length(text).cast("long"), "__sha": F.sha2(normalised(docs["text"]), 256)})
-    rows = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("__chars") == F.col("k_chars")) & (F.col("__sha") == F.col("k_sha")), "left_semi")
-    key = ["doc_id", "__chars", "__sha"]
-    if not keyed.groupBy(key).count().where("count > 1").isEmpty():  # rows that agree in all that decides: any one of them stays
+    """Rows of ``docs`` that stay, with all their columns: one of each group of equal normalised texts (see exact_groups).
+
+    Of rows that agree in doc_id, length and normalised text, any one stays. Columns may have any names. An empty table stays empty.
+    """
+    chars, sha, k_id, k_chars, k_sha = fresh(docs.columns, "chars", "sha", "kept_id", "kept_chars", "kept_sha")
+    kept = exact_groups(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias(k_id), F.col("n_chars").alias(k_chars), F.col("text_sha256").alias(k_sha))
+    keyed = docs.withColumns({chars: F.length(text_or_empty()).cast("long"), sha: F.sha2(normalised(F.col("text")), 256)})
+    rows = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(k_id)) & (F.col(chars) == F.col(k_chars)) & (F.col(sha) == F.col(k_sha)), "left_semi")
+    key = ["doc_id", chars, sha]
+    if not keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # rows that agree in all that decides: any one of them stays
         rows = rows.dropDuplicates(key)
-    return rows.drop("__chars", "__sha")
+    return rows.drop(chars, sha)

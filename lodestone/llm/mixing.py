@@ -85,29 +85,49 @@ def phases(blocks: dict[str, int], target: dict[str, float], frame: int) -> tupl
     return parts, table
 
 
-def keyed(docs: DataFrame, bits: int) -> DataFrame:
+#: What a schedule tells of a row.
+PLACES = ["m_block", "m_phase", "m_release", "m_deadline", "m_slot", "m_offset"]
+
+
+def keyed(docs: DataFrame, kept: list[str], bits: int) -> DataFrame:
+    """``docs`` as one column ``row`` of the columns ``kept``, beside what the schedule needs; so no name of theirs can clash."""
     h = F.xxhash64(F.lit("mix"), "doc_id", "text")
     fine = F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")
-    return docs.withColumns({"m_source": F.coalesce("source", F.lit("")), "m_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long"), "m_hash": h, "m_fine": fine})
+    return docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in kept]).alias("row"),
+        docs["doc_id"].alias("m_id"),
+        F.coalesce(docs["source"], F.lit("")).alias("m_source"),
+        F.coalesce(F.length(docs["text"]), F.lit(0)).cast("long").alias("m_chars"),
+        h.alias("m_hash"),
+        fine.alias("m_fine"),
+    )
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, frame: int = FRAME, temperature: float = TEMPERATURE) -> DataFrame:
     """``docs`` with m_block, m_phase, m_release, m_deadline, m_slot and m_offset: the mixed order is by (m_slot, m_offset).
 
-    Every row stays. In each phase the sources that are left keep to their target weights, within one block; it ends when one of them
-    has run out. ``weights`` defaults to the sources' text lengths to the power ``temperature``; sources it does not name come after all
-    others, in proportion to their lengths. A null source is the source "". Null texts have length 0. Rows that agree in id and text may
-    swap places. An empty table gives an empty result.
+    Every row stays, very long texts too (they begin in one block and reach into the next). In each phase the sources that are left keep
+    to their target weights, within one block; it ends when one of them has run out. ``weights`` defaults to the sources' text lengths to
+    the power ``temperature``; sources it does not name come after all others, in proportion to their lengths. A null source is the
+    source "". Null texts have length 0. Rows that agree in id and text may swap places. An empty table gives an empty result. Columns may
+    have any names but those added (ValueError).
     """
+    if clash := sorted({c.lower() for c in docs.columns} & set(PLACES)):
+        raise ValueError(f"columns {clash} would be added")
+    return placed(docs, docs.columns, weights, block_chars, frame, temperature).select("row.*", *PLACES)
+
+
+def placed(docs: DataFrame, kept: list[str], weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, frame: int = FRAME, temperature: float = TEMPERATURE) -> DataFrame:
+    """The columns ``kept`` as a struct ``row``, m_chars, and the columns that schedule adds."""
     spark = docs.sparkSession
     bits = max(0, (docs.count() // BUCKET_ROWS).bit_length())
-    rows = keyed(docs, bits)
+    rows = keyed(docs, kept, bits)
     coarse = F.shiftright("m_fine", bits // 2)
     sums = rows.groupBy("m_source", "m_fine").agg(F.sum("m_chars").alias("chars")).withColumn("coarse", coarse)
     upper = sums.groupBy("m_source", "coarse").agg(F.sum("chars").alias("chars"))
     totals = {r["m_source"]: r["chars"] for r in upper.groupBy("m_source").agg(F.sum("chars").alias("chars")).collect()}  # a row a source
     if not totals:
-        return rows.select(*docs.columns, *[F.lit(0).cast("long").alias(c) for c in ("m_block", "m_phase", "m_release", "m_deadline", "m_slot", "m_offset")])
+        return rows.select("row", "m_chars", *[F.lit(0).cast("long").alias(c) for c in PLACES])
     blocks = {s: max(1, -(-n // block_chars)) for s, n in totals.items()}
     frame = max(4 * len(totals), min(frame, sum(blocks.values()) // 16))
     target = {s: max(1, totals[s]) ** temperature for s in totals} if weights is None else {s: w for s, w in weights.items() if w > 0 and s in totals}
@@ -120,7 +140,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_cha
     base_up = upper.select("m_source", "coarse", F.coalesce(F.sum("chars").over(ahead("m_source").orderBy("coarse")), zero).alias("up"))
     base = sums.select("m_source", "m_fine", "coarse", F.coalesce(F.sum("chars").over(ahead("m_source", "coarse").orderBy("m_fine")), zero).alias("base"))
     base = base.join(base_up, ["m_source", "coarse"]).select("m_source", "m_fine", (F.col("base") + F.col("up")).alias("m_base"))
-    run = F.coalesce(F.sum("m_chars").over(ahead("m_source", "m_fine").orderBy("m_hash", "doc_id")), zero)
+    run = F.coalesce(F.sum("m_chars").over(ahead("m_source", "m_fine").orderBy("m_hash", "m_id")), zero)
     start = rows.withColumn("m_run", run).join(base, ["m_source", "m_fine"]).withColumn("m_start", F.col("m_base") + F.col("m_run"))
     filled = start.withColumn("m_full", F.floor(F.col("m_start") / block_chars).cast("long"))
     block = F.least("m_full", "m_last")  # empty texts at a source's end begin where its last block ends
@@ -130,20 +150,25 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_cha
     placed = placed.join(F.broadcast(slots), ["m_phase", "m_source", "m_nth"])
     begin = F.col("m_begin") + F.col("m_frame") * F.col("m_size")
     out = placed.withColumns({"m_release": begin + F.col("f_release"), "m_deadline": begin + F.col("f_deadline"), "m_slot": begin + F.col("f_slot")})
-    return out.select(*docs.columns, "m_block", "m_phase", "m_release", "m_deadline", "m_slot", "m_offset")
+    return out.select("row", "m_chars", *PLACES)
 
 
 def op6_pfair_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
-    names = {f"m_{x}": x for x in ("block", "phase", "release", "deadline", "slot", "offset")}
-    return schedule(docs).select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), *[F.col(a).alias(b) for a, b in names.items()])
+    return placed(documents(spark, sf_dir), ["doc_id", "source"]).select("row.*", F.col("m_chars").alias("n_chars"), *[F.col(c).alias(c[2:]) for c in PLACES])
 
 
 def with_order(docs: DataFrame, name: str = "m_order") -> DataFrame:
-    """``docs`` with the place of each row in the mixed order as one number. It depends on the rows alone, not on how they are stored."""
-    return schedule(docs).withColumn(name, F.col("m_slot") * (BLOCK_CHARS + 1) + F.col("m_offset")).select(*docs.columns, name)
+    """``docs`` with the place of each row in the mixed order as one number. It depends on the rows alone, not on how they are stored.
+
+    Columns may have any names; one called ``name`` is replaced.
+    """
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    return placed(docs, kept).select("row.*", (F.col("m_slot") * (BLOCK_CHARS + 1) + F.col("m_offset")).alias(name))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all of them, in the mixed order (the order of the files written and of the rows in each)."""
-    return schedule(docs).orderBy("m_slot", "m_offset").select(*docs.columns)
+    """The rows of ``docs``, all of them, in the mixed order (the order of the files written and of the rows in each).
+
+    Null, empty and very long texts, repeated rows and empty tables are as in schedule; columns may have any names.
+    """
+    return placed(docs, docs.columns).orderBy("m_slot", "m_offset").select("row.*")

@@ -72,3 +72,17 @@ def test_source_shares_follow_the_targets_along_sequences(spark):
     at = sorted(sequences)
     share = lambda part: sum(d < 60 for s in part for d in sequences[s]) / sum(len(sequences[s]) for s in part)
     assert abs(share(at[: len(at) // 4]) - 3 / 8) < 0.1 and abs(share(at[: len(at) // 2]) - 3 / 8) < 0.1 and share(at[2 * len(at) // 3 :]) == 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["k_id", "k_chars", "__sha", "__chars", "m_slot", "m_source", "m_offset", "f_slot", "row", "__row", "m_order", "kept_id", "node", "M_FINE"]
+    docs = spark.createDataFrame(
+        [(1, "a b c", "x", *["v1"] * len(names)), (2, "a b c", "x", *["v1"] * len(names)), (3, "other words here", None, *["v2"] * len(names))],
+        "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names),
+    )
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, FOLDER)
+        assert docs.columns[3:] == names
+    rows = sorted(docs.collect())
+    assert [tuple(r)[3:] for r in rows] == [("v1",) * len(names), ("v2",) * len(names)]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.pack_sequences(spark, docs, FOLDER).collect()) == [1, 3]
