@@ -2,10 +2,11 @@
 
 A page is a sequence of tokens: its structural tags, each named by the structural tags around it, and its blocks of text, each with the
 block tag and the structural tags around it. Tokens of a host's pages that share one occurrence vector (the counts in page 1, page 2, ...)
-form an equivalence class. The class of the page itself (once in every page) is the template's frame; valid classes, which nest in it by
-their paths, are its repeated parts. What stands between a frame's tokens is a slot. The slot that holds the articles is found from the
-names and texts of all pages of the host; it is then taken from each page, without the texts that the frame or a valid class covers.
-Names of tags and classes decide only on text of which the template says nothing.
+form an equivalence class. A class of CLASS tokens or more that come once in each page that has them, and that hang together (all of them
+in one part of another such class), is a frame; a host may have several, as pages follow several templates, and they nest. What stands in
+a part of a frame is a slot. Slots that hold most of the text of their pages are the articles' slots, the deepest first; tag names decide
+between such slots alone. A page's text is that of its first slot, without the texts that the template repeats in it. Names of tags and
+classes also decide on parts inside a slot of whose text the template says nothing: adverts, comments, notices.
 Vectors are compared by a sum of page-wise random numbers times counts, so no task holds a host's pages.
 """
 
@@ -16,10 +17,13 @@ import html as html_lib
 import json
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 # fixed values: HTML element names by role
 STRUCTURE = frozenset("html body div section article main nav header footer aside ul ol table form dl figure".split())
 BLOCKS = STRUCTURE | frozenset("address blockquote caption center dd details dialog dt fieldset figcaption h1 h2 h3 h4 h5 h6 hr legend li p pre summary tbody td tfoot th thead title tr".split())
@@ -37,10 +41,14 @@ TOKEN = re.compile(
 )
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
-#: A token is looked at if this share of a host's pages has it.
-SUPPORT = 0.5
-#: A text is the template's if so many pages have it, at least: fewer may be copies of one article.
-TEXT_PAGES = 3
+NAMES_OF_TOKENS = ("key", "parent", "tag", "n", "place", "held", "kind")
+#: A token is looked at if this share of a host's pages has it; pages of rarer templates are read by the names of their parts alone.
+SUPPORT = 0.02
+#: Tokens of a class that is a frame, at least; share of its pages' text that an article's slot holds, at least; the same for an
+#: article or main part that is noise by name.
+CLASS, MOST, TOLD = 3, 0.8, 0.3
+#: A text is the template's if so many pages have it, at least (fewer may be copies of one article), and this share of those with its place.
+TEXT_PAGES, TEXT_SHARE = 3, 0.5
 
 
 def names_of(attrs: str | None) -> list[str]:
@@ -51,18 +59,27 @@ def named(name: str, attrs: str | None) -> str:
     return name + "".join("." + re.sub(r"\d+", "0", w) for w in names_of(attrs))
 
 
-def text_key(path: str, holder: str, text: str) -> str:
-    """The name of a text as a token; a tab, which no other path has, tells it from tags."""
-    return f"{path}>{holder}\t{hashlib.blake2b(text.encode('utf-8', 'replace'), digest_size=8).hexdigest()}"
+def key_of(*parts: str) -> str:
+    return hashlib.blake2b("\t".join(parts).encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+
+class Part(NamedTuple):
+    """A structural tag on the way to a place: its tag, its key (of its name and all around it), and whether its own name is noise."""
+
+    tag: str
+    key: str
+    noise: bool
 
 
-def walk(page: str, opened: frozenset[str] | None = frozenset()) -> Iterator[tuple[str, str, str, bool, bool, str]]:
-    """(kind, path, text, in a link, in a dropped part, block tag) of a page: kind "open" at a structural tag, "text" at a block of text.
+ROOT = Part("page", "page", False)
+
+
+def walk(page: str) -> Iterator[tuple[tuple[Part, ...], str | None, bool, str]]:
+    """(parts around it, text, in a link, block tag) of each block of text, and (parts, None, ...) at each structural tag, in page order.
 
-    Parts at the paths in ``opened`` (if None, outermost articles and main parts) are kept, whatever they and those around them are named.
     A block's text has its character references decoded and its white space turned into one blank. Unclosed tags end with what holds them.
     """
-    stack: list[tuple[str, str, bool]] = [("page", "page", False)]
+    stack: tuple[Part, ...] = (ROOT,)
     parts: list[str] = []
     linked, links, holder = 0, 0, ""
     end = page.rfind(">") + 1
@@ -73,7 +90,7 @@ def walk(page: str, opened: frozenset[str] | None = frozenset()) -> Iterator[tup
     def block():
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
-        found = ("text", stack[-1][1], text, linked * 2 > len(text), stack[-1][2], holder)
+        found = (stack, text, linked * 2 > len(text), holder)
         parts, linked = [], 0
         return found if text else None
 
@@ -98,105 +115,113 @@ def walk(page: str, opened: frozenset[str] | None = frozenset()) -> Iterator[tup
             continue
         holder = ""
         if m["close"]:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
+            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name), 0)
             if at:
-                del stack[at:]
+                stack = stack[:at]
         else:
             names = names_of(m["attrs"])
-            inside = any(s[0] in ("article", "main") for s in stack)
+            inside = any(x.tag in ("article", "main") for x in stack)
             noise = name in DROPPED or (name == "header" and not inside) or any(p in NOISE for w in names for p in re.split(r"[^a-z]+", w))
             if name in ("body", "html", "article", "main"):
                 noise = False
-            path = f"{stack[-1][1]}>{named(name, m['attrs'])}"[:1000]
-            is_open = name in ("article", "main") and not inside if opened is None else path in opened
-            stack.append((name, path, not is_open and (stack[-1][2] or noise)))
-            yield ("open", stack[-1][1], "", False, stack[-1][2], "")
+            stack = (*stack, Part(name, key_of(stack[-1].key, named(name, m["attrs"])), noise))
+            yield (stack, None, False, "")
     if (found := block()) is not None:
         yield found
 
 
-def tokens(page: str) -> list[tuple[str, int, int, int, bool, int]]:
-    """(path, count, first place, characters of unlinked text in it, is dropped, these with dropped text) of a page's tokens, the page first."""
-    found: dict[str, list] = {"page": [1, 0, 0, False, 0]}
-    for kind, path, text, link, noise, holder in walk(page):
-        if kind == "open":
-            found.setdefault(path, [0, len(found), 0, noise, 0])[0] += 1
+def noisy(parts: tuple[Part, ...], above: int = 0) -> bool:
+    """Whether a part beyond the first ``above`` ones is noise by its name."""
+    return any(part.noise for part in parts[above:])
+
+
+def tokens(page: str) -> list[tuple[str, str, str, int, int, int, int]]:
+    """(key, key of the part around it, tag, count, first place, thousandths of the page's unlinked text in it, kind) of a page's
+    tokens, the page first. Texts have no tag. Kind is 0 for what can be no slot, 1 for a part that is noise by name, 2 for all others."""
+    found: dict[str, list] = {"page": ["", "page", 1, 0, 0, 2]}
+    for parts, text, link, holder in walk(page):
+        if text is None:
+            kind = 0 if any(x.tag in DROPPED for x in parts) else 1 if noisy(parts) else 2
+            found.setdefault(parts[-1].key, [parts[-2].key, parts[-1].tag, 0, len(found), 0, kind])[2] += 1
             continue
-        if not noise:
-            found.setdefault(text_key(path, holder, text), [0, len(found), 0, noise, 0])[0] += 1
-        while path and not link:
-            if path in found:
-                found[path][2] += 0 if noise else len(text)
-                found[path][4] += len(text)
-            path = path.rpartition(">")[0]
-    return [(k, *v) for k, v in found.items()]
+        found.setdefault(key_of(parts[-1].key, holder, text), [parts[-1].key, "", 0, len(found), 0, 0])[2] += 1
+        if not link:
+            for part in parts:
+                found[part.key][4] += len(text)
+    total = max(1, found["page"][4])
+    return [(k, parent, tag, n, place, held * 1000 // total, kind) for k, (parent, tag, n, place, held, kind) in found.items()]
 
 
 def deduce(found: list[dict]) -> dict:
-    """A host's template from its tokens' statistics: the path of the slot with articles, the parts kept in spite of names, and the covered texts.
-
-    Names alone do not drop a part that holds the slot: an article with more text than all that the names leave, or, where no part is an
-    article, parts of the frame with most of the text, dropped or not.
-    """
-    page = next(t for t in found if t["path"] == "page")
+    """A host's template from its tokens' statistics: the keys of the articles' slots, the best first, and those of the covered texts."""
+    tokens_ = {t["key"]: t for t in found}
     by_vector: dict[int, list[dict]] = {}
-    for t in sorted(found, key=lambda t: (t["place"] / max(1, t["pages"]), t["path"])):
+    for t in found:
         by_vector.setdefault(t["vector"], []).append(t)
-    frame = [t["path"] for t in by_vector[page["vector"]]]
-    covered = set(frame)
-    for vector, members in by_vector.items():
-        holder = max((f for f in frame if all(m["path"].startswith(f + ">") for m in members)), key=len, default=None)
-        if vector != page["vector"] and holder is not None:  # a class is valid if one part of the frame holds all of it
-            covered.update(m["path"] for m in members)
-    kept = [t for t in found if not t["noise"] and t["path"] != "page" and "\t" not in t["path"]]
-    tag = lambda t: t["path"].rpartition(">")[2].split(".")[0]
-    marked = [t for t in kept if tag(t) in ("article", "main") and t["text"]]
-    within = [t for t in found if t["noise"] and tag(t) in ("article", "main") and t["every"] > page["text"]]
-    opened = []
-    if marked:
-        main = max(marked, key=lambda t: (tag(t) == "article", t["text"], -len(t["path"])))["path"]
-    elif within:
-        main = max(within, key=lambda t: (tag(t) == "article", t["every"], -len(t["path"])))["path"]
-        opened = [main]
-    else:  # the deepest part of the frame that holds most of the text
-        plain = lambda t: DROPPED.isdisjoint(x.split(".")[0] for x in t["path"].split(">"))
-        most = [t for t in found if t["path"] in frame and t["path"] != "page" and t["every"] and t["every"] >= 0.8 * page["every"] and plain(t)]
-        opened = [t["path"] for t in most if t["noise"]]
-        total = max((t["text"] for t in kept), default=0)
-        held = most if opened else [t for t in kept if t["path"] in frame and t["text"] >= 0.8 * total] or [page]
-        main = max(held, key=lambda t: len(t["path"]))["path"]
-    return {"main": main, "opened": opened, "covered": sorted(t["path"] for t in found if "\t" in t["path"] and t["path"] in covered and t["pages"] >= TEXT_PAGES)}
 
+    def around(key: str) -> list[str]:
+        out = []
+        while key := tokens_[key]["parent"]:
+            out.append(key)
+        return out
 
-def extract(page: str, template: dict) -> str:
-    """The text blocks of the template's article slot, one a line; of all that is not dropped where the page lacks that slot.
+    frame: set[str] = set()
+    for members in by_vector.values():
+        keys = {t["key"] for t in members}
+        if len(keys) < CLASS or any(t["n"] != t["pages"] for t in members):
+            continue
+        holders = {next((k for k in around(t["key"]) if k not in keys), "") for t in members}
+        if len(holders) == 1:
+            frame |= keys
+    slots = []
+    for t in found:
+        if t["key"] in frame and t["tag"] and t["kind"]:
+            share, told, depth = t["held"] / 1000 / t["pages"], t["tag"] in ("article", "main"), len(around(t["key"]))
+            if told and share >= TOLD * (t["kind"] == 1):
+                slots.append(((t["tag"] != "article", t["tag"] != "main", -share, depth, t["key"]), t["key"]))
+            elif share >= MOST - 0.01:  # thousandths are rounded down
+                slots.append(((True, True, -depth, -share, t["key"]), t["key"]))
+    texts = [t["key"] for t in found if not t["tag"] and t["pages"] >= TEXT_PAGES and t["pages"] >= TEXT_SHARE * tokens_[t["parent"]]["pages"]]
+    return {"slots": [k for _, k in sorted(slots)], "covered": sorted(texts)}
 
-    A page without that slot keeps its own article or main part in spite of names, if these drop more than they leave. Texts that the
-    template covers are left out, unless nothing else is there: then most pages of the host are copies of one another.
-    """
-    main, opened, covered = template["main"], frozenset(template["opened"]), set(template["covered"])
 
-    def kept(opened):
-        return [(path, text, bool(covered) and text_key(path, holder, text) in covered) for kind, path, text, _, noise, holder in walk(page, opened) if kind == "text" and not noise]
+def extract(page: str, template: dict) -> str:
+    """The text blocks of the page's best slot, one a line; of all that names do not drop where it has none of the template's slots.
 
-    rest = kept(opened)
-    found = [x for x in rest if x[0] == main or x[0].startswith(main + ">")]
-    if not found:
-        whole = kept(None)
+    Names do not drop what holds the slot. A page without a slot keeps its own article or main part in spite of names, if these drop more
+    than they leave. Texts that the template covers are left out, unless nothing else is there: then most pages of the host are copies of
+    one another.
+    """
+    blocks, there = [], set()
+    for parts, text, _, holder in walk(page):
+        if text is None:
+            there.add(parts[-1].key)
+        else:
+            blocks.append((parts, text, holder))
+    slot = next((k for k in template["slots"] if k in there), None)
+    if slot is not None:
+        found = [(x, at) for x in blocks if (at := next((i for i, part in enumerate(x[0]) if part.key == slot), None)) is not None]
+        found = [x for x, at in found if not noisy(x[0], at + 1)]
+    else:
+        own = [(x, next((i for i, part in enumerate(x[0]) if part.tag in ("article", "main")), None)) for x in blocks]
+        rest = [x for x in blocks if not noisy(x[0])]
+        whole = [x for x, at in own if not noisy(x[0], 0 if at is None else at + 1)]
         size = lambda found: sum(len(x[1]) for x in found)
         found = whole if size(whole) > 2 * size(rest) else rest
-    return "\n".join([x for _, x, c in found if not c] or [x for _, x, _ in found])
+    covered = set(template["covered"])
+    return "\n".join([text for parts, text, holder in found if key_of(parts[-1].key, holder, text) not in covered] or [x[1] for x in found])
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
     """host, random number of the page and statistics of every token of every page."""
     import pandas as pd
 
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("path", "n", "place", "text", "noise", "every"), t, strict=True)) for t in tokens(x)] for x in texts])
+    def run(batches):
+        for texts in batches:
+            yield pd.Series([[dict(zip(NAMES_OF_TOKENS, t, strict=True)) for t in tokens(x)] for x in texts])
 
-    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    found = F.pandas_udf(run, "array<struct<path string, n long, place long, text long, noise boolean, every long>>")
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    found = F.pandas_udf(run, "array<struct<key string, parent string, tag string, n long, place long, held long, kind long>>")
     return pages.select("host", F.xxhash64(F.lit("page"), F.col("page_id"), F.length("html")).alias("random"), F.explode(found("html")).alias("t")).select("host", "random", "t.*")
 
 
@@ -205,21 +230,22 @@ def templates(pages: DataFrame) -> DataFrame:
     import pandas as pd
 
     small = F.shiftrightunsigned("random", 24)  # 40 bits, so that sums stay exact in 38 digits
-    stats = (
+    stats = cut(
         page_tokens(pages)
-        .groupBy("host", "path")
+        .groupBy("host", "key")
         .agg(
             F.count(F.lit(1)).alias("pages"),
             F.sum((small * F.col("n")).cast("decimal(38,0)")).alias("vector"),
-            F.sum("place").alias("place"),
-            F.sum("text").alias("text"),
-            F.max("noise").alias("noise"),
-            F.sum("every").alias("every"),
+            F.sum("n").alias("n"),
+            F.sum("held").alias("held"),
+            F.min("parent").alias("parent"),
+            F.min("tag").alias("tag"),
+            F.min("kind").alias("kind"),
         )
     )
-    size = stats.where("path = 'page'").select("host", F.col("pages").alias("size"))
-    common = stats.join(size, "host").where(F.col("pages") >= SUPPORT * F.col("size")).where(~F.col("path").contains("\t") | (F.col("pages") >= TEXT_PAGES))  # no more of these than a few pages' tokens
-    listed = common.groupBy("host").agg(F.collect_list(F.struct("path", "pages", F.xxhash64("vector").alias("vector"), "place", "text", "noise", "every")).alias("found"))
+    size = stats.where("key = 'page'").select("host", F.col("pages").alias("size"))
+    common = stats.join(size, "host").where((F.col("pages") >= SUPPORT * F.col("size")) & ((F.col("tag") != "") | (F.col("pages") >= TEXT_PAGES)))  # no more of these than 1 / SUPPORT pages' tokens
+    listed = common.groupBy("host").agg(F.collect_list(F.struct("key", "parent", "tag", "pages", "n", "held", "kind", F.xxhash64("vector").alias("vector"))).alias("found"))
 
     def run(lists: pd.Series) -> pd.Series:
         return pd.Series([json.dumps(deduce(list(x))) for x in lists])
@@ -231,8 +257,9 @@ def templates(pages: DataFrame) -> DataFrame:
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
-    Null html counts as empty and gives an empty text; rows without a readable host in ``url`` form one host. A page that lacks its host's
-    article slot gives all text outside menus and the like. Texts of the template, in half of a host's pages or more, are left out. Repeated rows give equal rows; an empty table gives an empty result.
+    Null html counts as empty and gives an empty text; rows without a readable host in ``url`` form one host. A page that has none of its
+    host's article slots gives all text outside menus and the like. Texts of the template are left out. Very long and deep pages are read
+    whole. Repeated rows give equal rows; an empty table gives an empty result; other columns are not read.
     """
     import pandas as pd
 

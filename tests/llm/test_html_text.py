@@ -85,3 +85,56 @@ def test_names_of_wrappers_do_not_drop_what_they_hold(spark):
     got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
     for i, text in got.items():
         assert text == want(i if i < 200 else i % 100), i
+
+
+def neutral(i, kind):
+    """A page of one of two templates without telling tags or names; what stands beside the article is of its own on every page."""
+    if kind == "a":
+        return f"<html><body><div class='qa'><p>Menu of the day {i}</p></div><div class='qb'><div class='qc'><h1>Title {i}</h1><p>{f'Words {i} of its own. ' * 20}</p></div></div><div class='qd'><p>Beside {i}</p></div></body></html>"
+    return f"<html><body><section class='ra'><div class='rb'><p>Aside {i}</p></div><div class='rc'><section class='rd'><h2>Head {i}</h2><p>{f'Other words {i}. ' * 30}</p></section></div></section><div class='re'><p>End {i}</p></div></body></html>"
+
+
+def wanted(i, kind):
+    return f"Title {i}\n{('Words %d of its own. ' % i * 20).strip()}" if kind == "a" else f"Head {i}\n{('Other words %d. ' % i * 30).strip()}"
+
+
+def test_frames_decide_where_nothing_tells_the_article(spark):
+    kinds = ["b" if i % 5 == 0 else "a" for i in range(40)]
+    pages = [neutral(i, k) for i, k in enumerate(kinds)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame([(i, "http://two.example.com/", x, "x", 0) for i, x in enumerate(pages)], SCHEMA)).collect()}
+    assert got == {i: wanted(i, k) for i, k in enumerate(kinds)}
+    # the same with every token in a class of its own: no frame, so no slot, and what stands beside stays
+    stats = {}
+    for page in pages:
+        for t in map(dict, (zip(html_text.NAMES_OF_TOKENS, t) for t in html_text.tokens(page))):
+            kept = stats.setdefault(t["key"], t | {"n": 0, "held": 0, "pages": 0, "vector": t["key"]})
+            kept["pages"] += 1
+            kept["n"] += t["n"]
+            kept["held"] += t["held"]
+    template = html_text.deduce(list(stats.values()))
+    assert template["slots"] == [] and all(html_text.extract(x, template) != wanted(i, kinds[i]) for i, x in enumerate(pages))
+
+
+def plain_vectors(pages):
+    """Occurrence vectors by counting every token on every page of a host."""
+    counts = [{t[0]: t[3] for t in html_text.tokens(x)} for x in pages]
+    return {k: tuple(c.get(k, 0) for c in counts) for k in set().union(*counts)}
+
+
+def test_classes_equal_plain_vectors(spark):
+    pages = [neutral(i, "b" if i % 3 == 0 else "a") for i in range(12)]
+    table = spark.createDataFrame([(i, "http://two.example.com/", x, "two", 0) for i, x in enumerate(pages)], SCHEMA)
+    rows = html_text.page_tokens(table.select("page_id", "html", "host")).collect()
+    sums = {}
+    for r in rows:
+        sums[r["key"]] = sums.get(r["key"], 0) + (r["random"] % 2**64 >> 24) * r["n"]
+    want = plain_vectors(pages)
+    assert sums.keys() == want.keys()
+    assert all((sums[a] == sums[b]) == (want[a] == want[b]) for a in want for b in want)
+
+
+def test_deep_and_long_pages(spark):
+    deep = lambda i: "<html><body>" + "".join(f"<div class='level{'x' * 40} c{k}'>" for k in "abcdefghijklmnopqrstuvwxyz" * 4) + f"<article><p>Deep {i}</p></article>" + "</div>" * 104 + "<nav>Go</nav></body></html>"
+    rows = [(i, "http://deep.example.com/", deep(i), "x", 0) for i in range(4)] + [(9, "http://long.example.com/", "<article>" + "<p>word</p>" * 20_000 + "</article>", "x", 0)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: f"Deep {i}" for i in range(4)} | {9: "\n".join(["word"] * 20_000)}
