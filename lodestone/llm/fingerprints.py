@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import documents, text_or_empty
 
 K, S = 7, 2
+#: fixed values: scripts written without blanks between words
+UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
 #: Among so many words a k-mer is always chosen: of K - S of them in a row, one is.
 ENOUGH = 2 * K - S - 1
 #: Buckets of neighbouring ids: about so many rows each, at most so many buckets (what the driver and each row's lookup hold).
@@ -26,7 +29,9 @@ def bound(value: Column, use) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, "\\s+"), lambda w: w != "")
+    """The words between white space; of scripts that set none, each character is a word."""
+    plain = F.filter(F.split(text, "\\s+"), lambda w: w != "")
+    return F.when(text.rlike(UNSPACED), F.regexp_extract_all(text, F.lit(f"{UNSPACED}|(?:(?!{UNSPACED})\\S)+"), F.lit(0))).otherwise(plain)
 
 
 def smers(ws: Column) -> Column:
@@ -93,7 +98,12 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     parts = min(MOST_BUCKETS, max(1, n // BUCKET_ROWS))
     bounds: list[int] = []
     if parts > 1:
-        got = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts).alias("b")).first()["b"]
+        if isinstance(ids.schema["doc_id"].dataType, NumericType):
+            got = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts).alias("b")).first()["b"]
+        else:  # quantiles of a sample of some 20 ids a bucket
+            some = ids.where((F.pmod(F.xxhash64(F.lit("bounds"), "doc_id"), F.lit(n)) < 20 * parts) & F.col("doc_id").isNotNull())
+            listed = sorted(r["doc_id"] for r in some.collect())
+            got = [listed[i * len(listed) // parts] for i in range(1, parts)] if listed else []
         bounds = sorted(set(got or []))
     keyed = rows.withColumn("bucket", bucket_of(F.col("doc_id"), bounds))
     firsts = sorted((r["bucket"], r["first"]) for r in keyed.groupBy("bucket").agg(F.min("doc_id").alias("first")).collect())  # a row a bucket
@@ -112,7 +122,8 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     """Each row's fingerprint beside that of its edited text, whose last half is the beginning of the next row's text.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null texts count as empty and have
-    an empty fingerprint. With one row, it is its own next. An empty table gives an empty result; other columns are not read.
+    an empty fingerprint; very long ones are marked whole. Ids of any ordered type will do; with one row, it is its own next. An empty
+    table gives an empty result; other columns are not read.
     """
     rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("marks", fingerprint(F.col("text")))
     near = with_next(rows, ["text", "marks"]).withColumn("n_chars", F.length("text"))

@@ -1,6 +1,10 @@
 """Fingerprints, edited texts and neighbours equal those of plain Python."""
 
 import hashlib
+import re
+from functools import reduce
+
+import xxhash
 
 from lodestone.llm import fingerprints as fp
 
@@ -70,3 +74,34 @@ def test_short_texts_have_fingerprints_that_tell_them_apart(spark):
         assert abs(r["l"] - (0 if r["b"].startswith("v") else (n - 2) / n)) < 1e-12
     none = spark.createDataFrame([("", " \n"), ("", "word")], "a string, b string").select(fp.likeness(fp.fingerprint(fp.F.col("a")), fp.fingerprint(fp.F.col("b")))).collect()
     assert [r[0] for r in none] == [1.0, 0.0]
+
+
+def plain_positions(text):
+    """Places of the closed syncmers, by the definition, with the public hash of each stretch of words."""
+    ws, chain = text.split(), lambda words: reduce(lambda seed, w: xxhash.xxh64_intdigest(w.encode(), seed), words, 42)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    small = [signed(chain(ws[i : i + fp.S])) for i in range(len(ws) - fp.S + 1)]
+    if len(ws) < fp.ENOUGH:
+        return list(range(len(small)))
+    inside = fp.K - fp.S + 1
+    return [i for i in range(len(small) - inside + 1) if min(small[i : i + inside]) in (small[i], small[i + inside - 1])]
+
+
+def test_places_equal_the_definition(spark):
+    rows = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r["text"] and len(r["text"].split()) > 1]
+    rows = [" ".join(x.split()) for x in rows if not re.search(r"[^\x00-ɏ -⃿]", x)]
+    got = spark.createDataFrame([(x,) for x in rows], "text string").select("text", fp.syncmers(fp.F.col("text")).alias("s")).collect()
+    assert len(got) > 100 and all([x["at"] for x in r["s"]] == plain_positions(r["text"]) for r in got)
+
+
+def test_text_without_blanks(spark):
+    text = "".join(chr(0x4E00 + i * i % 701) for i in range(1400))
+    got = {r["doc_id"]: r for r in fp.edited_likeness(spark.createDataFrame([(1, text), (2, text[:700] + "新" + text[700:])], "doc_id long, text string")).collect()}
+    assert len(got[1]["fingerprint"].split()) > 200 and got[1]["near_next"] > 0.95
+
+
+def test_ids_that_are_no_numbers(spark):
+    rows = [(f"id{i:04d}", f"text of number {i} and more words like {i * 7} or so") for i in range(300)] + [(None, "none")]
+    got = {r["doc_id"]: r for r in fp.edited_likeness(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    want = dict(edited([(i or "", x) for i, x in rows]))
+    assert {i or "": r["edited_sha256"] for i, r in got.items()} == {i: hashlib.sha256(x.encode()).hexdigest() for i, x in want.items()}
