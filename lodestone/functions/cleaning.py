@@ -1,4 +1,4 @@
-"""Column functions that settle what counts as missing, text as truth, and formulas as parts."""
+"""Column functions that settle what counts as missing, and text as truth or number."""
 
 from __future__ import annotations
 
@@ -23,17 +23,6 @@ def truth(text: Column) -> Column:
     return F.when(t.isin("true", "1", "yes"), True).when(t.isin("false", "0", "no"), False)
 
 
-def rounded_key(value: Column, digits: int = 8) -> Column:
-    """A number as a grouping key: half-even rounding, one zero, no NaN."""
-    return F.bround(finite(value), digits) + F.lit(0.0)
-
-
-def formula_parts(formula: Column) -> Column:
-    """A map from element symbol to amount (1 where none is written; repeated symbols add up is left to the caller)."""
-    tokens = F.regexp_extract_all(formula, F.lit("([A-Z][a-z]?)([0-9.]*)"), F.lit(0))
-    return F.transform(tokens, lambda t: F.struct(F.regexp_extract(t, "^[A-Za-z]+", 0).alias("symbol"), F.coalesce(F.nullif(F.regexp_extract(t, "[0-9.]+$", 0), F.lit("")).cast("double"), F.lit(1.0)).alias("amount")))
-
-
 def trailing_id(name: Column, prefix: str) -> Column:
     """The number after ``prefix`` at the end of a name, as a long; null if there is none."""
     return F.nullif(F.regexp_extract(name, f"{prefix}([0-9]+)$", 1), F.lit("")).cast("long")

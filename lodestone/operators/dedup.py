@@ -22,28 +22,54 @@ def size_histogram(df: DataFrame, group: list[str]) -> DataFrame:
     return df.groupBy(*group).agg(F.count(F.lit(1)).alias("family_size")).groupBy("family_size").agg(F.count(F.lit(1)).alias("families"))
 
 
-def merge_conflicts(df: DataFrame, key: list[str], target: str, digits: int) -> DataFrame:
-    """One row per key: rows, distinct targets, whether they disagree and the mean target. Null keys form a group."""
-    t = F.col(target)
-    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(t).alias("n_targets"), F.round(F.avg(t), digits).alias("mean_target")).withColumn("conflict", F.col("n_targets") > 1)
+def merge_conflicts(df: DataFrame, key: list[str], target: str, ids: list[str], order: list[str]) -> DataFrame:
+    """One row per key and, where rows agree on ``target``, per target: the target (the median where rows disagree), conflict, each id of the
+    first row by ``order``, and ids_merged_<id>: its distinct values in first-seen order where rows disagree, else its own. Null keys form
+    a group; null targets are no targets. A key's rows meet in one task only as (ids, order) lists of its own duplicates.
+    """
+    rows = F.sort_array(F.collect_list(F.struct(*order, *[F.col(i).alias(f"id_{n}") for n, i in enumerate(ids)])))
+    got = df.groupBy(*key).agg(F.percentile(target, F.lit(0.5)).alias(target), (F.min(target) < F.max(target)).alias("conflict"), rows.alias("rows"))
+    got = got.withColumn("conflict", F.coalesce("conflict", F.lit(False)))
+    seen = lambda n: F.array_distinct(F.transform("rows", lambda r: F.coalesce(r[f"id_{n}"].cast("string"), F.lit("None"))))
+    own = [F.col("rows")[0][f"id_{n}"].alias(i) for n, i in enumerate(ids)]
+    merged = [F.when(F.col("conflict"), F.array_join(seen(n), "|")).otherwise(F.element_at(seen(n), 1)).alias(f"ids_merged_{i}") for n, i in enumerate(ids)]
+    return got.select(*key, "conflict", target, *own, *merged)
+
+
+def conflict_report(df: DataFrame, key: list[str], target: str) -> DataFrame:
+    """Keys whose rows have several targets: rows, distinct targets, least and greatest target. Only their rows are counted in detail."""
+    bad = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows"), F.min(target).alias("low"), F.max(target).alias("high")).where("low <> high")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
+    few = df.select(*key, target).distinct().alias("l").join(bad.alias("r"), same, "left_semi").groupBy(*key).agg(F.count(target).alias("n_targets"))
+    return few.alias("l").join(bad.alias("r"), same).select(*[F.col(f"l.{k}") for k in key], "n_rows", "n_targets", "low", "high")
+
+
+def near_vectors(df: DataFrame, digits: dict[str, int], key: str) -> DataFrame:
+    """Groups of rows whose numbers agree after rounding to ``digits``: the group's least ``key`` and its size, per distinct vector."""
+    return df.groupBy(*[F.bround(c, n).alias(c) for c, n in digits.items()]).agg(F.min(key).alias("first_key"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def near_vectors(df: DataFrame, columns: list[str], digits: int, key: str) -> DataFrame:
-    """Groups of rows whose numbers agree after rounding: the group's least ``key`` and its size, per distinct vector."""
-    return df.groupBy(*[F.bround(c, digits).alias(c) for c in columns]).agg(F.min(key).alias("first_key"), F.count(F.lit(1)).alias("n_rows"))
+def exact_rows(df: DataFrame, ids: list[str], order: list[str]) -> DataFrame:
+    """One row of those that agree in all columns but ``ids``: the first by ``order``, and how many there were. Nulls agree."""
+    key = [c for c in df.columns if c not in ids]
+    return df.groupBy(*key).agg(F.min_by(F.struct(*ids), F.struct(*order)).alias("first"), F.count(F.lit(1)).alias("n_rows")).select(*key, "first.*", "n_rows")
 
 
 def blocked_pairs(df: DataFrame, block: str, key: str, value: str, within: float) -> DataFrame:
-    """Pairs (key_a < key_b) of a block whose values differ by a share of at most ``within``.
+    """Pairs (key_a < key_b) of a block whose values differ by a share of at most ``within`` of the greater.
 
     Values are dealt to logarithmic cells so wide that a pair is in one cell or in neighbours; a row meets its own and the next cell only.
+    Equal values are one entry of a cell: values meet first, and rows follow only where values do. Rows whose value is null, 0 or less
+    have no such share and no pairs.
     """
     import math
 
     step = math.log1p(within / (1 - within)) * (1 + 1e-9)
-    cell = F.floor(F.log(value) / step)
-    a = df.where(F.col(value) > 0).select(F.col(block), F.col(key).alias("x"), F.col(value).alias("x_value"), cell.alias("cell"))
-    b = a.select(F.col(block), F.col("x").alias("y"), F.col("x_value").alias("y_value"), F.col("cell").alias("own"), F.explode(F.array(F.col("cell") - 1, F.col("cell"))).alias("cell"))
-    met = a.join(b, [block, "cell"]).where((F.col("own") > F.col("cell")) | (F.col("x") < F.col("y")))
-    met = met.withColumn("difference", F.abs(F.col("x_value") - F.col("y_value")) / F.greatest("x_value", "y_value"))
-    return met.where(F.col("difference") <= within).select(block, F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"), "difference")
+    rows = df.where(F.col(value) > 0).select(F.col(block), F.col(key).alias("key"), F.col(value).alias("value"))
+    a = rows.select(block, "value").distinct().withColumn("cell", F.floor(F.log("value") / step))
+    b = a.select(block, F.col("value").alias("other"), F.explode(F.array(F.col("cell") - 1, F.col("cell"))).alias("cell"), F.col("cell").alias("own"))
+    met = a.join(b, [block, "cell"]).where((F.col("own") > F.col("cell")) | (F.col("value") <= F.col("other")))
+    met = met.withColumn("difference", F.abs(F.col("value") - F.col("other")) / F.greatest("value", "other")).where(F.col("difference") <= within)
+    both = met.join(rows.withColumnRenamed("key", "x"), [block, "value"]).join(rows.select(block, F.col("value").alias("other"), F.col("key").alias("y")), [block, "other"])
+    both = both.where((F.col("value") != F.col("other")) | (F.col("x") < F.col("y")))
+    return both.select(block, F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"), "difference")

@@ -15,10 +15,21 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return stats.select(F.inline(F.array(*rows)))
 
 
-def top_share(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, top_count and n_rows: how often the commonest value occurs (near-zero variance where it is nearly all)."""
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, value, n of the values that are not null, in long form; counted before the shuffle."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
-    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("column").agg(F.max("n").alias("top_count"), F.sum("n").alias("n_rows"))
+    return long.where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def near_zero_variance(df: DataFrame, columns: list[str], distinct_share: float, ratio: float) -> DataFrame:
+    """column, distinct_share, top_count, second_count and near_zero: few distinct values among all, and the commonest ``ratio`` times as
+    common as the second. A column of one value is constant, not near zero; one of nulls alone has no row."""
+    counts = value_counts(df, columns)
+    first = counts.groupBy("column").agg(F.max_by("value", F.struct("n", "value")).alias("top"), F.max("n").alias("top_count"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"))
+    rest = counts.join(F.broadcast(first.select("column", "top")), "column").where("value <> top").groupBy("column").agg(F.max("n").alias("second_count"))  # a row a column
+    got = first.join(rest, "column", "left").withColumns({"second_count": F.coalesce("second_count", F.lit(0)), "distinct_share": F.col("k") / F.col("all")})
+    near = (F.col("k") > 1) & (F.col("distinct_share") <= distinct_share) & (F.col("top_count") >= ratio * F.col("second_count"))
+    return got.select("column", "distinct_share", "top_count", "second_count", near.alias("near_zero"))
 
 
 def correlations(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:

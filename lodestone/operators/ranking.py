@@ -21,12 +21,13 @@ def outliers(df: DataFrame, group: str, value: str, k: float, least: float) -> D
     return far.join(mad, group).where(F.col("deviation") > F.greatest(F.lit(least), 1.4826 * k * F.col("mad")))
 
 
-def borda(rankings: DataFrame, item: str, ranking: str, place: str, names: list[str], panel: int) -> DataFrame:
-    """item, borda (mean place; a ranking without the item counts as one place past its end), votes (rankings with it in the first ``panel``)."""
-    ends = rankings.groupBy(ranking).agg((F.max(place) + 1).alias("past")).agg(F.sum("past").alias("all"))
-    got = rankings.join(rankings.groupBy(ranking).agg((F.max(place) + 1).alias("past")), ranking)
-    got = got.groupBy(item).agg(F.sum(F.col(place) - F.col("past")).alias("gain"), F.sum((F.col(place) <= panel).cast("long")).alias("votes"))
-    return got.crossJoin(F.broadcast(ends)).select(item, F.round((F.col("all") + F.col("gain")) / len(names), 6).alias("borda"), "votes")
+def borda(rankings: DataFrame, item: str, ranking: str, place: str, n: int, missing: float = 1e6) -> DataFrame:
+    """item, borda (sum of its places, ``missing`` for each of the ``n`` rankings that lack it) and votes (rankings that have it).
+
+    The order of the fusion is by votes, most first, then by borda. Counted in one pass, without an outer join of the rankings.
+    """
+    got = rankings.groupBy(item).agg(F.sum(place).cast("double").alias("sum"), F.countDistinct(ranking).alias("votes"))
+    return got.select(item, (F.col("sum") + missing * (n - F.col("votes"))).alias("borda"), "votes")
 
 
 def best_two(df: DataFrame, item: str, name: str, score: Column) -> DataFrame:

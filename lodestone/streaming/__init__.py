@@ -1 +1 @@
-
+"""Streaming aggregations and incremental runs."""
