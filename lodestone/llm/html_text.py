@@ -41,6 +41,8 @@ TOKEN = re.compile(
 )
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+#: Characters of all templates up to which they are sent to every task; beyond it, tasks that share a host's pages.
+BROADCAST, SALTS = 16_000_000, 64
 NAMES_OF_TOKENS = ("key", "parent", "tag", "n", "place", "held", "kind")
 #: A token is looked at if this share of a host's pages has it; pages of rarer templates are read by the names of their parts alone.
 SUPPORT = 0.02
@@ -271,7 +273,13 @@ def main_texts(pages: DataFrame) -> DataFrame:
         return pd.Series([extract(x, read[t]) for x, t in zip(texts, known, strict=True)])
 
     run.__annotations__ = {"texts": pd.Series, "known": pd.Series, "return": pd.Series}
-    with_template = base.join(templates(base), "host")
+    known = cut(templates(base))
+    size = known.agg(F.coalesce(F.sum(F.length("template")), F.lit(0))).first()[0]
+    if size <= BROADCAST:
+        with_template = base.join(F.broadcast(known), "host")
+    else:  # a host's pages go to many tasks
+        place = F.pmod(F.xxhash64("page_id", F.length("html")), F.lit(SALTS)).cast("int")
+        with_template = base.withColumn("salt", place).join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"])
     out = with_template.select("page_id", "url", F.pandas_udf(run, "string")("html", "template").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 

@@ -138,3 +138,10 @@ def test_deep_and_long_pages(spark):
     rows = [(i, "http://deep.example.com/", deep(i), "x", 0) for i in range(4)] + [(9, "http://long.example.com/", "<article>" + "<p>word</p>" * 20_000 + "</article>", "x", 0)]
     got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {i: f"Deep {i}" for i in range(4)} | {9: "\n".join(["word"] * 20_000)}
+
+
+def test_large_sets_of_templates_are_joined_in_salted_parts(spark, monkeypatch):
+    table = spark.createDataFrame([(i, f"http://h{i % 3}.example.com/", neutral(i, "a"), "x", 0) for i in range(12)] + [(None, "http://h1.example.com/", None, "x", 0)], SCHEMA)
+    want = sorted((str(r["page_id"]), r["text"]) for r in html_text.main_texts(table).collect())
+    monkeypatch.setattr(html_text, "BROADCAST", -1)
+    assert sorted((str(r["page_id"]), r["text"]) for r in html_text.main_texts(table).collect()) == want
