@@ -27,14 +27,20 @@ def chunks(norm: Column, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK)
     return F.regexp_extract_all(norm, F.lit(f"(?s).{{{min_chunk},{max_chunk - 2}}}?{BOUNDARY}|.{{1,{max_chunk}}}"), F.lit(0))
 
 
-def chunk_identifiers(table: DataFrame, hash_bits: int = 64) -> DataFrame:
-    """Contents of chunks that share their hash with another content: ``chunk, h, ordinal`` (normally no row at all).
+def distinct_chunks(table: DataFrame, hash_bits: int = 64) -> DataFrame:
+    """chunk and h of every distinct chunk of the array column ``chunks``, shuffled as a key that is compared in full."""
+    return table.select(F.explode("chunks").alias("chunk")).select("chunk", chunk_hash(F.col("chunk"), hash_bits).alias("h")).distinct()
 
-    ``table`` has the array column ``chunks``. Every distinct chunk is shuffled once, as a key that is compared in full.
-    """
-    distinct = table.select(F.explode("chunks").alias("chunk")).select("chunk", chunk_hash(F.col("chunk"), hash_bits).alias("h")).distinct()
-    clash = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    return distinct.join(clash, "h", "left_semi").groupBy("h").agg(F.sort_array(F.collect_list("chunk")).alias("all")).select("h", F.posexplode("all").alias("ordinal", "chunk"))
+
+def clashing_hashes(table: DataFrame, hash_bits: int = 64) -> DataFrame:
+    """Hashes that several distinct chunks share (normally none). Every distinct chunk moves once, and then its hash alone."""
+    return distinct_chunks(table, hash_bits).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+
+
+def chunk_identifiers(table: DataFrame, clash: DataFrame, hash_bits: int = 64) -> DataFrame:
+    """Contents of the chunks whose hash is in ``clash``: ``chunk, h, ordinal``."""
+    some = distinct_chunks(table, hash_bits).join(clash, "h", "left_semi")
+    return some.groupBy("h").agg(F.sort_array(F.collect_list("chunk")).alias("all")).select("h", F.posexplode("all").alias("ordinal", "chunk"))
 
 
 def chunk_hash(chunk: Column, hash_bits: int = 64) -> Column:
@@ -49,10 +55,10 @@ def recipes(docs: DataFrame, row: str, hash_bits: int = 64, min_chunk: int = MIN
     identifies rows for that repair).
     """
     cut_up = docs.withColumn("chunks", chunks(F.col("norm"), min_chunk, max_chunk))
-    clashes = cut(chunk_identifiers(cut_up.select("chunks"), hash_bits))
-    plain = cut_up.withColumn("recipe", F.transform("chunks", lambda c: chunk_hash(c, hash_bits)))
-    if clashes.isEmpty():
-        return plain.drop("chunks")
+    clash = cut(clashing_hashes(cut_up.select("chunks"), hash_bits))
+    if clash.isEmpty():
+        return cut_up.withColumn("recipe", F.transform("chunks", lambda c: chunk_hash(c, hash_bits))).drop("chunks")
+    clashes = cut(chunk_identifiers(cut_up.select("chunks"), clash, hash_bits))
     cut_up = cut(docs).withColumn("chunks", chunks(F.col("norm"), min_chunk, max_chunk))  # the repair needs rows that keep their numbers
     pairs = cut_up.select(row, F.posexplode("chunks").alias("at", "chunk")).withColumn("h", chunk_hash(F.col("chunk"), hash_bits))
     fixed = (
