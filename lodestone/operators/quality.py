@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.joins import null_safe
+from lodestone.operators.transforms import exact_quantiles, value_places
+
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n_rows, n_null, n_distinct (nulls not counted), one row per column."""
@@ -40,18 +43,18 @@ def correlations(df: DataFrame, columns: list[str], digits: int = 6) -> DataFram
 
 
 def mean_ranks(df: DataFrame, columns: list[str], within: list[str]) -> DataFrame:
-    """Adds rank_<c>, average ranks (ties share their mean) inside the groups ``within``."""
-    out = {}
+    """Adds rank_<c>, average ranks (ties share their mean) inside the groups ``within``; a null has none."""
     for c in columns:
-        out[f"rank_{c}"] = F.rank().over(Window.partitionBy(*within).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*within, c)) - 1) / 2.0
-    return df.withColumns(out)
+        ranks = value_places(df, within, c).select("g.*", F.col("value").alias(c), (F.col("below") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
+        df = null_safe(df, ranks, [*within, c])
+    return df
 
 
 def robust_stats(df: DataFrame, group: list[str], value: str, digits: int = 6) -> DataFrame:
     """Per group: n, mean, std_pop, median, iqr, low, high and spread."""
     v = F.col(value)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    got = df.groupBy(*group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_pop"), q.alias("q"), F.min(v).alias("low"), F.max(v).alias("high"))
+    got = df.groupBy(*group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_pop"), F.min(v).alias("low"), F.max(v).alias("high"))
+    got = null_safe(got, exact_quantiles(df, group, value, [0.25, 0.5, 0.75]), group)
     r = lambda c: F.round(c, digits)
     return got.select(*group, "n", r(F.col("mean")).alias("mean"), r(F.col("std_pop")).alias("std_pop"), r(F.col("q")[1]).alias("median"), r(F.col("q")[2] - F.col("q")[0]).alias("iqr"), r(F.col("low")).alias("low"), r(F.col("high")).alias("high"), r(F.col("high") - F.col("low")).alias("spread"))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.joins import null_safe
+from lodestone.operators.transforms import exact_quantiles, value_places
+
 
 def sessions(df: DataFrame, key: str, at: str, order: list[str], gap: int) -> DataFrame:
     """Adds session: rows of a key whose ``at`` (seconds) is more than ``gap`` after the row before begin a new one."""
@@ -14,11 +17,22 @@ def sessions(df: DataFrame, key: str, at: str, order: list[str], gap: int) -> Da
 
 
 def outliers(df: DataFrame, group: str, value: str, k: float, least: float) -> DataFrame:
-    """Rows with |value - median| > max(least, k * 1.4826 * MAD) of their group. Two small aggregations are joined back."""
-    med = df.groupBy(group).agg(F.median(value).alias("centre"))
-    far = df.join(med, group).withColumn("deviation", F.abs(F.col(value) - F.col("centre")))
-    mad = far.groupBy(group).agg(F.median("deviation").alias("mad"))
-    return far.join(mad, group).where(F.col("deviation") > F.greatest(F.lit(least), 1.4826 * k * F.col("mad")))
+    """Rows with |value - median| > max(least, k * 1.4826 * MAD) of their group. Both medians are exact and counted range by range."""
+    middle = lambda df, c, name: exact_quantiles(df, [group], c, [0.5]).select(group, F.col("q")[0].alias(name))
+    far = df.join(middle(df, value, "centre"), group).withColumn("deviation", F.abs(F.col(value) - F.col("centre")))
+    return far.join(middle(far, "deviation", "mad"), group).where(F.col("deviation") > F.greatest(F.lit(least), 1.4826 * k * F.col("mad")))
+
+
+def places(df: DataFrame, group: list[str], value: str, ties: list[str]) -> DataFrame:
+    """Adds place (rank by descending value, from 1, ties share the first) and percentile (1 for the best, by ``ties`` among equal values)
+    within each group of rows with a value; by counts of values, so that a large group is not sorted in one task."""
+    down = df.where(F.col(value).isNotNull()).withColumn("down", -F.col(value))
+    ranks = value_places(down, group, "down")
+    size = ranks.groupBy("g").agg(F.sum("n").alias("all"))
+    told = ranks.join(size, "g").select("g.*", F.col("value").alias("down"), "below", "all")
+    tied = F.row_number().over(Window.partitionBy(*group, "down").orderBy(*ties)) - 1
+    both = null_safe(down, told, [*group, "down"]).withColumn("tied", tied)
+    return both.select(*df.columns, (F.col("below") + 1).alias("place"), (1 - (F.col("below") + F.col("tied")) / F.col("all")).alias("percentile"))
 
 
 def borda(rankings: DataFrame, item: str, ranking: str, place: str, n: int, missing: float = 1e6) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.transforms import distinct_ranks
+from lodestone.operators.transforms import distinct_ranks, exact_quantiles
 
 # --- against a reference sample
 
@@ -79,8 +79,8 @@ def kernel_distance(aa: Column, bb: Column, ab: Column) -> Column:
 
 def distance_scale(df: DataFrame, distance: str, eligible: Column, q: float = 0.1, least: float = 1e-8) -> float:
     """The ``q`` quantile of the distances of eligible rows, ``least`` at least; 1 without such rows."""
-    got = df.where(eligible & F.col(distance).isNotNull()).agg(F.percentile(distance, F.lit(q))).first()[0]
-    return 1.0 if got is None else max(got, least)
+    got = exact_quantiles(df.where(eligible), [], distance, [q]).first()
+    return 1.0 if got is None else max(got["q"][0], least)
 
 
 def fused(views: list[tuple[Column, float]]) -> Column:

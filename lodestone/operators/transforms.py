@@ -14,9 +14,9 @@ from lodestone.functions.cleaning import finite
 
 def fill_values(df: DataFrame, numbers: list[str], categories: list[str]) -> dict:
     """The median of each number column and the commonest value (the smaller in ties) of each category column; one row reaches the driver."""
-    modes = [F.mode(F.col(c), deterministic=True).alias(c) for c in categories]
-    row = df.agg(F.lit(0).alias("z"), *[F.percentile(finite(F.col(c)), F.lit(0.5)).alias(c) for c in numbers], *modes).first()
-    return {c: row[c] for c in [*numbers, *categories] if row[c] is not None}
+    modes = df.agg(F.lit(0).alias("z"), *[F.mode(F.col(c), deterministic=True).alias(c) for c in categories]).first()
+    medians = {c: exact_quantiles(df.select(finite(F.col(c)).alias(c)), [], c, [0.5]).first() for c in numbers}
+    return {c: r["q"][0] for c, r in medians.items() if r is not None} | {c: modes[c] for c in categories if modes[c] is not None}
 
 
 def filled(df: DataFrame, values: dict) -> DataFrame:
@@ -34,9 +34,8 @@ def standard_scale(df: DataFrame, columns: list[str]) -> dict[str, tuple[float,
 
 def robust_scale(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Median and interquartile range of each column; a range of 0 counts as 1."""
-    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    row = df.agg(F.lit(0), *[F.percentile(finite(F.col(c)), at) for c in columns]).first()[1:]
-    return {c: (q[1], (q[2] - q[0]) or 1.0) for c, q in zip(columns, row, strict=True) if q is not None}
+    rows = {c: exact_quantiles(df.select(finite(F.col(c)).alias(c)), [], c, [0.25, 0.5, 0.75]).first() for c in columns}
+    return {c: (r["q"][1], (r["q"][2] - r["q"][0]) or 1.0) for c, r in rows.items() if r is not None}
 
 
 def scaled(df: DataFrame, scale: dict[str, tuple[float, float]], clip: float | None = None) -> DataFrame:
@@ -75,10 +74,8 @@ def label_codes(df: DataFrame, column: str, known: list, name: str) -> DataFrame
 
 def quantile_edges(df: DataFrame, column: str, q: int) -> list[float]:
     """The q - 1 inner quantiles of a column, without repeats: fewer bins where values are tied."""
-    at = F.array(*[F.lit(i / q) for i in range(q + 1)])
-    found = df.agg(F.percentile(finite(F.col(column)), at)).first()[0] or []
-    edges = sorted(set(found))
-    return edges[1:-1]
+    row = exact_quantiles(df.select(finite(F.col(column)).alias(column)), [], column, [i / q for i in range(q + 1)]).first()
+    return sorted(set(row["q"]))[1:-1] if row is not None else []
 
 
 def binned(df: DataFrame, column: str, edges: list[float], name: str) -> DataFrame:
@@ -119,19 +116,40 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select(*[F.col(f"r_{c}").alias(c) for c in columns])
 
 
-def distinct_ranks(df: DataFrame, column: str, parts: int = 256) -> DataFrame:
-    """value, n, below (rows with smaller values) and rank (the average rank, from 1) of each distinct value.
+def value_places(df: DataFrame, group: list[str], column: str, parts: int = 64) -> DataFrame:
+    """g (a struct of the group's columns), value, n and below (rows of the group with smaller values) of each distinct value of a group.
 
-    Values are dealt to ranges of about equal size, whose bounds are quantiles of the distinct values.
+    A group's values are dealt to ranges of about equal size, whose bounds are quantiles of its distinct values, and counted range by
+    range: neither a large group nor a few of them end up in few tasks. Null values are left out; null group columns are a group.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    found = counts.agg(F.percentile_approx("value", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
-    bounds = sorted(set(found or []))
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("value"))) if bounds else F.lit(0)
-    placed = counts.withColumn("part", part)
-    sizes = placed.groupBy("part").agg(F.sum("n").alias("size"))
-    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(ahead(Window.orderBy("part"))), F.lit(0)))  # at most ``parts`` rows
-    inside = F.coalesce(F.sum("n").over(ahead(Window.partitionBy("part").orderBy("value"))), F.lit(0))
-    got = placed.withColumn("inside", inside).join(F.broadcast(before.select("part", "before")), "part").withColumn("below", F.col("before") + F.col("inside"))
+    g = (F.struct(*group) if group else F.lit(0)).alias("g")
+    counts = df.where(F.col(column).isNotNull()).groupBy(g, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    bounds = counts.groupBy("g").agg(F.array_distinct(F.percentile_approx("value", [i / parts for i in range(1, parts)], 10 * parts)).alias("bounds"))
+    placed = counts.join(bounds, "g").withColumn("part", F.size(F.filter("bounds", lambda b: b <= F.col("value")))).drop("bounds")
+    sizes = placed.groupBy("g", "part").agg(F.sum("n").alias("size"))
+    ahead = lambda *by: Window.partitionBy("g", *by).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("g", "part", F.coalesce(F.sum("size").over(ahead().orderBy("part")), F.lit(0)).alias("before"))  # at most ``parts`` rows a group
+    inside = F.coalesce(F.sum("n").over(ahead("part").orderBy("value")), F.lit(0))
+    return placed.withColumn("inside", inside).join(before, ["g", "part"]).select("g", "value", "n", (F.col("before") + F.col("inside")).alias("below"))
+
+
+def distinct_ranks(df: DataFrame, column: str, parts: int = 256) -> DataFrame:
+    """value, n, below (rows with smaller values) and rank (the average rank, from 1) of each distinct value."""
+    got = value_places(df, [], column, parts)
     return got.select("value", "n", "below", (F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def exact_quantiles(df: DataFrame, group: list[str], column: str, qs: list[float]) -> DataFrame:
+    """The group's columns and q, an array of the exact quantiles of its values, between neighbours in proportion; groups without values
+    have no row."""
+    places = value_places(df, group, column)
+    total = places.groupBy("g").agg(F.sum("n").alias("all"))
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)]))
+    wanted = total.select("g", "all", at.alias("w")).select("g", F.col("w.i").alias("i"), ((F.col("all") - 1) * F.col("w.q")).alias("x"))
+    low, high = F.floor("x"), F.ceil("x")
+    has = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
+    near = places.join(F.broadcast(wanted) if not group else wanted, "g").where(has(low) | has(high))
+    ends = near.groupBy("g", "i", "x").agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("x") - F.floor("x"))
+    listed = ends.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", value.alias("v")))), lambda s: s["v"]).alias("q"))
+    return listed.select(*["g.*"] * bool(group), "q")

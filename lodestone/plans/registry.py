@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import cleaning
-from lodestone.operators import dedup, graph, joins, quality, ranking, vectors
+from lodestone.operators import dedup, graph, joins, quality, ranking, transforms, vectors
 from lodestone.plans.base import QUERIES, SQL, query
 from lodestone.sources.tables import table as t
 
@@ -145,11 +145,10 @@ def category_share(spark, d):
 @query("""WITH s AS (SELECT avg(p_retailprice) AS m, stddev_pop(p_retailprice) AS sd, quantile_cont(p_retailprice, 0.5) AS med, quantile_cont(p_retailprice, 0.75) - quantile_cont(p_retailprice, 0.25) AS iqr FROM part)
     SELECT p_partkey, round((p_retailprice - m) / sd, 6) + 0.0 AS standard, round((p_retailprice - med) / iqr, 6) + 0.0 AS robust FROM part, s""")
 def scaled(spark, d):
-    p = t(spark, d, "part").select("p_partkey", "p_retailprice")
-    v = F.col("p_retailprice")
-    fit = p.agg(F.avg(v).alias("m"), F.stddev_pop(v).alias("sd"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    both = p.crossJoin(F.broadcast(fit))  # one row of parameters
-    return both.select("p_partkey", (F.round((v - F.col("m")) / F.col("sd"), 6) + 0.0).alias("standard"), (F.round((v - F.col("q")[1]) / (F.col("q")[2] - F.col("q")[0]), 6) + 0.0).alias("robust"))
+    p = t(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("standard"), F.col("p_retailprice").alias("robust"))
+    one = transforms.scaled(p, transforms.standard_scale(p, ["standard"]))
+    both = transforms.scaled(one, transforms.robust_scale(p, ["robust"]))
+    return both.select("p_partkey", (F.round("standard", 6) + 0.0).alias("standard"), (F.round("robust", 6) + 0.0).alias("robust"))
 
 
 @query("""SELECT p_partkey, CAST(p_partkey % 5 AS INTEGER) AS fold, CASE WHEN p_size <= 10 THEN 0 WHEN p_size <= 20 THEN 1 WHEN p_size <= 35 THEN 2 ELSE 3 END AS bin,
@@ -216,10 +215,8 @@ def melt_wide(spark, d):
 
 @query("SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS place, round(1 - (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) - 1) / count(*) OVER (PARTITION BY c_nationkey), 6) AS percentile FROM customer WHERE c_acctbal > 0")
 def rank_eligible(spark, d):
-    w = Window.partitionBy("c_nationkey")
-    n = F.row_number().over(w.orderBy(F.desc("c_acctbal"), "c_custkey"))
-    c = t(spark, d, "customer").where("c_acctbal > 0")
-    return c.select("c_custkey", F.rank().over(w.orderBy(F.desc("c_acctbal"))).cast("long").alias("place"), F.round(1 - (n - 1) / F.count(F.lit(1)).over(w), 6).alias("percentile"))
+    c = t(spark, d, "customer").where("c_acctbal > 0").select("c_custkey", "c_nationkey", "c_acctbal")
+    return ranking.places(c, ["c_nationkey"], "c_acctbal", ["c_custkey"]).select("c_custkey", "place", F.round("percentile", 6).alias("percentile"))
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) > 3600 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -241,25 +238,26 @@ RANKED = """WITH s AS (SELECT l_suppkey AS s, sum(l_extendedprice) AS v, count(*
     UNION ALL SELECT s_suppkey, 'balance', row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) FROM supplier)"""
 
 
-def supplier_rankings(spark, d):
+def supplier_rankings(spark, d, k):
+    """The first ``k`` places of three rankings of suppliers."""
     per = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s")).agg(F.round(F.sum("l_extendedprice"), 2).alias("v"), F.count(F.lit(1)).alias("n"))
     bal = t(spark, d, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_acctbal").alias("v"))
     each = [per.select("s", F.lit("revenue").alias("ranking"), "v"), per.select("s", F.lit("volume"), F.col("n").cast("double")), bal.select("s", F.lit("balance"), "v")]
     place = F.row_number().over(Window.partitionBy("ranking").orderBy(F.desc("v"), "s"))
-    return reduce(lambda a, b: a.union(b), each).withColumn("place", place.cast("long")).drop("v")
+    placed = reduce(lambda a, b: a.union(b), each).withColumn("n", place).where(F.col("n") <= k)  # each task keeps its first ``k`` before the shuffle
+    return placed.select("s", "ranking", F.col("n").cast("long").alias("place"))
 
 
 @query(RANKED + """, k AS (SELECT * FROM r WHERE place <= 40), i AS (SELECT DISTINCT s FROM k), n AS (SELECT unnest(['revenue', 'volume', 'balance']) AS ranking),
     f AS (SELECT i.s, coalesce(k.place, 1e6) AS place FROM i CROSS JOIN n LEFT JOIN k ON k.s = i.s AND k.ranking = n.ranking)
     SELECT s, CAST(sum(place) AS DOUBLE) AS borda, CAST(sum(CASE WHEN place < 1e6 THEN 1 ELSE 0 END) AS BIGINT) AS votes FROM f GROUP BY s""")
 def borda_votes(spark, d):
-    some = supplier_rankings(spark, d).where("place <= 40")
-    return ranking.borda(some, "s", "ranking", "place", 3)
+    return ranking.borda(supplier_rankings(spark, d, 40), "s", "ranking", "place", 3)
 
 
 @query(RANKED + " SELECT ranking, k AS panel, s FROM r, (SELECT unnest([10, 20, 50]) AS k) WHERE place <= k")
 def nested_panels(spark, d):
-    got = supplier_rankings(spark, d).where("place <= 50").withColumn("panel", F.explode(F.array(F.lit(10), F.lit(20), F.lit(50))))
+    got = supplier_rankings(spark, d, 50).withColumn("panel", F.explode(F.array(F.lit(10), F.lit(20), F.lit(50))))
     return got.where("place <= panel").select("ranking", "panel", "s")
 
 
