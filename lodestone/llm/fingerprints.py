@@ -15,8 +15,9 @@ from pyspark.sql.types import NumericType
 from .common import documents, text_or_empty
 
 K, S = 7, 2
-#: fixed values: scripts written without blanks between words
-UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
+#: fixed values: blocks of scripts written without blanks between words (Thai, Lao, Myanmar, Khmer, kana, Han), and all from the first on
+UNSPACED = "[\\u0E00-\\u0EFF\\u1000-\\u109F\\u1780-\\u17FF\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF\\x{20000}-\\x{2FA1F}]"
+BEYOND = "[\\u0E00-\\x{10FFFF}]"
 #: Among so many words a k-mer is always chosen: of K - S of them in a row, one is.
 ENOUGH = 2 * K - S - 1
 #: Buckets of neighbouring ids: about so many rows each, at most so many buckets (what the driver and each row's lookup hold).
@@ -31,7 +32,7 @@ def bound(value: Column, use) -> Column:
 def words(text: Column) -> Column:
     """The words between white space; of scripts that set none, each character is a word."""
     plain = F.filter(F.split(text, "\\s+"), lambda w: w != "")
-    return F.when(text.rlike(UNSPACED), F.regexp_extract_all(text, F.lit(f"{UNSPACED}|(?:(?!{UNSPACED})\\S)+"), F.lit(0))).otherwise(plain)
+    return F.when(text.rlike(BEYOND) & text.rlike(UNSPACED), F.regexp_extract_all(text, F.lit(f"{UNSPACED}|(?:(?!{UNSPACED})\\S)+"), F.lit(0))).otherwise(plain)
 
 
 def smers(ws: Column) -> Column:
