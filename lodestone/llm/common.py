@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -85,6 +87,14 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def once(name: str, make: Callable) -> object:
+    """What ``make`` gives, made once a process: the tasks that a worker runs one after the other share it."""
+    store = sys.modules.setdefault("_lodestone_once", types.ModuleType("_lodestone_once")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -18,11 +18,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents, text_or_empty
+from .common import cut, documents, once, text_or_empty
 
 CAPACITY, END = 4096, 1
 #: Remembered words of a task, at most.
-REMEMBER = 400_000
+REMEMBER = 200_000
 #: Buckets of a given order: about so many pieces each, at most so many buckets (what the driver holds).
 BUCKET_ROWS, MOST_BUCKETS = 64, 4096
 #: Python's split() takes these for white space and the tokenizer does not.
@@ -169,13 +169,14 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_
         from pyspark import TaskContext
 
         made, shard = np.zeros(capacity + 1, dtype=np.int64), TaskContext.get().partitionId()
-        words, last = WordIds(public_tokenizers.path(tokenizer)), np.array([end_id], dtype="<u4").tobytes()
+        path, last = public_tokenizers.path(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        words = once(f"words {path}", lambda: WordIds(path))
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             at = 0
             while at < batch.num_rows:
                 part, chars = [], 0
-                while at + len(part) < batch.num_rows and chars < 1 << 22:
+                while at + len(part) < batch.num_rows and chars < 1 << 20:
                     part.append(texts[at + len(part)].as_py())
                     chars += len(part[-1])
                 which, rows, blobs = [], [], []
