@@ -22,7 +22,7 @@ from .common import cut, documents, once, text_or_empty
 
 CAPACITY, END = 4096, 1
 #: Remembered words of a task, at most.
-REMEMBER = 200_000
+REMEMBER = 400_000
 #: Buckets of a given order: about so many pieces each, at most so many buckets (what the driver holds).
 BUCKET_ROWS, MOST_BUCKETS = 64, 4096
 #: Python's split() takes these for white space and the tokenizer does not.
@@ -53,11 +53,12 @@ class WordIds:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        seen = self.seen
-        if len(seen) > self.remember:
-            seen.clear()
         split = [PRETOKEN.findall(t.lower()) if not OTHER.search(t) else None if ODD_SPACE.search(t) else t.split() for t in texts]
-        new = set().union(*(s for s in split if s)) - seen.keys()
+        words = set().union(*(s for s in split if s))
+        if len(self.seen) > self.remember:  # those that come again stay, and so do the common ones
+            self.seen = {w: self.seen[w] for w in words & self.seen.keys()}
+        seen = self.seen
+        new = words - seen.keys()
         letters = [x for x in new if x.isalpha() and x.islower() and max(x) <= "ÿ"]
         seen.update(zip(letters, self._letters(letters), strict=True))
         rest = [x for x in new if x not in seen]
@@ -176,7 +177,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_
             at = 0
             while at < batch.num_rows:
                 part, chars = [], 0
-                while at + len(part) < batch.num_rows and chars < 1 << 20:
+                while at + len(part) < batch.num_rows and chars < 1 << 22:
                     part.append(texts[at + len(part)].as_py())
                     chars += len(part[-1])
                 which, rows, blobs = [], [], []
