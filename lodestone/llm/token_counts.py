@@ -22,7 +22,7 @@ LIMIT = 512
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PRETOKEN = f"'s|'t|'re|'ve|'m|'ll|'d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{SPACE}\\p{{L}}\\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: The pieces of a batch that are remembered between batches, at most.
-REMEMBER = 200_000
+REMEMBER = 400_000
 
 
 class RankMerger:
@@ -139,7 +139,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
         path = public_tokenizers.path(tokenizer)
         counter = once(f"counts {path}", lambda: TokenCounter(path))
         for batch in batches:
-            yield pd.Series([n for part in bounded(batch.tolist(), 1 << 20) for n in counter.counts(part)], dtype="int64")
+            yield pd.Series([n for part in bounded(batch.tolist()) for n in counter.counts(part)], dtype="int64")
 
     def typed(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
         return count(batches)
