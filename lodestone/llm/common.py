@@ -117,3 +117,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], spread, salts: int = 64) -> DataFrame:
+    """``rows`` joined with the one row that ``groups`` has for their ``keys`` (no nulls in them), however many rows share a key.
+
+    ``spread`` deals a key's rows to ``salts`` parts. Each part of a key that occurs has its own row to meet, at most ``salts`` a key, so
+    no task gets all rows of a key and nothing is broadcast.
+    """
+    (salt,) = fresh([*rows.columns, *groups.columns], "salt")
+    dealt = rows.withColumn(salt, F.pmod(spread, F.lit(salts)).cast("int"))
+    parts = dealt.select(*keys, salt).distinct().join(groups, keys)
+    return dealt.join(parts, [*keys, salt], "left").drop(salt)

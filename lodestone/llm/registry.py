@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, html_text, mixing, near_dedup, packing, quality, repeats, token_counts, toxicity
+from . import exact_dedup, fingerprints, html_text, mixing, near_dedup, packing, quality, repeats, survivorship, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op7_token_counts": token_counts.op7_token_counts,
         "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "op11_golden_records": survivorship.op11_golden_records,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op11_golden_records": survivorship.ORACLE_SQL}
