@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, html_text, mixing, near_dedup, packing, quality, repeats, survivorship, token_counts, toxicity
+from . import exact_dedup, fingerprints, html_text, mixing, near_dedup, packing, quality, repeats, resampling, survivorship, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
         "op11_golden_records": survivorship.op11_golden_records,
+        "op13_importance_resampling": resampling.op13_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op11_golden_records": survivorship.ORACLE_SQL}
+    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op11_golden_records": survivorship.ORACLE_SQL, "op13_importance_resampling": resampling.ORACLE_SQL}
