@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, html_text, mixing, near_dedup, packing, quality, repeats, resampling, survivorship, token_counts, toxicity
+from . import embedding_dedup, exact_dedup, fingerprints, html_text, mixing, near_dedup, packing, quality, repeats, resampling, survivorship, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
         "op11_golden_records": survivorship.op11_golden_records,
+        "op12_embedding_near_dedup": embedding_dedup.op12_embedding_near_dedup,
         "op13_importance_resampling": resampling.op13_importance_resampling,
     }
 
