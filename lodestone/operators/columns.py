@@ -42,18 +42,26 @@ def correlation_table(df: DataFrame, columns: list[str], method: str = "pearson"
     return found | {(b, a): r for (a, b), r in found.items()}
 
 
-def scan(columns: list[str], table: dict, over, keep, exempt: set[str] = frozenset()) -> dict[str, str]:
-    """dropped -> kept for: pairs in table order, both still there and ``over`` their r; ``keep`` names the one that stays."""
+def scan(columns: list[str], table: dict, over, keep, exempt: set[str] = frozenset(), stop: bool = False, back: bool = False) -> dict[str, str]:
+    """dropped -> kept for: in table order each column meets those after it (``back``: before it); of two whose r is ``over``, ``keep`` names
+    the one that stays.
+
+    A column that is gone begins no comparisons and is met by none, but one that goes while it is compared is still compared with the
+    rest, unless ``stop``; so another can go for one that is gone itself. The last reason is told.
+    """
     dropped: dict[str, str] = {}
-    for a, b in combinations(columns, 2):
-        if a in dropped or b in dropped or (a, b) not in table or not over(table[a, b]):
+    for i, a in enumerate(columns):
+        if a in dropped:
             continue
-        stays = keep(a, b)
-        goes = b if stays == a else a
-        if goes in exempt:
-            stays, goes = goes, stays
-        if goes not in exempt:
-            dropped[goes] = stays
+        for b in columns[:i] if back else columns[i + 1 :]:
+            if (stop and a in dropped) or b in dropped or (a, b) not in table or not over(table[a, b]):
+                continue
+            stays = keep(a, b)
+            goes = b if stays == a else a
+            if goes in exempt:
+                stays, goes = goes, stays
+            if goes not in exempt:
+                dropped[goes] = stays
     return dropped
 
 
@@ -68,7 +76,7 @@ def collinear_by_target(df: DataFrame, columns: list[str], target: str, threshol
     """Policy B: the one with the higher |r| to the target stays, then the smaller name."""
     with_target = correlation_table(df, [*columns, target])
     best = lambda c: (-with_target.get((c, target), 0.0), c)
-    return scan(columns, with_target, lambda r: r >= threshold, lambda a, b: min(a, b, key=best))
+    return scan(columns, with_target, lambda r: r >= threshold, lambda a, b: min(a, b, key=best), back=True)
 
 
 def collinear_by_variance(df: DataFrame, columns: list[str], threshold: float) -> dict[str, str]:
@@ -83,7 +91,7 @@ def collinear_by_spread(df: DataFrame, columns: list[str], threshold: float) ->
     """Policy D: by Spearman's rho, columns are visited from the largest standard deviation on and drop all that go with them."""
     stats = statistics(df, columns)
     order = sorted(columns, key=lambda c: -(stats[c]["var"] or 0.0))
-    return scan(order, correlation_table(df, columns, "spearman"), lambda r: r >= threshold, lambda a, b: a)
+    return scan(order, correlation_table(df, columns, "spearman"), lambda r: r >= threshold, lambda a, b: a, stop=True)
 
 
 def average_link(columns: list[str], table: dict, threshold: float) -> list[list[str]]:

@@ -18,4 +18,15 @@ def written(df: DataFrame) -> DataFrame:
         at = tempfile.gettempdir()
     path = f"{at.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodestone_scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing will read again; others are left alone."""
+    for table in tables:
+        path = getattr(table, "_lodestone_scratch", None)
+        if path is not None:
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
