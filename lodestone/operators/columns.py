@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.cleaning import finite
+from lodestone.operators.gram import correlation_matrix
 from lodestone.operators.quality import near_zero_variance, value_counts
 
 LEDGER = "feature string, action string, reason string, kept_for string"
@@ -35,11 +36,8 @@ def correlation_table(df: DataFrame, columns: list[str], method: str = "pearson"
         from lodestone.operators.transforms import average_ranks
 
         df = average_ranks(df, columns)
-    pairs = list(combinations(columns, 2))
-    v = {c: finite(F.col(c)) for c in columns}
-    row = df.agg(*[F.corr(v[a], v[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first() if pairs else []
-    found = {p: abs(r) for p, r in zip(pairs, row, strict=True) if r is not None and np.isfinite(r)}
-    return found | {(b, a): r for (a, b), r in found.items()}
+    r = np.abs(correlation_matrix(df, columns)) if columns else np.zeros((0, 0))
+    return {(a, b): float(r[i, j]) for i, a in enumerate(columns) for j, b in enumerate(columns) if i != j and np.isfinite(r[i, j])}
 
 
 def scan(columns: list[str], table: dict, over, keep, exempt: set[str] = frozenset(), stop: bool = False, back: bool = False) -> dict[str, str]:
@@ -124,9 +122,19 @@ def collinear_with_earlier(df: DataFrame, columns: list[str], threshold: float)
 
 
 def equal_columns(df: DataFrame, columns: list[str], digits: int = 12) -> dict[str, str]:
-    """dropped -> kept for: columns with the values of an earlier one in every row, after rounding; nulls are equal."""
-    v = {c: F.bround(finite(F.col(c)), digits) for c in columns}
-    pairs = list(combinations(columns, 2))
+    """dropped -> kept for: columns with the values of an earlier one in every row, after rounding; nulls are equal.
+
+    Columns with equal sums of two hashes of (value, row) are candidates; only those are compared value by value. So a wide table asks for
+    two numbers a column, not one a pair.
+    """
+    v = {c: F.bround(finite(F.col(c)), digits) + 0.0 for c in columns}
+    flat = df.select(*[v[c].alias(f"v{i}") for i, c in enumerate(columns)]).select("*", F.xxhash64(*[f"v{i}" for i in range(len(columns))]).alias("row"))
+    sums = [F.sum(F.xxhash64(F.lit(seed), f"v{i}", "row").bitwiseAND(F.lit((1 << 40) - 1)).cast("decimal(38,0)")) for i in range(len(columns)) for seed in (1, 2)]
+    told = flat.agg(F.lit(0), *sums).first()[1:]
+    groups: dict[tuple, list[str]] = {}
+    for i, c in enumerate(columns):
+        groups.setdefault(told[2 * i : 2 * i + 2], []).append(c)
+    pairs = [(a, b) for g in groups.values() for a, b in combinations(g, 2)]
     row = df.agg(*[F.bool_and(v[a].eqNullSafe(v[b])).alias(f"e{i}") for i, (a, b) in enumerate(pairs)]).first() if pairs else []
     return scan(columns, {p: 1.0 for p, e in zip(pairs, row, strict=True) if e}, lambda r: True, lambda a, b: a)
 
@@ -139,34 +147,41 @@ def equivalent(df: DataFrame, a: str, b: str, least_r: float = 0.995, tolerance:
     return n >= overlap and r is not None and abs(r) >= least_r and gap <= tolerance
 
 
+def correlations_with_zeros(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """Correlations where a missing value counts as 0, and so does an r that is not defined."""
+    m = np.nan_to_num(correlation_matrix(df.select(*[F.coalesce(finite(F.col(c)), F.lit(0.0)).alias(c) for c in columns]), columns))
+    np.fill_diagonal(m, 1.0)
+    return m
+
+
+def factors(m: np.ndarray) -> np.ndarray:
+    return np.diag(np.linalg.pinv(m) if np.linalg.cond(m) > 1e12 else np.linalg.inv(m))
+
+
 def inflation_factors(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Variance inflation factor of each column, from the inverse of the correlation matrix (a pseudo-inverse where there is none)."""
-    v = [F.coalesce(finite(F.col(c)), F.lit(0.0)) for c in columns]
-    pairs = list(combinations(range(len(columns)), 2))
-    row = df.agg(F.count(F.lit(1)), *[F.corr(v[i], v[j]) for i, j in pairs]).first()
-    m = np.eye(len(columns))
-    for (i, j), r in zip(pairs, row[1:], strict=True):
-        m[i, j] = m[j, i] = 0.0 if r is None else r
-    inverse = np.linalg.pinv(m) if np.linalg.cond(m) > 1e12 else np.linalg.inv(m)
-    return dict(zip(columns, np.diag(inverse).tolist(), strict=True))
+    return dict(zip(columns, factors(correlations_with_zeros(df, columns)).tolist(), strict=True))
 
 
 def prune_by_inflation(df: DataFrame, columns: list[str], threshold: float) -> list[str]:
-    """The columns that stay when the one with the largest factor goes until none is above the threshold or two are left."""
-    left = list(columns)
+    """The columns that stay when the one with the largest factor goes until none is above the threshold or two are left.
+
+    The table is read once: what is left after each step is a part of one matrix.
+    """
+    m, left = correlations_with_zeros(df, columns), list(range(len(columns)))
     while len(left) > 2:
-        factors = inflation_factors(df, left)
-        worst = max(left, key=lambda c: factors[c])
-        if factors[worst] <= threshold:
+        told = factors(m[np.ix_(left, left)])
+        worst = int(np.argmax(told))
+        if told[worst] <= threshold:
             break
-        left.remove(worst)
-    return left
+        left.pop(worst)
+    return [columns[i] for i in left]
 
 
 def near_constant(df: DataFrame, columns: list[str], share: float) -> list[str]:
-    """Columns of (almost) no variance, or of which one value has ``share`` of all."""
+    """Columns of (almost) no variance, or of which one value, to 12 places, has ``share`` of all."""
     stats = statistics(df, columns)
-    tops = {r["column"]: r["top"] / r["all"] for r in value_counts(df, columns).groupBy("column").agg(F.max("n").alias("top"), F.sum("n").alias("all")).collect()}  # a row a column
+    tops = {r["column"]: r["top"] / r["all"] for r in value_counts(df.select(*[F.round(finite(F.col(c)), 12).alias(c) for c in columns]), columns).groupBy("column").agg(F.max("n").alias("top"), F.sum("n").alias("all")).collect()}  # a row a column
     return [c for c in columns if (stats[c]["var_pop"] or 0.0) < 1e-12 or tops.get(c, 1.0) >= share]
 
 

@@ -36,8 +36,15 @@ def near_zero_variance(df: DataFrame, columns: list[str], distinct_share: float,
 
 
 def correlations(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
-    """a, b and Pearson's r of each pair of columns: one aggregation, as many numbers as pairs."""
+    """a, b and Pearson's r of each pair of columns: one aggregation, as many numbers as pairs; of many columns, a Gram matrix."""
     pairs = list(combinations(columns, 2))
+    if len(columns) > 24:
+        from lodestone.operators.gram import correlation_matrix
+
+        r = correlation_matrix(df, columns)
+        at = {c: i for i, c in enumerate(columns)}
+        rows = [(a, b, None if r[at[a], at[b]] != r[at[a], at[b]] else float(r[at[a], at[b]])) for a, b in pairs]
+        return df.sparkSession.createDataFrame(rows, "a string, b string, r double").withColumn("r", F.round("r", digits))
     one = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(f"r{i}", digits).alias("r")) for i, (a, b) in enumerate(pairs)])))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.joins import null_safe
 from lodestone.operators.transforms import exact_quantiles, value_places
+from lodestone.sources.scratch import written
 
 
 def sessions(df: DataFrame, key: str, at: str, order: list[str], gap: int) -> DataFrame:
@@ -18,7 +19,7 @@ def sessions(df: DataFrame, key: str, at: str, order: list[str], gap: int) -> Da
 
 def outliers(df: DataFrame, group: str, value: str, k: float, least: float) -> DataFrame:
     """Rows with |value - median| > max(least, k * 1.4826 * MAD) of their group. Both medians are exact and counted range by range."""
-    middle = lambda df, c, name: exact_quantiles(df, [group], c, [0.5]).select(group, F.col("q")[0].alias(name))
+    middle = lambda df, c, name: written(exact_quantiles(df, [group], c, [0.5]).select(group, F.col("q")[0].alias(name)))
     far = df.join(middle(df, value, "centre"), group).withColumn("deviation", F.abs(F.col(value) - F.col("centre")))
     return far.join(middle(far, "deviation", "mad"), group).where(F.col("deviation") > F.greatest(F.lit(least), 1.4826 * k * F.col("mad")))
 

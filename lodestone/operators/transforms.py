@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.cleaning import finite
 
+#: One over the relative error of a sketch of quantiles.
+SKETCH = 1000
+
 # --- imputation and scaling
 
 
@@ -141,15 +144,30 @@ def distinct_ranks(df: DataFrame, column: str, parts: int = 256) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, group: list[str], column: str, qs: list[float]) -> DataFrame:
     """The group's columns and q, an array of the exact quantiles of its values, between neighbours in proportion; groups without values
-    have no row."""
-    places = value_places(df, group, column)
-    total = places.groupBy("g").agg(F.sum("n").alias("all"))
-    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)]))
-    wanted = total.select("g", "all", at.alias("w")).select("g", F.col("w.i").alias("i"), ((F.col("all") - 1) * F.col("w.q")).alias("x"))
-    low, high = F.floor("x"), F.ceil("x")
-    has = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
-    near = places.join(F.broadcast(wanted) if not group else wanted, "g").where(has(low) | has(high))
-    ends = near.groupBy("g", "i", "x").agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    have no row.
+
+    A sketch brackets each quantile, and a second pass counts what is below the bracket and the values in it, some thousandths of all. So
+    the input is read twice, and neither a large group nor a common value meets in one task.
+    """
+    rows = df.where(F.col(column).isNotNull()).select((F.struct(*group) if group else F.lit(0)).alias("g"), F.col(column).alias("v"))
+    edges = [min(max(q + side * 3 / SKETCH, 0.0), 1.0) for q in qs for side in (-1, 1)]
+    found = rows.groupBy("g").agg(F.count(F.lit(1)).alias("all"), F.percentile_approx("v", edges, SKETCH).alias("e"))
+    few = F.col("all") <= 4 * SKETCH  # neighbours could be outside a bracket: all values are counted
+    at = F.transform(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)]), lambda w: F.struct(w["i"].alias("i"), w["q"].alias("q"), F.when(~few, F.element_at("e", 2 * w["i"] + 1)).alias("low"), F.when(~few, F.element_at("e", 2 * w["i"] + 2)).alias("high")))
+    wanted = found.select("g", "all", at.alias("w"))
+    v = F.col("v")
+    told = F.filter("w", lambda w: w["high"].isNull() | (v <= w["high"]))
+    each = F.explode(F.transform(told, lambda w: F.struct(w["i"].alias("i"), F.when(w["low"].isNull() | (v >= w["low"]), v).alias("v"))))
+    met = rows.join(F.broadcast(wanted), "g") if not group else rows.join(wanted, "g")
+    counts = met.select("g", each.alias("x")).groupBy("g", "x.i", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("g", "i").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("upto", upto).where("v IS NOT NULL")
+    quantile = F.element_at(F.array(*map(F.lit, map(float, qs))), F.col("i") + 1)
+    x = (F.col("all") - 1) * quantile
+    has = lambda k: (F.col("upto") - F.col("n") <= k) & (k < F.col("upto"))
+    sizes = found.select("g", "all")
+    near = (placed.join(F.broadcast(sizes), "g") if not group else placed.join(sizes, "g")).withColumn("x", x).where(has(F.floor("x")) | has(F.ceil("x")))
+    ends = near.groupBy("g", "i", "x").agg(F.min("v").alias("a"), F.max("v").alias("b"))
     value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("x") - F.floor("x"))
     listed = ends.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", value.alias("v")))), lambda s: s["v"]).alias("q"))
     return listed.select(*["g.*"] * bool(group), "q")
