@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.cleaning import finite
+from lodestone.sources.scratch import written
 
 #: One over the relative error of a sketch of quantiles.
 SKETCH = 1000
@@ -111,12 +112,13 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns as average ranks (ties share their mean), nulls as null.
 
     Ranks come from counts of distinct values: these are range-partitioned and summed partition by partition, so no task orders all rows.
+    All columns are one table of (row, column, value), which meets the ranks in one join.
     """
-    out = df.select(*[finite(F.col(c)).alias(c) for c in columns])
-    for c in columns:
-        ranks = distinct_ranks(out, c)
-        out = out.join(ranks.select(F.col("value").alias(c), F.col("rank").alias(f"r_{c}")), c, "left")
-    return out.select(*[F.col(f"r_{c}").alias(c) for c in columns])
+    rows = written(df.select(*[finite(F.col(c)).alias(c) for c in columns]).withColumn("row_", F.monotonically_increasing_id()))
+    long = rows.select("row_", F.posexplode(F.array(*columns)).alias("c", "v")).where("v IS NOT NULL")
+    ranks = value_places(long, ["c"], "v").select("g.c", F.col("value").alias("v"), (F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
+    wide = long.join(ranks, ["c", "v"]).groupBy("row_").agg(*[F.max(F.when(F.col("c") == i, F.col("rank"))).alias(c) for i, c in enumerate(columns)])
+    return rows.select("row_").join(wide, "row_", "left").select(*columns)
 
 
 def value_places(df: DataFrame, group: list[str], column: str, parts: int = 64) -> DataFrame:
