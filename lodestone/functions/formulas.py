@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: the halogens, and Roman numerals of coordination numbers
-HALOGENS = ["F", "Cl", "Br", "I", "At"]
+HALOGENS = ["F", "Cl", "Br", "I"]
 ROMAN = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII", "XIII", "XIV", "XV", "XVI"]
 
 
@@ -28,20 +28,21 @@ def fractions(of: Column) -> Column:
     return F.when(total(of) > 0, F.transform(of, lambda x: F.struct(x["symbol"].alias("symbol"), (x["amount"] / total(of)).alias("amount"))))
 
 
-def is_halogen(symbol: Column) -> Column:
-    return symbol.isin(HALOGENS)
+def is_halogen(symbol: Column, halogens: list[str] | None = None) -> Column:
+    """Whether it is one of the four halogens, or of ``halogens``."""
+    return symbol.isin(halogens or HALOGENS)
 
 
-def largest(of: Column, halogen: bool) -> Column:
+def largest(of: Column, halogen: bool, halogens: list[str] | None = None) -> Column:
     """Symbol of the part with the largest amount among halogens or among all others; the first in order in ties."""
-    some = F.filter(of, lambda x: is_halogen(x["symbol"]) if halogen else ~is_halogen(x["symbol"]))
+    some = F.filter(of, lambda x: is_halogen(x["symbol"], halogens) if halogen else ~is_halogen(x["symbol"], halogens))
     best = F.array_max(F.transform(some, lambda x: x["amount"]))
     return F.get(F.filter(some, lambda x: x["amount"] == best), F.lit(0))["symbol"]
 
 
-def first(of: Column, halogen: bool) -> Column:
+def first(of: Column, halogen: bool, halogens: list[str] | None = None) -> Column:
     """Symbol of the first halogen or other part in token order."""
-    return F.get(F.filter(of, lambda x: is_halogen(x["symbol"]) if halogen else ~is_halogen(x["symbol"])), F.lit(0))["symbol"]
+    return F.get(F.filter(of, lambda x: is_halogen(x["symbol"], halogens) if halogen else ~is_halogen(x["symbol"], halogens)), F.lit(0))["symbol"]
 
 
 def rendered(of: Column) -> Column:

@@ -42,6 +42,18 @@ def field_strength(charge: Column, radius: Column) -> Column:
     return ratio(finite(charge), finite(radius) ** 2)
 
 
+def summed_field_strength(parts: Column) -> Column:
+    """Sum of f * z / r^2 over an array of (f, z, r); parts without a positive radius do not count, and without any it is null."""
+    some = F.filter(parts, lambda p: (finite(p["r"]) > 0) & finite(p["z"]).isNotNull() & finite(p["f"]).isNotNull())
+    return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda s, p: s + p["f"] * p["z"] / (p["r"] * p["r"])))
+
+
+def mean_field_strength(parts: Column) -> Column:
+    """The sum of f * z / r^2 over the sum of f of the same parts."""
+    some = F.filter(parts, lambda p: (finite(p["r"]) > 0) & finite(p["z"]).isNotNull() & finite(p["f"]).isNotNull())
+    return ratio(summed_field_strength(parts), F.aggregate(some, F.lit(0.0), lambda s, p: s + p["f"]))
+
+
 def london_c6(polarisability: Column, ionisation: Column) -> Column:
     return 0.75 * finite(polarisability) ** 2 * finite(ionisation)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import dropped, written
+
 
 def shared_neighbours(edges: DataFrame, node: str, via: str) -> DataFrame:
     """a, b and n_shared for pairs of nodes with a common ``via``. A pair needs one; nodes of a via meet, so its degree must be small."""
@@ -28,3 +30,69 @@ def majority(df: DataFrame, group: str, label: str) -> DataFrame:
     n = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("votes"))
     w = Window.partitionBy(group).orderBy(F.col("votes").desc(), F.col(label))
     return n.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
+
+
+# --- plain graphs
+
+
+def simple(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Each undirected edge once (a < b), without loops and repeats."""
+    return edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """x, y, z of each triangle of a table of simple edges.
+
+    Every edge points to its end of higher degree (then of the greater name), so that a node of any degree has few edges from it: the pairs
+    that are looked up are at most the edges times the root of twice their number.
+    """
+    edges = written(edges)
+    degree = edges.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
+    of = lambda end: degree.select(F.col("n").alias(end), F.struct("d", "n").alias(f"{end}_rank"))
+    ends = edges.join(of("a"), "a").join(of("b"), "b")
+    up = written(ends.select(F.least("a_rank", "b_rank").alias("s"), F.greatest("a_rank", "b_rank").alias("t")))
+    wedge = up.select("s", F.col("t").alias("t1")).join(up.select("s", F.col("t").alias("t2")), "s").where("t1 < t2")
+    closed = wedge.join(up.select(F.col("s").alias("t1"), F.col("t").alias("t2")), ["t1", "t2"])
+    return closed.select(F.col("s.n").alias("x"), F.col("t1.n").alias("y"), F.col("t2.n").alias("z"))
+
+
+def core_numbers(edges: DataFrame) -> DataFrame:
+    """node and core, the largest k such that it is in a part of the graph where all have k neighbours or more.
+
+    Every node lowers its number to the largest h of which h neighbours have h or more, until none changes; neighbours are counted by their
+    numbers, so a node of high degree is no long list.
+    """
+    both = written(edges.select("a", "b").union(edges.select("b", "a")))
+    state = written(both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("core")))
+    while True:
+        seen = both.join(state.select(F.col("node").alias("b"), F.col("core").alias("c")), "b").groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"))
+        above = F.sum("n").over(Window.partitionBy("a").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0))
+        h = seen.withColumn("h", F.least(F.col("c"), above)).groupBy(F.col("a").alias("node")).agg(F.max("h").alias("h"))
+        new = written(state.join(h, "node").select("node", F.col("core").alias("old"), F.least("core", "h").alias("core")))
+        done = new.where("core < old").isEmpty()
+        dropped(state)
+        state = new
+        if done:
+            dropped(both)
+            return state.select("node", "core")
+
+
+def node_metrics(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
+    """node, degree, triangles, clustering (share of the pairs of its neighbours that are linked; 0 below two) and core of all ``nodes``;
+    those without an edge have 0 throughout. ``edges`` are simple (a, b)."""
+    degree = edges.select(F.explode(F.array("a", "b")).alias(node)).groupBy(node).agg(F.count(F.lit(1)).alias("degree"))
+    closed = triangles(edges).select(F.explode(F.array("x", "y", "z")).alias(node)).groupBy(node).agg(F.count(F.lit(1)).alias("triangles"))
+    core = core_numbers(edges).select(F.col("node").alias(node), "core")
+    got = nodes.select(node).join(degree, node, "left").join(closed, node, "left").join(core, node, "left").na.fill(0)
+    pairs = F.col("degree") * (F.col("degree") - 1) / 2
+    return got.select(node, "degree", "triangles", F.when(pairs > 0, F.col("triangles") / pairs).otherwise(0.0).alias("clustering"), "core")
+
+
+def consensus_edges(edges: DataFrame, methods: int, how: str = "majority") -> DataFrame:
+    """a, b and votes of the edges that several methods agree on: half of them, rounded down (at least one), or any (``union``).
+
+    ``edges`` has method, a and b; an edge counts once a method, whichever way it is told.
+    """
+    least = max(1, methods // 2) if how == "majority" else 1
+    told = edges.where("a <> b").select("method", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return told.groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= least)

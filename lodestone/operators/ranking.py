@@ -36,11 +36,13 @@ def places(df: DataFrame, group: list[str], value: str, ties: list[str]) -> Data
     return both.select(*df.columns, (F.col("below") + 1).alias("place"), (1 - (F.col("below") + F.col("tied")) / F.col("all")).alias("percentile"))
 
 
-def borda(rankings: DataFrame, item: str, ranking: str, place: str, n: int, missing: float = 1e6) -> DataFrame:
-    """item, borda (sum of its places, ``missing`` for each of the ``n`` rankings that lack it) and votes (rankings that have it).
+def borda(rankings: DataFrame, item: str, ranking: str, place: str, n: int, missing: float | str = "penalty") -> DataFrame:
+    """item, borda (sum of its places, and for each of the ``n`` rankings that lack it ``missing``: "penalty" is 1e6, "zero" 0, or a number)
+    and votes (rankings that have it).
 
     The order of the fusion is by votes, most first, then by borda. Counted in one pass, without an outer join of the rankings.
     """
+    missing = {"penalty": 1e6, "zero": 0.0}.get(missing, missing)
     got = rankings.groupBy(item).agg(F.sum(place).cast("double").alias("sum"), F.countDistinct(ranking).alias("votes"))
     return got.select(item, (F.col("sum") + missing * (n - F.col("votes"))).alias("borda"), "votes")
 

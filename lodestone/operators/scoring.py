@@ -13,7 +13,8 @@ from lodestone.operators.transforms import distinct_ranks, exact_quantiles
 def against_reference(df: DataFrame, value: str, reference: DataFrame, key: str) -> DataFrame:
     """key, percentile and survival of each row's value in the reference sample of the same column.
 
-    percentile is (smaller + not larger) / (2 n), survival (n - smaller + 1) / (n + 1); both null for a null value. One sort of the
+    percentile is (smaller + not larger) / (2 n), 0.5 without a reference, survival (n - smaller + 1) / (n + 1); both null for a null value.
+    One sort of the
     distinct values of both tables gives all counts.
     """
     marked = reference.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.lit(1).alias("w"))
@@ -31,7 +32,8 @@ def against_reference(df: DataFrame, value: str, reference: DataFrame, key: str)
     told = per.withColumn("part", part(F.col("v"))).withColumn("smaller", F.coalesce(F.sum("w").over(here), F.lit(0)))
     counts = told.join(F.broadcast(before), "part").select("v", (F.col("smaller") + F.col("before")).alias("smaller"), F.col("w").alias("equal"))
     both = df.select(key, F.col(value).alias("v")).join(counts, "v", "left")
-    return both.select(key, ((2 * F.col("smaller") + F.col("equal")) / (2.0 * n)).alias("percentile"), ((n - F.col("smaller") + 1) / F.lit(n + 1.0)).alias("survival"))
+    middle = ((2 * F.col("smaller") + F.col("equal")) / (2.0 * n)) if n else F.when(F.col("v").isNotNull(), 0.5)
+    return both.select(key, middle.alias("percentile"), ((n - F.col("smaller") + 1) / F.lit(n + 1.0)).alias("survival"))
 
 
 # --- selections

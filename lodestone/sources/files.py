@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,9 +57,23 @@ def settings(spark: SparkSession, path: str) -> dict:
     return got
 
 
+def replaced(spark: SparkSession, path: str, write) -> None:
+    """``write`` a table beside the one at ``path``, then put it in its place: a reader finds the old one until the new one is whole."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    new, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    write(new)
+    at = hadoop(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.exists(at):
+        fs.rename(at, hadoop(old))
+    fs.rename(hadoop(new), at)
+    fs.delete(hadoop(old), True)
+
+
 def write_csv(df: DataFrame, path: str, replace: bool = False) -> None:
-    """One folder of CSV files with headers; a table that is there is an error unless it is to be replaced."""
-    df.write.csv(path, header=True, mode="overwrite" if replace else "errorifexists", emptyValue="")
+    """One folder of CSV files with headers; a table that is there is an error unless it is to be replaced, which happens at the end."""
+    write = lambda to: df.write.csv(to, header=True, mode="errorifexists", emptyValue="")
+    replaced(df.sparkSession, path, write) if replace else write(path)
 
 
 def append_csv(df: DataFrame, path: str) -> None:
@@ -66,4 +81,5 @@ def append_csv(df: DataFrame, path: str) -> None:
 
 
 def write_parquet(df: DataFrame, path: str, replace: bool = False, by: list[str] | None = None) -> None:
-    df.write.partitionBy(*by or []).mode("overwrite" if replace else "errorifexists").parquet(path)
+    write = lambda to: df.write.partitionBy(*by or []).mode("errorifexists").parquet(to)
+    replaced(df.sparkSession, path, write) if replace else write(path)

@@ -210,3 +210,8 @@ def test_streams(spark, tmp_path):
     assert windows.resumed(spark, todo.where("k < 3"), "k", done, lambda d: d.withColumn("run", F.lit(1))).count() == 3
     table = windows.resumed(spark, todo, "k", done, lambda d: d.withColumn("run", F.lit(2)))
     assert {r["k"]: r["run"] for r in table.collect()} == {0: 1, 1: 1, 2: 1, 3: 2, 4: 2}
+
+
+def test_percentiles_without_a_reference(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, None)], "k long, v double")
+    assert sorted(map(tuple, scoring.against_reference(df, "v", df.where("false"), "k").collect())) == [(1, 0.5, 1.0), (2, None, None)]
