@@ -295,30 +295,30 @@ def spanning_tree(space_: Space, cores: DataFrame, near: DataFrame) -> DataFrame
 
 @dataclass
 class Tree:
-    """A condensed tree: of each cluster its parent (-1: none), the weight at which it joins it, and the least id in it; of each point the
-    cluster that it falls out of and the weight at which it does (-1: none)."""
+    """A condensed tree: of each cluster its parent (-1: none; a parent comes after its parts) and the edge (w, a, b) at which it joins it."""
 
     parent: list[int]
-    top: list[float]
-    first: list[int]
-    size: list[int]
-    cluster: np.ndarray
-    fall: np.ndarray
+    top: list[tuple[float, int, int]]
 
 
-def condensed(nodes: np.ndarray, copies: np.ndarray, cores: np.ndarray, edges: list[tuple[float, int, int]], least: int) -> Tree:
-    """The condensed tree of points (ascending ids, counts and core distances) and of edges in order; clusters have ``least`` rows or more."""
+NEVER = (float("inf"), 0, 0)
+
+
+def condensed(nodes: np.ndarray, copies: np.ndarray, cores: np.ndarray, edges: list[tuple[float, int, int]], least: int) -> tuple[Tree, np.ndarray, np.ndarray]:
+    """The condensed tree of points (ascending ids, counts and core distances) and of edges in order, whose clusters have ``least`` rows or
+    more; and of each point the cluster that it falls out of (-1: none) and the weight at which it does."""
     at = {int(x): i for i, x in enumerate(nodes)}
-    root, size, low = list(range(len(nodes))), copies.tolist(), nodes.tolist()
+    root, size = list(range(len(nodes))), copies.tolist()
     of, small = [-1] * len(nodes), [[i] for i in range(len(nodes))]
-    tree = Tree([], [], [], [], np.full(len(nodes), -1), np.full(len(nodes), np.inf))
+    tree, cluster, fall = Tree([], []), np.full(len(nodes), -1), np.full(len(nodes), np.inf)
 
     def begin(r: int) -> None:
         of[r] = len(tree.parent)
-        tree.parent.append(-1), tree.top.append(np.inf), tree.first.append(low[r]), tree.size.append(size[r])
+        tree.parent.append(-1)
+        tree.top.append(NEVER)
 
-    def falls(points: list[int], cluster: int, w: float) -> None:
-        tree.cluster[points], tree.fall[points] = cluster, w
+    def falls(r: int, points: list[int], w: float) -> None:
+        cluster[points], fall[points] = of[r], w
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -328,73 +328,153 @@ def condensed(nodes: np.ndarray, copies: np.ndarray, cores: np.ndarray, edges: l
     for i in range(len(nodes)):
         if size[i] >= least:
             begin(i)
-            falls(small[i], of[i], cores[i])
+            falls(i, small[i], cores[i])
             small[i] = []
     for w, a, b in edges:
         x, y = find(at[a]), find(at[b])
         if len(small[x]) < len(small[y]):
             x, y = y, x
         cx, cy = of[x], of[y]
-        root[y], size[x], low[x] = x, size[x] + size[y], min(low[x], low[y])
+        root[y], size[x] = x, size[x] + size[y]
         if cx >= 0 and cy >= 0:
-            for c, n in ((cx, size[x] - size[y]), (cy, size[y])):
-                tree.parent[c], tree.top[c], tree.size[c] = len(tree.parent), w, n
+            for c in (cx, cy):
+                tree.parent[c], tree.top[c] = len(tree.parent), (w, a, b)
             begin(x)
         elif cx >= 0 or cy >= 0:
             of[x] = max(cx, cy)
-            falls(small[x] + small[y], of[x], w)
+            falls(x, small[x] + small[y], w)
             small[x] = []
-            tree.first[of[x]], tree.size[of[x]] = low[x], size[x]
         else:
             small[x] += small[y]
             if size[x] >= least:
                 begin(x)
-                falls(small[x], of[x], w)
+                falls(x, small[x], w)
                 small[x] = []
         small[y] = []
-    return tree
+    return tree, cluster, fall
 
 
-def density(w) -> np.ndarray:
-    return 1 / np.maximum(w, LEAST)
+def contracted(points: DataFrame, edges: DataFrame, least: int) -> tuple[DataFrame, list[tuple]]:
+    """node, copies, leaf (null: none), w, a, b: where each point of ``points`` (node, copies, core) first comes to be in a component of
+    ``least`` rows, and by which edge; and the edges (w, a, b, leaf, leaf) between these components.
 
+    In each round every smaller component takes the lightest edge that leaves it. Two that take the same one join: no lighter edge leaves
+    either, so what they make up is a component at that weight. One whose edge leads to a component that is large enough, at once or by the
+    edges of others, is done. What is left is one component for each peak of density.
+    """
+    low = F.lit(-(1 << 63))
+    members = written(points.where(F.col("copies") < least).select("node", "copies", F.col("node").alias("c")))
+    comps = written(points.select(F.col("node").alias("c"), F.col("copies").alias("size"), (F.col("copies") >= least).alias("big")))
+    done = [written(points.where(F.col("copies") >= least).select("node", "copies", F.col("node").alias("leaf"), F.col("core").alias("w"), low.alias("a"), low.alias("b")))]
+    links = written(edges.select("w", "a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")))
+    while True:
+        e = F.struct("w", "a", "b")
+        ends = links.select(e.alias("e"), F.explode(F.array(F.struct(F.col("ca").alias("c"), F.col("cb").alias("other")), F.struct(F.col("cb").alias("c"), F.col("ca").alias("other")))).alias("x")).select("e", "x.*")
+        picks = ends.join(comps.where("NOT big").select("c"), "c", "left_semi").groupBy("c").agg(F.min(F.struct("e", "other")).alias("p")).select("c", "p.e", "p.other")
+        picks = written(picks.join(comps.where("big").select(F.col("c").alias("other"), F.lit(True).alias("hit")), "other", "left").select("c", "e", "other", F.coalesce("hit", F.lit(False)).alias("hit")))
+        if picks.isEmpty():
+            break
+        back = picks.select(F.col("c").alias("other"), F.col("other").alias("c"), "e", F.lit(True).alias("mutual"))
+        ptr = picks.join(back, ["c", "other", "e"], "left").select("c", "e", F.col("other").alias("next"), "hit", F.coalesce("mutual", F.lit(False)).alias("mutual"))
+        for _ in range(3):
+            ahead = ptr.select(F.col("c").alias("next"), F.col("next").alias("further"), F.col("hit").alias("then"), F.col("mutual").alias("stop"))
+            step = ~F.col("hit") & ~F.col("mutual") & ~F.coalesce("stop", F.lit(True))
+            ptr = written(ptr.join(ahead, "next", "left").select("c", "e", F.when(step, F.col("further")).otherwise(F.col("next")).alias("next"), F.when(step, F.col("then")).otherwise(F.col("hit")).alias("hit"), "mutual"))
+        pairs = ptr.where("mutual").select("c", "e", F.least("c", "next").alias("new"))
+        sizes = pairs.join(comps, "c").groupBy("new").agg(F.sum("size").alias("size")).withColumn("big", F.col("size") >= least)
+        merged = pairs.join(sizes, "new").select("c", "e", "new", "big")
+        moved = written(merged.union(ptr.where("hit").select("c", "e", F.col("next").alias("new"), F.lit(True).alias("big"))))
+        told = members.join(moved, "c", "left")
+        done.append(written(told.where("big").select("node", "copies", F.col("new").alias("leaf"), "e.*")))
+        old = members, comps, links
+        members = written(told.where("big IS NULL OR NOT big").select("node", "copies", F.coalesce("new", "c").alias("c")))
+        comps = written(comps.join(moved.select("c"), "c", "left_anti").union(sizes.select(F.col("new").alias("c"), "size", "big")))
+        to = lambda c: moved.select(F.col("c").alias(c), F.col("new").alias(f"{c}_new"))
+        links = links.join(to("ca"), "ca", "left").join(to("cb"), "cb", "left").select("w", "a", "b", F.coalesce("ca_new", "ca").alias("ca"), F.coalesce("cb_new", "cb").alias("cb"))
+        links = written(links.where("ca <> cb"))
+        dropped(*old, picks, ptr, moved)
+    left = links.count()
+    if left > LOCAL:
+        raise ValueError(f"{left + 1} peaks of density; at most {LOCAL} can be put in order")
+    out = done[0]
+    for part in done[1:]:
+        out = out.union(part)
+    none = members.select("node", "copies", F.lit(None).cast("long").alias("leaf"), F.lit(None).cast("double").alias("w"), low.alias("a"), low.alias("b"))
+    return out.union(none), [tuple(r) for r in links.orderBy("w", "a", "b").collect()]
+
+
+def fallen(points: DataFrame, edges: DataFrame, least: int) -> tuple[Tree, DataFrame]:
+    """The condensed tree, and node, copies, cluster and w (the weight at which the point falls out of it) of points in clusters.
+
+    Up to LOCAL points the driver puts edges in order; beyond it Spark contracts them, and the driver sees one edge a peak of density.
+    """
+    spark = points.sparkSession
+    if points.count() <= LOCAL:
+        known = points.orderBy("node").collect()  # at most LOCAL rows
+        nodes, copies, far = (np.array([r[c] for r in known]) for c in ("node", "copies", "core"))
+        tree, cluster, fall = condensed(nodes, copies, far, [tuple(e) for e in edges.orderBy("w", "a", "b").collect()], least)
+        rows = [(int(n), int(k), int(c), float(w)) for n, k, c, w in zip(nodes, copies, cluster, fall, strict=True) if c >= 0]
+        return tree, spark.createDataFrame(rows, "node long, copies long, cluster int, w double")
+    table, between = contracted(points, edges, least)
+    found = [r["leaf"] for r in table.where("leaf IS NOT NULL").select("leaf").distinct().collect()]  # a row a peak
+    if len(found) > LOCAL + 1:
+        raise ValueError(f"{len(found)} peaks of density; at most {LOCAL} can be put in order")
+    leaves = np.array(sorted(found), dtype=np.int64)
+    place = {int(x): i for i, x in enumerate(leaves)}
+    tree, _, _ = condensed(np.arange(len(leaves)), np.full(len(leaves), least), np.zeros(len(leaves)), [(k, place[x], place[y]) for k, (_, _, _, x, y) in enumerate(between)], least)
+    top = [NEVER if p < 0 else between[int(t[0])][:3] for p, t in zip(tree.parent, tree.top, strict=True)]
+    parent = np.array(tree.parent, dtype=np.int64)
+    tops = [np.array([t[i] for t in top]) for i in range(3)]
+
+    def climb(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def chosen(tree: Tree, copies: np.ndarray, method: str) -> tuple[np.ndarray, np.ndarray]:
-    """Of each point the chosen cluster (the least id in it; null as -1 is told by the mask) and its probability.
+        for batch in batches:
+            w, a, b = (batch.column(c).to_numpy() for c in ("w", "a", "b"))
+            at = np.searchsorted(leaves, batch.column("leaf").to_numpy())
+            while True:
+                u, x, y = (t[at] for t in tops)
+                above = (w > u) | ((w == u) & ((a > x) | ((a == x) & (b > y))))
+                if not above.any():
+                    break
+                at = np.where(above, parent[at], at)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), pa.array(at.astype(np.int32)), batch.column("w")], ["node", "copies", "cluster", "w"])
+
+    return Tree(tree.parent, top), table.where("leaf IS NOT NULL").mapInArrow(climb, "node long, copies long, cluster int, w double")
+
+
+def picked(tree: Tree, stats: dict[int, tuple], methods: set[str]) -> dict[str, list[tuple[int, int, float]]]:
+    """Of each method a row a cluster whose points have a label: cluster, label (by the least id inside) and the density that has probability 1.
 
-    ``eom``: a cluster is chosen unless its parts have more stability together; ``leaf``: those without parts. The root never is.
+    ``stats`` has rows, sum of their densities, highest density and least id of the points that fall out of each cluster. ``eom``: a cluster
+    is chosen unless its parts have more stability together; ``leaf``: those without parts. The root never is.
     """
     n = len(tree.parent)
-    birth = density(np.array(tree.top)) if n else np.zeros(0)
-    birth[np.isinf(tree.top)] = 0.0
-    stability, most, parts = np.zeros(n), np.zeros(n), [[] for _ in range(n)]
-    inside = tree.cluster >= 0
-    lam = density(tree.fall[inside])
-    np.add.at(stability, tree.cluster[inside], copies[inside] * (lam - birth[tree.cluster[inside]]))
-    np.maximum.at(most, tree.cluster[inside], lam)
-    for c, p in enumerate(tree.parent):
+    birth = [0.0 if p < 0 else 1 / max(t[0], LEAST) for p, t in zip(tree.parent, tree.top, strict=True)]
+    size, total, most, first = ([stats.get(c, (0, 0.0, 0.0, None))[i] for c in range(n)] for i in range(4))
+    stability, parts = [total[c] - size[c] * birth[c] for c in range(n)], [[] for _ in range(n)]
+    for c, p in enumerate(tree.parent):  # parts come before what they make up
         if p >= 0:
             parts[p].append(c)
-            stability[p] += tree.size[c] * (birth[c] - birth[p])
+            stability[p] += size[c] * (birth[c] - birth[p])
+            size[p] += size[c]
             most[p] = max(most[p], birth[c])
-    pick, value = np.zeros(n, bool), stability.copy()
-    for c in range(n):  # parts come before what they make up
-        if not parts[c]:
-            pick[c] = True
-        elif method == "eom":
-            together = sum(value[x] for x in parts[c])
-            pick[c] = together <= stability[c]
-            value[c] = max(together, stability[c])
-    home = np.full(n, -1)
-    for c in reversed(range(n)):  # the highest that is chosen
-        p = tree.parent[c]
-        home[c] = -1 if p < 0 else home[p] if home[p] >= 0 else c if pick[c] else -1
-    cluster = np.where(inside, home[tree.cluster] if n else -1, -1)
-    mine = cluster >= 0
-    first, share = np.full(len(cluster), -1), np.zeros(len(cluster))
-    first[mine] = np.array(tree.first)[cluster[mine]] if n else -1
-    share[mine] = np.minimum(density(tree.fall[mine]) / most[cluster[mine]], 1.0)
-    return np.where(mine, first, np.iinfo(np.int64).min), share
+            first[p] = first[c] if first[p] is None else min(first[p], first[c])
+    out = {}
+    for method in methods:
+        value, pick, home = list(stability), [not p for p in parts], [-1] * n
+        if method == "eom":
+            for c in range(n):
+                if parts[c]:
+                    together = sum(value[x] for x in parts[c])
+                    pick[c] = together <= stability[c]
+                    value[c] = max(together, stability[c])
+        for c in reversed(range(n)):  # the highest that is chosen
+            p = tree.parent[c]
+            home[c] = -1 if p < 0 else home[p] if home[p] >= 0 else c if pick[c] else -1
+        number = {c: i for i, c in enumerate(sorted({h for h in home if h >= 0}, key=lambda c: first[c]))}
+        out[method] = [(c, number[h], most[h]) for c, h in enumerate(home) if h >= 0]
+    return out
 
 
 def hdbscan(df: DataFrame, id_: str, columns: list[str], runs: list[Run], pivots: int = PIVOTS, per_pivot: int = PER_PIVOT, block: int = BLOCK) -> DataFrame:
@@ -407,34 +487,33 @@ def hdbscan(df: DataFrame, id_: str, columns: list[str], runs: list[Run], pivots
     base = df.select(F.col(id_).cast("long").alias("id"), F.array(*[finite(F.col(c).cast("double")) + 0.0 for c in columns]).alias("x"))
     base = base.withColumn("x", F.when(~F.exists("x", lambda v: v.isNull()), F.col("x")))
     points = written(base.where("x IS NOT NULL").groupBy("x").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")))
-    n_points = points.count()
-    if n_points > LOCAL:
-        raise ValueError(f"{n_points} different points; at most {LOCAL} can be condensed on the driver")
-    result = "node long, run int, label long, probability double"
-    if not n_points:
-        return base.select(F.col("id").alias(id_), F.explode(F.array(*[F.lit(i) for i in range(len(runs))])).alias("run"), F.lit(None).cast("long").alias("label"), F.lit(None).cast("double").alias("probability"))
+    of = base.join(points.select("x", "node"), "x", "left").select("id", "node")
+    number = F.explode(F.array(*[F.lit(i) for i in range(len(runs))])).alias("run")
+    lone = of.where("node IS NULL").select(F.col("id").alias(id_), number, F.lit(None).cast("long").alias("label"), F.lit(None).cast("double").alias("probability"))
+    if points.isEmpty():
+        return lone
     dealt = space(points, pivots, per_pivot, block)
     near = nearest(dealt, max(r.min_samples for r in runs))
     tables = []
     for k in sorted({r.min_samples for r in runs}):
         cores = written(near.select("node", core(k).alias("core")))
-        edges = [tuple(e) for e in spanning_tree(dealt, cores, near).orderBy("w", "a", "b").collect()]
-        known = points.join(cores, "node").select("node", "copies", "core").orderBy("node").collect()
-        nodes, copies, far = (np.array([r[i] for r in known]) for i in range(3))
-        trees = {m: condensed(nodes, copies, far, edges, m) for m in {r.min_cluster_size for r in runs if r.min_samples == k}}
-        for i, r in enumerate(runs):
-            if r.min_samples == k:
-                first, share = chosen(trees[r.min_cluster_size], copies, r.method)
-                noise = np.iinfo(np.int64).min
-                number = {c: j for j, c in enumerate(sorted({int(c) for c in first if c != noise}))}
-                rows = [(int(x), i, number.get(int(c), -1), float(p)) for x, c, p in zip(nodes, first, share, strict=True)]
-                tables.append(spark.createDataFrame(rows, result))
+        edges = spanning_tree(dealt, cores, near)
+        known = written(points.join(cores, "node").select("node", "copies", "core"))
+        for m in sorted({r.min_cluster_size for r in runs if r.min_samples == k}):
+            tree, rows = fallen(known, edges, m)
+            rows = written(rows.withColumn("density", 1 / F.greatest("w", F.lit(LEAST))))
+            per = rows.groupBy("cluster").agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * F.col("density")).alias("s"), F.max("density").alias("m"), F.min("node").alias("f"))
+            stats = {r["cluster"]: (r["n"], r["s"], r["m"], r["f"]) for r in per.collect()}  # a row a cluster
+            mine = [(i, r) for i, r in enumerate(runs) if r.min_samples == k and r.min_cluster_size == m]
+            for method, told in picked(tree, stats, {r.method for _, r in mine}).items():
+                labels = spark.createDataFrame(told, "cluster int, label long, most double")
+                got = rows.join(labels, "cluster").select("node", "label", F.least(F.col("density") / F.col("most"), F.lit(1.0)).alias("probability"))
+                every = points.select("node").join(got, "node", "left").select("node", F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce("probability", F.lit(0.0)).alias("probability"))
+                tables += [every.select("node", F.lit(i).alias("run"), "label", "probability") for i, r in mine if r.method == method]
+        dropped(edges)
     out = tables[0]
     for t in tables[1:]:
         out = out.union(t)
     labels = written(out)
-    of = base.join(points.select("x", "node"), "x", "left").select("id", "node")
-    placed = of.where("node IS NOT NULL").join(labels, "node").select(F.col("id").alias(id_), "run", "label", "probability")
-    lone = of.where("node IS NULL").select(F.col("id").alias(id_), F.explode(F.array(*[F.lit(i) for i in range(len(runs))])).alias("run"), F.lit(None).cast("long").alias("label"), F.lit(None).cast("double").alias("probability"))
     dropped(near, *dealt.tables)
-    return placed.union(lone)
+    return of.where("node IS NOT NULL").join(labels, "node").select(F.col("id").alias(id_), "run", "label", "probability").union(lone)

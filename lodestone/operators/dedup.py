@@ -27,13 +27,19 @@ def merge_conflicts(df: DataFrame, key: list[str], target: str, ids: list[str],
     first row by ``order``, and ids_merged_<id>: its distinct values in first-seen order where rows disagree, else its own. Null keys form
     a group; null targets are no targets. A key's rows meet in one task only as (ids, order) lists of its own duplicates.
     """
-    rows = F.sort_array(F.collect_list(F.struct(*order, *[F.col(i).alias(f"id_{n}") for n, i in enumerate(ids)])))
-    got = df.groupBy(*key).agg(F.percentile(target, F.lit(0.5)).alias(target), (F.min(target) < F.max(target)).alias("conflict"), rows.alias("rows"))
-    got = got.withColumn("conflict", F.coalesce("conflict", F.lit(False)))
-    seen = lambda n: F.array_distinct(F.transform("rows", lambda r: F.coalesce(r[f"id_{n}"].cast("string"), F.lit("None"))))
-    own = [F.col("rows")[0][f"id_{n}"].alias(i) for n, i in enumerate(ids)]
-    merged = [F.when(F.col("conflict"), F.array_join(seen(n), "|")).otherwise(F.element_at(seen(n), 1)).alias(f"ids_merged_{i}") for n, i in enumerate(ids)]
-    return got.select(*key, "conflict", target, *own, *merged)
+    of = F.struct(*order, *[F.col(i).alias(f"id_{n}") for n, i in enumerate(ids)])
+    got = df.groupBy(*key).agg(F.min(target).alias("low"), F.max(target).alias("high"), F.min(of).alias("first"))
+    conflict = F.coalesce(F.col("low") < F.col("high"), F.lit(False))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
+    few = df.alias("l").join(got.where(conflict).select(*key).alias("r"), same, "left_semi")  # only keys with a conflict need their rows
+    few = few.groupBy(*key).agg(F.percentile(target, F.lit(0.5)).alias("middle"), F.sort_array(F.collect_list(of)).alias("rows"))
+    seen = [F.array_join(F.array_distinct(F.transform("rows", lambda r, n=n: text(r[f"id_{n}"]))), "|").alias(f"seen_{n}") for n in range(len(ids))]
+    both = got.withColumn("conflict", conflict).alias("l").join(few.select(*key, "middle", *seen).alias("r"), same, "left")
+    own = [F.col(f"first.id_{n}").alias(i) for n, i in enumerate(ids)]
+    merged = [F.when(F.col("conflict"), F.col(f"seen_{n}")).otherwise(text(F.col(f"first.id_{n}"))).alias(f"ids_merged_{i}") for n, i in enumerate(ids)]
+    value = F.when(F.col("conflict"), F.col("middle")).otherwise(F.col("low").cast("double")).alias(target)
+    return both.select(*[F.col(f"l.{k}") for k in key], "conflict", value, *own, *merged)
 
 
 def conflict_report(df: DataFrame, key: list[str], target: str) -> DataFrame:

@@ -139,6 +139,13 @@ def test_equals_a_plain_version(spark, rows, how):
     assert len({v[0] for v in want.values()}) > 3
 
 
+@pytest.mark.parametrize("rows", [blobs(6, 90, 2, copies=12), blobs(7, 80, 2, copies=20, grid=True), [(i, float(i * i)) for i in range(40)]])
+def test_spark_condenses_as_the_driver_does(spark, monkeypatch, rows):
+    monkeypatch.setattr(clusters, "LOCAL", 30)  # points are above it, peaks below
+    runs = [Run(4, 2), Run(4, 2, "leaf"), Run(9, 2)]
+    assert labels(spark, rows, runs) == plain(rows, runs)
+
+
 def test_few_rows(spark):
     assert labels(spark, [(1, 0.0), (2, 0.0), (3, 5.0)], [Run(2, 5)]) == plain([(1, 0.0), (2, 0.0), (3, 5.0)], [Run(2, 5)])
     assert labels(spark, [(1, 2.0)], [Run(2, 1)]) == {(1, 0): (-1, 0.0)}
