@@ -127,6 +127,8 @@ def equal_columns(df: DataFrame, columns: list[str], digits: int = 12) -> dict[s
     Columns with equal sums of two hashes of (value, row) are candidates; only those are compared value by value. So a wide table asks for
     two numbers a column, not one a pair.
     """
+    if len(columns) < 2:
+        return {}
     v = {c: F.bround(finite(F.col(c)), digits) + 0.0 for c in columns}
     flat = df.select(*[v[c].alias(f"v{i}") for i, c in enumerate(columns)]).select("*", F.xxhash64(*[f"v{i}" for i in range(len(columns))]).alias("row"))
     sums = [F.sum(F.xxhash64(F.lit(seed), f"v{i}", "row").bitwiseAND(F.lit((1 << 40) - 1)).cast("decimal(38,0)")) for i in range(len(columns)) for seed in (1, 2)]

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.clusters import Run
 from lodestone.operators.families import complete_link
+from lodestone.operators.order import numbered
 from lodestone.sources.scratch import written
 
 
@@ -91,7 +92,7 @@ def stable_families(labels: DataFrame, threshold: float, least: int = 2, id_: st
     joined = complete_link(nodes, pairs, "far", 1 - threshold + 1e-12, "profile")
     placed = members.join(joined, "profile", "left").withColumn("family", F.coalesce("family", "id"))  # a row that links with none is alone
     sizes = placed.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") >= least)
-    number = sizes.withColumn("number", F.row_number().over(Window.orderBy("first")) - 1)  # a row a family
+    number = numbered(sizes, [F.col("first")])
     return placed.join(number.select("family", "number"), "family", "left").select(F.col("id").alias(id_), F.coalesce("number", F.lit(-1)).cast("long").alias("family"))
 
 

@@ -34,7 +34,8 @@ def merge_conflicts(df: DataFrame, key: list[str], target: str, ids: list[str],
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
     few = df.alias("l").join(got.where(conflict).select(*key).alias("r"), same, "left_semi")  # only keys with a conflict need their rows
     few = few.groupBy(*key).agg(F.percentile(target, F.lit(0.5)).alias("middle"), F.sort_array(F.collect_list(of)).alias("rows"))
-    seen = [F.array_join(F.array_distinct(F.transform("rows", lambda r, n=n: text(r[f"id_{n}"]))), "|").alias(f"seen_{n}") for n in range(len(ids))]
+    listed = lambda n: F.array_distinct(F.transform("rows", lambda r: text(r[f"id_{n}"])))
+    seen = [F.array_join(listed(n), "|").alias(f"seen_{n}") for n in range(len(ids))]
     both = got.withColumn("conflict", conflict).alias("l").join(few.select(*key, "middle", *seen).alias("r"), same, "left")
     own = [F.col(f"first.id_{n}").alias(i) for n, i in enumerate(ids)]
     merged = [F.when(F.col("conflict"), F.col(f"seen_{n}")).otherwise(text(F.col(f"first.id_{n}"))).alias(f"ids_merged_{i}") for n, i in enumerate(ids)]

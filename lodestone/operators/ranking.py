@@ -24,16 +24,22 @@ def outliers(df: DataFrame, group: str, value: str, k: float, least: float) -> D
     return far.join(middle(far, "deviation", "mad"), group).where(F.col("deviation") > F.greatest(F.lit(least), 1.4826 * k * F.col("mad")))
 
 
+def positions(df: DataFrame, group: list[str], value: str, ties: list[str]) -> DataFrame:
+    """Adds below_ (rows of the group with a larger value), tied_ (rows before it among equal values, by ``ties``) and all_ (rows of the group)
+    to the rows with a value; by counts of values, so that a large group is not sorted in one task."""
+    down = df.where(F.col(value).isNotNull()).withColumn("down_", -F.col(value))
+    ranks = value_places(down, group, "down_")
+    size = ranks.groupBy("g").agg(F.sum("n").alias("all"))
+    told = ranks.join(size, "g").select("g.*", F.col("value").alias("down_"), F.col("below").alias("below_"), F.col("all").alias("all_"))
+    tied = F.row_number().over(Window.partitionBy(*group, "down_").orderBy(*ties)) - 1
+    return null_safe(down, told, [*group, "down_"]).withColumn("tied_", tied).drop("down_")
+
+
 def places(df: DataFrame, group: list[str], value: str, ties: list[str]) -> DataFrame:
     """Adds place (rank by descending value, from 1, ties share the first) and percentile (1 for the best, by ``ties`` among equal values)
-    within each group of rows with a value; by counts of values, so that a large group is not sorted in one task."""
-    down = df.where(F.col(value).isNotNull()).withColumn("down", -F.col(value))
-    ranks = value_places(down, group, "down")
-    size = ranks.groupBy("g").agg(F.sum("n").alias("all"))
-    told = ranks.join(size, "g").select("g.*", F.col("value").alias("down"), "below", "all")
-    tied = F.row_number().over(Window.partitionBy(*group, "down").orderBy(*ties)) - 1
-    both = null_safe(down, told, [*group, "down"]).withColumn("tied", tied)
-    return both.select(*df.columns, (F.col("below") + 1).alias("place"), (1 - (F.col("below") + F.col("tied")) / F.col("all")).alias("percentile"))
+    within each group of rows with a value."""
+    got = positions(df, group, value, ties)
+    return got.select(*df.columns, (F.col("below_") + 1).alias("place"), (1 - (F.col("below_") + F.col("tied_")) / F.col("all_")).alias("percentile"))
 
 
 def borda(rankings: DataFrame, item: str, ranking: str, place: str, n: int, missing: float | str = "penalty") -> DataFrame:

@@ -47,10 +47,13 @@ def capped_head(df: DataFrame, group: str, order: list[Column], each: int, most:
 
 def top_fraction_frequency(runs: DataFrame, run: str, item: str, score: str, fraction: float) -> DataFrame:
     """item and share of the runs in whose first ceil(fraction * n) by score it is; ties go to the smaller item."""
-    n = runs.groupBy(run).agg(F.ceil(F.count(F.lit(1)) * fraction).alias("top"))
-    placed = runs.withColumn("place", F.row_number().over(Window.partitionBy(run).orderBy(F.desc(score), item))).join(F.broadcast(n), run)  # a row a run
+    from lodestone.operators.ranking import positions
+
+    n = runs.groupBy(run).agg(F.ceil(F.count(F.lit(1)) * fraction).alias("top_"))
+    placed = positions(runs, [run], score, [item]).join(n, run)
     total = runs.select(run).distinct().count()
-    return placed.groupBy(item).agg((F.sum((F.col("place") <= F.col("top")).cast("long")) / total).alias("frequency"))
+    chosen = placed.groupBy(item).agg(F.sum((F.col("below_") + F.col("tied_") < F.col("top_")).cast("long")).alias("hits"))
+    return runs.select(item).distinct().join(chosen, item, "left").select(item, (F.coalesce("hits", F.lit(0)) / total).alias("frequency"))
 
 
 def best_per_group(df: DataFrame, group: str, item: str, score: str) -> DataFrame:

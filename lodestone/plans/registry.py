@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import cleaning
-from lodestone.operators import dedup, graph, joins, quality, ranking, transforms, vectors
+from lodestone.operators import algebra, dedup, graph, joins, quality, ranking, transforms, vectors
 from lodestone.plans.base import QUERIES, SQL, query
 from lodestone.sources.tables import table as t
 
@@ -38,8 +38,7 @@ def family_size_histogram(spark, d):
 
 @query("SELECT dense_rank() OVER (ORDER BY p_brand) AS number, 'fam-' || lpad(CAST(dense_rank() OVER (ORDER BY p_brand) AS VARCHAR), 4, '0') AS family, p_brand FROM (SELECT DISTINCT p_brand FROM part)")
 def family_numbers(spark, d):
-    number = F.row_number().over(Window.orderBy("p_brand")).cast("long")  # over the few distinct brands
-    return t(spark, d, "part").select("p_brand").distinct().select(number.alias("number"), F.format_string("fam-%04d", number).alias("family"), "p_brand")
+    return algebra.group_numbers(t(spark, d, "part"), ["p_brand"]).select("number", F.format_string("fam-%04d", "number").alias("family"), "p_brand")
 
 
 @query("""WITH r AS (SELECT l_partkey, l_suppkey, l_quantity, l_orderkey, l_linenumber FROM lineitem),
@@ -134,9 +133,8 @@ def weighted_mean_std(spark, d):
 @query("""SELECT o_custkey, round(avg(CAST(o_orderstatus = 'F' AS INT)), 6) AS share_f, round(avg(CAST(o_orderstatus = 'O' AS INT)), 6) AS share_o,
     round(avg(CAST(o_orderstatus NOT IN ('F', 'O') AS INT)), 6) AS share_other FROM orders GROUP BY o_custkey""")
 def category_share(spark, d):
-    part = lambda c: F.round(F.avg(c.cast("int")), 6)
-    s = F.col("o_orderstatus")
-    return t(spark, d, "orders").groupBy("o_custkey").agg(part(s == "F").alias("share_f"), part(s == "O").alias("share_o"), part(~s.isin("F", "O")).alias("share_other"))
+    got = algebra.category_shares(t(spark, d, "orders"), "o_custkey", "o_orderstatus", {"f": ["F"], "o": ["O"]})
+    return got.select("o_custkey", *[F.round(c, 6).alias(c) for c in ("share_f", "share_o", "share_other")])
 
 
 # --- transforms
@@ -160,9 +158,10 @@ def folds_and_bins(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, round(abs(l_quantity - p_size), 6) AS diff, round(l_quantity / p_size, 6) AS ratio, round((l_quantity + 2 * p_size) / 3, 6) AS mean FROM lineitem JOIN part ON l_partkey = p_partkey")
 def pairwise_algebra(spark, d):
-    q, s = F.col("l_quantity"), F.col("p_size")
     both = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return both.select("l_orderkey", "l_linenumber", F.round(F.abs(q - s), 6).alias("diff"), F.round(q / s, 6).alias("ratio"), F.round((q + 2 * s) / 3, 6).alias("mean"))
+    two = both.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("M__n"), F.col("p_size").alias("H__n"), F.lit(1).alias("u"), F.lit(2).alias("v"))
+    got = algebra.pairwise(two, weights=("u", "v"))
+    return got.select("l_orderkey", "l_linenumber", *[F.round(f"mh__n__{k}", 6).alias(n) for k, n in (("diff", "diff"), ("ratio", "ratio"), ("wmean", "mean"))])
 
 
 # --- joins and sets
@@ -282,7 +281,7 @@ def cumulative_cutoff(spark, d):
 @query("""SELECT CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal >= 5000 AND c_mktsegment = 'BUILDING' THEN 'first' WHEN c_acctbal >= 5000 THEN 'second' ELSE 'third' END AS tier, count(*) AS n FROM customer GROUP BY 1""")
 def eligibility_tiers(spark, d):
     b = F.col("c_acctbal")
-    tier = F.when(b < 0, "debt").when((b >= 5000) & (F.col("c_mktsegment") == "BUILDING"), "first").when(b >= 5000, "second").otherwise("third")
+    tier = algebra.tiers([(b < 0, "debt"), ((b >= 5000) & (F.col("c_mktsegment") == "BUILDING"), "first"), (b >= 5000, "second")], "third")
     return t(spark, d, "customer").groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import columns, gram, power, quality, robustness, selection
+from lodestone.operators import columns, gram, power, prototypes, quality, robustness, selection
 from lodestone.plans.base import query
 from lodestone.plans.cleaning_queries import dropped
 from lodestone.sources.tables import table as t
@@ -155,3 +155,53 @@ def portfolio_sections(spark, d):
     sections = [robustness.Section("dear", F.col("p_size") > 25, [F.desc("p_retailprice"), F.col("p_partkey")], 12), robustness.Section("large", F.lit(True), [F.desc("p_size"), F.col("p_partkey")], 15)]
     p = t(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
     return robustness.portfolio(p, "p_partkey", "p_brand", sections, 2).select("section", "p_partkey", "place")
+
+
+# --- prototypes and compositions
+
+SEEDS = [0, 3, 11]
+
+
+@query(f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(v) AS x, unnest(range(64)) AS i FROM e WHERE vec_id IN ({", ".join(map(str, SEEDS))})) GROUP BY i))
+    SELECT vec_id AS id, round(list_distance(v, c), 6) AS distance FROM e, m WHERE vec_id NOT IN ({", ".join(map(str, SEEDS))}) ORDER BY list_distance(v, c), vec_id LIMIT 20""")
+def seed_neighbours(spark, d):
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    seeds = spark.createDataFrame([(i,) for i in SEEDS], "id long")
+    return prototypes.seed_neighbours(e, seeds, "v", 20).select("id", F.round("distance", 6).alias("distance"))
+
+
+SIMILAR = "WITH s AS (SELECT x.vec_id AS id, a.vec_id AS anchor, round(list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])), 9) AS s FROM embeddings x, embeddings a WHERE a.vec_id IN (0, 3, 11))"
+
+
+@query(SIMILAR + """, o AS (SELECT h.anchor, s.id, max(s.s) AS score FROM s, (SELECT DISTINCT anchor FROM s) h WHERE s.anchor <> h.anchor GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY anchor ORDER BY score DESC) AS rank FROM o)
+    SELECT anchor, round(score, 6) AS score, rank FROM r WHERE id = anchor""")
+def left_out_ranks(spark, d):
+    e = t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    held = {r["vec_id"]: r["v"] for r in e.where(F.col("vec_id").isin(SEEDS)).collect()}  # the three anchors
+    dot = lambda a: F.aggregate(F.zip_with("v", F.array(*map(F.lit, held[a])), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    each = F.array(*[F.struct(F.lit(a).cast("long").alias("anchor"), F.round(dot(a), 9).alias("s")) for a in sorted(held)])
+    s = e.select(F.col("vec_id").alias("id"), F.inline(each))
+    return prototypes.left_out_ranks(s, sorted(held)).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_quantity AS w, CAST(s_acctbal AS DOUBLE) AS v FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_suppkey % 7 > 0), a AS (SELECT l_orderkey, sum(l_quantity) AS w FROM lineitem GROUP BY 1),
+    g AS (SELECT l_orderkey, sum(w * v) / sum(w) AS mean, sum(w * v * v) / sum(w) AS square, min(v) AS low, max(v) AS high, sum(w) AS w FROM x GROUP BY 1)
+    SELECT a.l_orderkey, round(mean, 7) AS mean, round(sqrt(greatest(square - mean * mean, 0)), 4) AS std, round(low, 4) AS low, round(high, 4) AS high, round(coalesce(g.w / a.w, 0), 6) AS known FROM a LEFT JOIN g USING (l_orderkey)""")
+def composition_stats(spark, d):
+    """Orders as compositions of suppliers, by quantity; some suppliers have no value."""
+    parts = t(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    values = t(spark, d, "supplier").where("s_suppkey % 7 > 0").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_acctbal").alias("v"))
+    got = prototypes.composition_stats(parts, values, ["v"], "l_orderkey", "l_suppkey", "l_quantity")
+    return got.select("l_orderkey", F.round("v__mean", 7).alias("mean"), F.round("v__std", 4).alias("std"), F.round("v__min", 4).alias("low"), F.round("v__max", 4).alias("high"), F.round("v__known", 6).alias("known"))
+
+
+@query("""WITH d AS (SELECT p_partkey AS id, k AS prototype, abs(p_retailprice - 900 - 30 * k) AS d, (p_partkey * k) % 5 / 4.0 AS support FROM part, range(1, 4) r(k)), f AS (SELECT prototype, d FROM d WHERE id % 3 > 0),
+    n AS (SELECT d.id, d.prototype, support, count(CASE WHEN f.d < d.d THEN 1 END) AS nearer, count(*) AS n FROM d JOIN f USING (prototype) GROUP BY ALL), s AS (SELECT *, 0.7 * (n - nearer + 1) / (n + 1.0) + 0.3 * support AS score FROM n)
+    SELECT id, CAST(prototype AS VARCHAR) AS prototype, round(score, 9) AS score FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 12) DESC, prototype) = 1""")
+def neighbourhood_scores(spark, d):
+    k = F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("k")
+    x = t(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_retailprice", k).withColumn("prototype", F.col("k").cast("string"))
+    distances = x.select("id", "prototype", F.abs(F.col("p_retailprice") - 900 - 30 * F.col("k")).alias("d"))
+    support = x.select("id", "prototype", (F.col("id") * F.col("k") % 5 / 4).alias("support"))
+    got = prototypes.neighbourhood_scores(distances, support, x.where("id % 3 > 0").select("id").distinct(), ["1", "2", "3"], 0.7)
+    return got.where("best").select("id", "prototype", F.round("score", 9).alias("score"))

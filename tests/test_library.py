@@ -58,6 +58,7 @@ def test_families_equal_plain_versions(spark, seed):
         home.append(n) if home else cliques.append([n])
     assert families_of(families.leaders(nodes, pairs, ["place"])) == lead
     assert families_of(families.cliques(nodes, pairs, ["place"])) == {n: g[0] for g in cliques for n in g}
+    assert families_of(families.cliques(nodes, pairs, ["place"], small=4)) == {n: g[0] for g in cliques for n in g}
     assert families_of(families.complete_link(nodes, pairs, "score", 0.6)) == plain_complete_link(sorted(place), edges, 0.6)
     shuffled = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score").orderBy(F.rand(3))
     assert families_of(families.leaders(nodes.orderBy(F.rand(4)), shuffled, ["place"])) == lead
@@ -196,7 +197,7 @@ def test_files(spark, tmp_path):
 
 def test_streams(spark, tmp_path):
     rows = [("2024-01-01 00:10:00", "a", 1), ("2024-01-01 00:50:00", "a", 2), ("2024-01-01 03:00:00", "b", 4), ("2024-01-01 00:20:00", "a", 9), ("2024-01-01 06:00:00", "c", 5)]
-    for i, part in enumerate((rows[:3], rows[3:4], rows[4:])):
+    for i, part in enumerate((rows[:3], rows[4:], rows[3:4])):  # rows are late by the watermark that the batch before began with
         spark.createDataFrame(part, "ts string, k string, v long").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
         for file in (tmp_path / "in" / f"part={i}").glob("*.parquet"):
             os.utime(file, (1_700_000_000 + 100 * i,) * 2)  # a stream takes files by their time
