@@ -3,7 +3,7 @@
 Every distinct 5-word shingle of a text is a Poisson process whose rate is its count. An arrival goes to a random register, and the register
 keeps the shingle that came first. Arrivals are made in rounds for many texts at once, and a shingle stops as soon as its next arrival is
 later than all registers of its text. Two registers agree with the probability Jaccard of the two texts. Bands of registers propose pairs;
-each pair is verified by its exact probability Jaccard, and verified pairs join texts into classes.
+each pair is verified by the probability Jaccard of all its shingles (32-bit hashes of them), and verified pairs join texts into classes.
 
 Pairs are never listed bucket by bucket. First all members of a bucket meet one of them. A bucket whose members are in one class by then is
 done. In a small one that is not, members of different classes meet. The members of large ones, whose texts are alike but mostly below the
@@ -140,7 +140,7 @@ def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose items have a probability Jaccard of ``threshold`` or more."""
+    """The (a, b) of ``pairs`` whose items (32-bit hashes of shingles) have a probability Jaccard of ``threshold`` or more."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -300,7 +300,8 @@ def in_context(pieces: list[str], weights: list[float]) -> float:
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted (score of 0.7 or more) of every row's whole text.
 
-    ``labels`` has doc_id and toxic. Null and empty texts score 0. Without usable labels every score is 0.5. Repeated rows are scored
+    ``labels`` has doc_id and toxic. Null and empty texts have the score of a text without any term, near 0. Without usable labels, or
+    where none is toxic, every score is 0.5. Repeated rows are scored
     alike; an empty table gives an empty result; other columns are not read.
     """
     model = fit(docs, labels, "toxic", MOD, HELD, train, sample)
