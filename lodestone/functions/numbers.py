@@ -42,6 +42,20 @@ def field_strength(charge: Column, radius: Column) -> Column:
     return ratio(finite(charge), finite(radius) ** 2)
 
 
+def hsab_strength(ionisation_a: Column, affinity_a: Column, ionisation_b: Column, affinity_b: Column) -> Column:
+    """Squared difference of the electronegativities (I + A) / 2 over the sum of the hardnesses |I - A|; null if that is 0."""
+    chi = lambda i, a: 0.5 * (finite(i) + finite(a))
+    hard = lambda i, a: F.abs(finite(i) - finite(a))
+    return ratio((chi(ionisation_a, affinity_a) - chi(ionisation_b, affinity_b)) ** 2, hard(ionisation_a, affinity_a) + hard(ionisation_b, affinity_b))
+
+
+def kapustinskii(charge: Column, radius_a: Column, radius_b: Column, other_a: Column, other_b: Column) -> Column:
+    """|charge| over the sum of two radii, or of the other two where one is missing; null unless the sum is positive."""
+    missing = finite(radius_a).isNull() | finite(radius_b).isNull()
+    sum_ = F.when(missing, finite(other_a) + finite(other_b)).otherwise(finite(radius_a) + finite(radius_b))
+    return F.when(sum_ > 0, F.abs(finite(charge)) / sum_)
+
+
 def summed_field_strength(parts: Column) -> Column:
     """Sum of f * z / r^2 over an array of (f, z, r); parts without a positive radius do not count, and without any it is null."""
     some = F.filter(parts, lambda p: (finite(p["r"]) > 0) & finite(p["z"]).isNotNull() & finite(p["f"]).isNotNull())

@@ -254,8 +254,8 @@ def spanning_tree(space_: Space, cores: DataFrame, near: DataFrame) -> DataFrame
 
         ends = listed.join(label, "node").join(label.select(F.col("node").alias("other"), F.col("comp").alias("other_comp")), "other").where("comp <> other_comp")
         bounds = ends.select("comp", "w").union(now.select("comp", "core", "x").mapInArrow(by_pivots, "comp long, w double"))
-        limits = bounds.groupBy("comp").agg(F.min("w").alias("limit")).where(F.col("limit") < float("inf"))
-        asking = now.join(limits, "comp").where("core <= limit").select("node", "x", "core", "comp", "limit")
+        limits = written(bounds.groupBy("comp").agg(F.min("w").alias("limit")).where(F.col("limit") < float("inf")))
+        asking = now.join(F.broadcast(limits) if limits.count() <= LOCAL else limits, "comp").where("core <= limit").select("node", "x", "core", "comp", "limit")
 
         def open_(got: dict, d: np.ndarray, radius: np.ndarray, weight: np.ndarray, sole=sole, least=least) -> np.ndarray:
             return (np.maximum(d - radius, least[None]) <= got["limit"][:, None]) & (sole[None] != got["comp"][:, None])
@@ -281,7 +281,7 @@ def spanning_tree(space_: Space, cores: DataFrame, near: DataFrame) -> DataFrame
         new = relabelled(picked)
         old = label
         label = written(label.join(new, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")))
-        dropped(old)
+        dropped(old, limits)
     dropped(pts, listed, label)
     if not parts:
         return spark.createDataFrame([], "w double, a long, b long")

@@ -94,6 +94,23 @@ def linear(df: DataFrame, columns: list[str], target: str, ridge: float = 0.0) -
     return coef, float(centre[-1] - coef @ centre[:-1])
 
 
+def ablation(df: DataFrame, ranked: list[str], target: str, sizes: list[int] | None = None) -> list[tuple[int, float]]:
+    """Number of features and R2 of least squares for the first 1, 2, ... of a ranking (or for ``sizes``), over rows without a missing value.
+
+    One Gram matrix of all columns serves every size; the table is not read again.
+    """
+    rows, width = numbers(df, [*ranked, target])
+    _, m = moments(rows, width, complete=True)
+    n = max(m["n"][0, 0], 1.0)
+    mean = m["sx"][:, 0] / n
+    s = m["sxy"] - n * np.outer(mean, mean)
+    out = []
+    for k in sizes or range(1, len(ranked) + 1):
+        coef = np.linalg.lstsq(s[:k, :k], s[:k, -1], rcond=None)[0]
+        out.append((k, float(coef @ s[:k, -1] / s[-1, -1]) if s[-1, -1] > 0 else 0.0))
+    return out
+
+
 def permutation_importance(df: DataFrame, id_: str, columns: list[str], target: str, predict: Callable[[list[Column]], Column], repeats: int = 5, seed: int = 0) -> DataFrame:
     """feature, importance (mean over ``repeats`` of how much R2 falls when the column is permuted) and std (population) of it.
 

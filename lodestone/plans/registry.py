@@ -341,4 +341,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _all() -> None:
     """Other modules put their queries down when they are imported."""
-    from lodestone.plans import cleaning_queries, cluster_queries, family_queries, join_queries, score_queries, selection_queries, shaping_queries, text_queries  # noqa: F401
+    from lodestone.plans import cleaning_queries, cluster_queries, family_queries, join_queries, list_queries, score_queries, selection_queries, shaping_queries, text_queries  # noqa: F401

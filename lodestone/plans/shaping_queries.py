@@ -123,7 +123,7 @@ def near(spark, d, cutoff: float):
 
 @query(SITES + " SELECT structure, a, b, i, j, k, round(d, 6) AS d FROM n WHERE d < 1.6 AND NOT (a = b AND i = 0 AND j = 0 AND k = 0)")
 def periodic_neighbours(spark, d):
-    return near(spark, d, 1.6).withColumn("d", F.round("d", 6))
+    return near(spark, d, 1.6).drop("dx", "dy", "dz").withColumn("d", F.round("d", 6))
 
 
 @query(SITES + """, m AS (SELECT *, row_number() OVER w AS place, lead(d) OVER w AS next FROM n WHERE d < 2.5 AND d > 1e-8 WINDOW w AS (PARTITION BY structure, a ORDER BY d, b, i, j, k)), g AS (SELECT structure, a FROM m WHERE place <= 6 GROUP BY ALL
@@ -133,6 +133,18 @@ def nearest_six(spark, d):
     return got.select("structure", "a", "b", "i", "j", "k", "place")
 
 
+@query(SITES + " SELECT structure, a, count(*) AS cn, round(avg(d), 6) AS d_mean, round(stddev_pop(d), 6) AS d_std, round(min(d), 6) AS d_min, round(max(d), 6) AS d_max FROM n WHERE d < 1.6 AND NOT (a = b AND i = 0 AND j = 0 AND k = 0) GROUP BY ALL")
+def bond_lengths(spark, d):
+    return periodic.bond_statistics(near(spark, d, 1.6)).select("structure", "a", "cn", *[F.round(f"d_{s}", 6).alias(f"d_{s}") for s in ("mean", "std", "min", "max")])
+
+
+@query(SITES + """, e AS (SELECT structure, a, b, i, j, k FROM n WHERE d < 1.6 AND a <> b), c AS (SELECT structure, a, count(*) AS cn FROM e GROUP BY ALL HAVING count(*) >= 3), h AS (SELECT e.* FROM e JOIN c USING (structure, a)),
+    p AS (SELECT x.structure, least((x.a, y.a, x.i - y.i, x.j - y.j, x.k - y.k), (y.a, x.a, y.i - x.i, y.j - x.j, y.k - x.k)) AS pair FROM h x JOIN h y ON x.structure = y.structure AND x.b = y.b AND (x.a, x.i, x.j, x.k) < (y.a, y.i, y.j, y.k)),
+    sh AS (SELECT structure, avg(n) AS shared FROM (SELECT structure, pair, count(*) AS n FROM p GROUP BY ALL) GROUP BY 1) SELECT c.structure, count(*) AS n_polyhedra, round(avg(cn), 6) AS cn, round(coalesce(any_value(shared), 0), 6) AS shared FROM c LEFT JOIN sh USING (structure) GROUP BY 1""")
+def shared_corners(spark, d):
+    return periodic.polyhedra(near(spark, d, 1.6).where("a <> b")).select("structure", "n_polyhedra", F.round("cn", 6).alias("cn"), F.round("shared", 6).alias("shared"))
+
+
 @query(None)
 def network_dimensions(spark, d):
     sites, _ = structures(spark, d)

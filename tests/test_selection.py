@@ -95,6 +95,11 @@ def test_permutation_importance(spark):
     whole = np.array([r[1:] for r in rows if None not in r])
     a = np.c_[whole[:, :3], np.ones(len(whole))]
     assert [*coef, intercept] == pytest.approx(list(np.linalg.lstsq(a, whole[:, 3], rcond=None)[0]), abs=1e-8)
+    y, told = whole[:, 3] - whole[:, 3].mean(), selection.ablation(df, names[:3], "c3")
+    for k, r2 in told:
+        left = y - (c := whole[:, :k] - whole[:, :k].mean(0)) @ np.linalg.lstsq(c, y, rcond=None)[0]
+        assert r2 == pytest.approx(1 - (left @ left) / (y @ y))
+    assert [k for k, _ in told] == [1, 2, 3] and selection.ablation(df, names[:3], "c3", [2]) == [told[1]]
     predict = lambda c: sum((float(w) * v for w, v in zip(coef, c, strict=True)), F.lit(intercept))
     got = {r["feature"]: r for r in selection.permutation_importance(df, "id", names[:3], "c3", predict, 4, seed=2).collect()}
     by_number = order.numbered(df.where(" AND ".join(f"{c} IS NOT NULL" for c in names)).select("id", F.array(*names).alias("x")), [F.xxhash64("id"), F.col("id")]).orderBy("number").collect()
