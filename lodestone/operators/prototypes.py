@@ -90,3 +90,33 @@ def composition_stats(parts: DataFrame, elements: DataFrame, properties: list[st
             F.coalesce(F.col(f"{p}__w") / F.col("all__w"), F.lit(0.0)).alias(f"{p}__known"),
         ]
     return got.select(key, *out)
+
+
+def proxy_score(df: DataFrame, id_: str, fit: Column, clipped: list[str], optima: dict[str, tuple[float, float]], zero_filled: set[str], steps: tuple[str, dict[float, float], float]) -> DataFrame:
+    """id and score, the mean of components between 0 and 1: columns clipped to that range (missing: 0); for each column of ``optima`` a
+    Gaussian of the distance of its percentile among the fitted rows from (optimum, width); and the value that ``steps`` (column, known
+    values, default) gives.
+
+    Missing values of ``optima`` columns are 0 if in ``zero_filled``, else the median of the fitted rows (0 without any). An error if the
+    column of ``steps`` has a missing value. ``id_`` is unique.
+    """
+    from lodestone.functions.cleaning import finite
+    from lodestone.operators.transforms import exact_quantiles
+
+    column, known, default = steps
+    if not df.where(finite(F.col(column)).isNull()).isEmpty():
+        raise ValueError(f"{column} has missing values")
+    at = finite(F.col(column))
+    step = F.lit(float(default))
+    for value, gives in known.items():
+        step = F.when(at == value, float(gives)).otherwise(step)
+    parts = [F.least(F.greatest(F.coalesce(finite(F.col(c)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias(f"c_{i}") for i, c in enumerate(clipped)]
+    rows = written(df.select(id_, fit.alias("fit_"), *[finite(F.col(c)).alias(f"v_{i}") for i, c in enumerate(optima)], *parts, step.alias("step_")))
+    out = rows
+    for i, (c, (optimum, width)) in enumerate(optima.items()):  # a few columns, each against its own reference
+        middle = None if c in zero_filled else exact_quantiles(rows.where("fit_"), [], f"v_{i}", [0.5]).first()
+        full = rows.withColumn("x_", F.coalesce(f"v_{i}", F.lit(float(middle["q"][0]) if middle is not None else 0.0)))
+        told = against_reference(full, "x_", full.where("fit_"), id_)
+        out = out.join(told.select(id_, F.exp(-((F.col("percentile") - optimum) ** 2) / (2 * width**2)).alias(f"p_{i}")), id_)
+    names = [*[f"c_{i}" for i in range(len(clipped))], *[f"p_{i}" for i in range(len(optima))], "step_"]
+    return out.select(id_, (sum((F.col(n) for n in names), F.lit(0.0)) / len(names)).alias("score"))

@@ -94,3 +94,24 @@ def test_composition_statistics(spark):
     assert (got["AB2"]["en__mean"], got["AB2"]["en__std"], got["AB2"]["en__range"], got["AB2"]["en__known"]) == (3.0, pytest.approx(2**0.5), 3.0, 1.0)
     assert (got["AB2"]["r__mean"], got["AB2"]["r__std"], got["AB2"]["r__known"]) == (5.0, 0.0, pytest.approx(1 / 3))
     assert (got["X"]["en__mean"], got["X"]["en__known"]) == (None, 0.0)
+
+
+def test_proxy_of_percentiles(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, rng.uniform(-1, 2)]), rng.choice([None, rng.random()]), rng.choice([None, float(rng.randrange(5))]), float(i % 4), i % 3 > 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, share double, bend double, cn double, dim double, fit boolean")
+    got = {r["id"]: r["score"] for r in prototypes.proxy_score(df, "id", F.col("fit"), ["share"], {"bend": (0.6, 0.2), "cn": (0.5, 0.3)}, {"bend"}, ("dim", {0.0: 0.8, 1.0: 1.0, 2.0: 0.85}, 0.3)).collect()}
+    known = sorted(r[3] for r in rows if r[5] and r[3] is not None)
+    middle = (known[(len(known) - 1) // 2] + known[len(known) // 2]) / 2
+    bend, cn = [r[2] or 0.0 for r in rows], [middle if r[3] is None else r[3] for r in rows]
+
+    def gauss(values, x, optimum, width):
+        reference = [v for v, r in zip(values, rows, strict=True) if r[5]]
+        p = (sum(v < x for v in reference) + sum(v <= x for v in reference)) / (2 * len(reference))
+        return 2.718281828459045 ** (-((p - optimum) ** 2) / (2 * width**2))
+
+    for i, r in enumerate(rows):
+        parts = [min(max(r[1] or 0.0, 0.0), 1.0), gauss(bend, bend[i], 0.6, 0.2), gauss(cn, cn[i], 0.5, 0.3), {0: 0.8, 1: 1.0, 2: 0.85}.get(int(r[4]), 0.3)]
+        assert got[i] == pytest.approx(sum(parts) / 4)
+    with pytest.raises(ValueError, match="share has missing"):
+        prototypes.proxy_score(df, "id", F.col("fit"), [], {}, set(), ("share", {}, 0.0))
