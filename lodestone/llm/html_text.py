@@ -4,9 +4,11 @@ A page is a sequence of tokens: its structural tags, each named by the structura
 block tag and the structural tags around it. Tokens of a host's pages that share one occurrence vector (the counts in page 1, page 2, ...)
 form an equivalence class. A class of CLASS tokens or more that come once in each page that has them, and that hang together (all of them
 in one part of another such class), is a frame; a host may have several, as pages follow several templates, and they nest. What stands in
-a part of a frame is a slot. Slots that hold most of the text of their pages are the articles' slots, the deepest first; tag names decide
-between such slots alone. A page's text is that of its first slot, without the texts that the template repeats in it. Names of tags and
-classes also decide on parts inside a slot of whose text the template says nothing: adverts, comments, notices.
+a part of a frame is a slot. From the page down, the way leads to the slot that holds most of the text around it that varies from page to
+page, and at least twice that of each slot beside it; where none does, a slot that is an article by its tag is taken if it is no small
+one. The way ends in a slot with texts of its own, and tags choose among the slots on it. A page's text is that of its first slot, without
+the texts that the template repeats in it. Names of tags and classes also decide on parts inside a slot of whose text the template says
+nothing: adverts, comments, notices.
 Vectors are compared by a sum of page-wise random numbers times counts, so no task holds a host's pages.
 """
 
@@ -46,9 +48,15 @@ BROADCAST, SALTS = 16_000_000, 64
 NAMES_OF_TOKENS = ("key", "parent", "tag", "n", "place", "held", "kind")
 #: A token is looked at if this share of a host's pages has it; pages of rarer templates are read by the names of their parts alone.
 SUPPORT = 0.02
-#: Tokens of a class that is a frame, at least; share of its pages' text that an article's slot holds, at least; the same for an
-#: article or main part that is noise by name.
+#: Tokens of a class that is a frame, at least; share of its pages' text with which a slot counts in spite of noisy names around it, at
+#: least; the same for an article or main part, and its share of the text of the slot around it, at least.
 CLASS, MOST, TOLD = 3, 0.8, 0.3
+#: Share of the varying text of the slot around it that a slot on the way holds, at least, and how many times that of a slot beside it;
+#: share of text outside all inner slots from which on a slot is no mere layout.
+HALF, TWICE, OWN = 0.5, 2, 0.05
+#: fixed values: tags that lay out a page, and those of them that are never an article
+LAYOUT = frozenset("html body div section article main".split())
+WHOLE = frozenset("page html body".split())
 #: A text is the template's if so many pages have it, at least (fewer may be copies of one article), and this share of those with its place.
 TEXT_PAGES, TEXT_SHARE = 3, 0.5
 
@@ -139,18 +147,25 @@ def noisy(parts: tuple[Part, ...], above: int = 0) -> bool:
 
 def tokens(page: str) -> list[tuple[str, str, str, int, int, int, int]]:
     """(key, key of the part around it, tag, count, first place, thousandths of the page's unlinked text in it, kind) of a page's
-    tokens, the page first. Texts have no tag. Kind is 0 for what can be no slot, 1 for a part that is noise by name, 2 for all others."""
+    tokens, the page first. Texts have no tag. Kind is 0 for what can be no slot, 1 for what is in a part that is noise by name, 2 for all
+    others; what a part of kind 2 holds is its text of kind 2."""
     found: dict[str, list] = {"page": ["", "page", 1, 0, 0, 2]}
+    total = 0
     for parts, text, link, holder in walk(page):
+        noise = noisy(parts)
+        kind = 0 if any(x.tag in DROPPED for x in parts) else 1 if noise else 2
         if text is None:
-            kind = 0 if any(x.tag in DROPPED for x in parts) else 1 if noisy(parts) else 2
             found.setdefault(parts[-1].key, [parts[-2].key, parts[-1].tag, 0, len(found), 0, kind])[2] += 1
             continue
-        found.setdefault(key_of(parts[-1].key, holder, text), [parts[-1].key, "", 0, len(found), 0, 0])[2] += 1
+        token = found.setdefault(key_of(parts[-1].key, holder, text), [parts[-1].key, "", 0, len(found), 0, kind])
+        token[2] += 1
         if not link:
+            total += len(text)
+            token[4] += len(text)
             for part in parts:
-                found[part.key][4] += len(text)
-    total = max(1, found["page"][4])
+                if not noise or found[part.key][5] < 2:
+                    found[part.key][4] += len(text)
+    total = max(1, total)
     return [(k, parent, tag, n, place, held * 1000 // total, kind) for k, (parent, tag, n, place, held, kind) in found.items()]
 
 
@@ -175,16 +190,60 @@ def deduce(found: list[dict]) -> dict:
         holders = {next((k for k in around(t["key"]) if k not in keys), "") for t in members}
         if len(holders) == 1:
             frame |= keys
-    slots = []
+    texts = [t for t in found if not t["tag"] and t["pages"] >= TEXT_PAGES and t["pages"] >= TEXT_SHARE * tokens_[t["parent"]]["pages"]]
+    varying = {t["key"]: t["held"] for t in found}
+    for t in texts:
+        for key in around(t["key"]):
+            if t["kind"] == 2 or tokens_[key]["kind"] < 2:
+                varying[key] -= t["held"]
+    if varying["page"] <= 0 and tokens_["page"]["held"]:  # copies of one page
+        varying = {t["key"]: t["held"] for t in found}
+    share = lambda key: varying[key] / tokens_[key]["pages"]
+    inner: dict[str, list[str]] = {}
     for t in found:
-        if t["key"] in frame and t["tag"] and t["kind"]:
-            share, told, depth = t["held"] / 1000 / t["pages"], t["tag"] in ("article", "main"), len(around(t["key"]))
-            if told and share >= TOLD * (t["kind"] == 1):
-                slots.append(((t["tag"] != "article", t["tag"] != "main", -share, depth, t["key"]), t["key"]))
-            elif share >= MOST - 0.01:  # thousandths are rounded down
-                slots.append(((True, True, -depth, -share, t["key"]), t["key"]))
-    texts = [t["key"] for t in found if not t["tag"] and t["pages"] >= TEXT_PAGES and t["pages"] >= TEXT_SHARE * tokens_[t["parent"]]["pages"]]
-    return {"slots": [k for _, k in sorted(slots)], "covered": sorted(texts)}
+        if t["tag"] and t["key"] in frame and t["key"] != "page":
+            inner.setdefault(next((k for k in around(t["key"]) if k in frame), "page"), []).append(t["key"])
+
+    def told(key: str) -> bool:
+        return tokens_[key]["tag"] in ("article", "main")
+
+    meet = lambda a, b, of: tokens_[a]["pages"] + tokens_[b]["pages"] > tokens_[of]["pages"]
+    clear = [k for k in frame if told(k) and tokens_[k]["kind"] == 2 and varying[k]]
+
+    def beside(key: str) -> list[str]:
+        """The slots next below ``key`` that may hold the article. Names hide those that hold too little, and what is untagged beside an
+        article or main part that they do not hide."""
+        out = []
+        for k in inner.get(key, []):
+            held = tokens_[k]["held"] / 1000 / tokens_[k]["pages"] + 0.01  # thousandths are rounded down
+            if tokens_[k]["kind"] == 2 and not varying[k]:  # all that it holds is noise by name
+                out += beside(k)
+            elif tokens_[k]["kind"] == 2 or tokens_[k]["kind"] == 1 and (tokens_[key]["kind"] == 1 or held >= (TOLD if told(k) else MOST) and (told(k) or not any(meet(k, x, "page") for x in clear))):
+                out.append(k)
+            else:
+                out += [x for x in beside(k) if told(x) and tokens_[x]["held"] >= TOLD * 1000 * tokens_[x]["pages"]]
+        return [k for k in out if tokens_[k]["tag"] in LAYOUT and tokens_[k]["kind"]]
+
+    def below(key: str) -> list[str]:
+        """The next slots on the way: those of different templates are on different pages."""
+        near = beside(key)
+        if tokens_[key]["tag"] not in WHOLE and varying[key] - sum(varying[k] for k in inner.get(key, [])) > OWN * varying[key]:
+            near = [k for k in near if told(k)]
+        met = lambda a, b: meet(a, b, key)
+        best = [k for k in near if share(k) >= HALF * share(key) and share(k) and all(share(k) >= TWICE * share(x) for x in near if x != k and met(k, x))]
+        tagged = [k for k in near if told(k) and k not in best and share(k) >= TOLD * share(key) and share(k) and not any(met(k, x) for x in best)]
+        order = sorted(tagged, key=lambda k: (tokens_[k]["tag"] != "article", -share(k), k))
+        return best + [k for i, k in enumerate(order) if not any(met(k, x) for x in order[:i])]
+
+    slots, open_ = [], [("page",)]
+    while open_:
+        way = open_.pop()
+        if further := below(way[-1]):
+            open_ += [(*way, k) for k in further]
+        elif len(way) > 1:
+            slots.append(next((k for tag in ("article", "main") for k in way if tokens_[k]["tag"] == tag), way[-1]))
+    order = sorted(set(slots) - {"page"}, key=lambda k: (tokens_[k]["tag"] != "article", tokens_[k]["tag"] != "main", -len(around(k)), -share(k), k))
+    return {"slots": [k for k in order if tokens_[k]["tag"] not in WHOLE], "covered": sorted(t["key"] for t in texts)}
 
 
 def extract(page: str, template: dict) -> str:

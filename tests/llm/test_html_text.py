@@ -145,3 +145,37 @@ def test_large_sets_of_templates_are_joined_in_salted_parts(spark, monkeypatch):
     want = sorted((str(r["page_id"]), r["text"]) for r in html_text.main_texts(table).collect())
     monkeypatch.setattr(html_text, "BROADCAST", -1)
     assert sorted((str(r["page_id"]), r["text"]) for r in html_text.main_texts(table).collect()) == want
+
+
+def body_and_teaser(i):
+    """The article in a part without a telling name, beside a line that is tagged as one."""
+    return f"<html><body><div class='m1'><p>Go {i}</p></div><article class='x9'><p>Teaser {i} of the day</p></article><div class='k3'><h1>Title {i}</h1><p>{f'Words {i} of its own. ' * 25}</p></div></body></html>"
+
+
+def body_side_and_tail(i):
+    """An article of three fifths of its page, between a side and a tail of texts that differ from page to page."""
+    fill = lambda word, n: f"{word} {i:03d} " * n
+    return f"<html><body><div class='w1'><div class='kc'><h1>Title {i:03d}</h1><p>{fill('body', 62)}</p></div><div class='kd'><p>{fill('side', 25)}</p></div></div><div class='ke'><p>{fill('tail', 13)}</p></div></body></html>"
+
+
+def test_length_and_variation_decide_before_tags(spark):
+    made = {"http://teaser.example.com/": body_and_teaser, "http://side.example.com/": body_side_and_tail}
+    rows = [(20 * k + i, host, page(i), "x", 0) for k, (host, page) in enumerate(made.items()) for i in range(20)]
+    # a part that is longer than the article, but says the same on every page
+    legal = "All rights are reserved, and more of that kind. " * 20
+    rows += [(40 + i, "http://legal.example.com/", f"<html><body><div class='ka'><p>Title {i}</p><p>{f'words {i} ' * 40}</p></div><div class='kb'><p>{legal}</p></div></body></html>", "x", 0) for i in range(20)]
+    # a tag decides between parts of like length
+    rows += [(60 + i, "http://tie.example.com/", f"<html><body><div class='ka'><p>{f'beside {i} ' * 20}</p></div><article><p>{f'inside {i} ' * 21}</p></article></body></html>", "x", 0) for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in range(20):
+        assert got[i] == f"Title {i}\n{(f'Words {i} of its own. ' * 25).strip()}"
+        assert got[20 + i] == f"Title {i:03d}\n{(f'body {i:03d} ' * 62).strip()}"
+        assert got[40 + i] == f"Title {i}\n{(f'words {i} ' * 40).strip()}"
+        assert got[60 + i] == (f"inside {i} " * 21).strip()
+
+
+def test_a_slot_with_texts_of_its_own_is_no_layout(spark):
+    page = lambda i: f"<html><body><div class='ka'><h1>Title {i}</h1><p>{f'first {i} ' * 9}</p><div class='kb'><p>{f'then {i} ' * 60}</p></div></div><div class='kc'><p>Beside {i}</p></div></body></html>"
+    rows = [(i, "http://own.example.com/", page(i), "x", 0) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: f"Title {i}\n{(f'first {i} ' * 9).strip()}\n{(f'then {i} ' * 60).strip()}" for i in range(8)}
