@@ -1,9 +1,10 @@
 """Document fingerprints by closed syncmers over words (native: DataFrame functions only).
 
 A k-mer is k words in a row, an s-mer s words in a row. A k-mer is chosen if the smallest of its s-mer hashes is its first or its last.
-That depends on the k-mer alone, so an edit changes no choice away from it, and no stretch of k-s+1 k-mers goes without one. The chosen
-k-mers' hashes, as a sorted set, are the fingerprint; two fingerprints are as alike as their sets (Jaccard). Texts of so few words that
-no k-mer need be chosen have their s-mers instead (the syncmers of k = s), all of them by their length alone, so that they stay comparable.
+That depends on the k-mer alone, so an edit changes no choice away from it, and no stretch of k-s k-mers goes without one. Each text is
+read with k-1 blank words before and after it, so texts of any length have k-mers, and one rule holds for all: a text of n words has
+n+k-1 of them, and one of them is chosen at least. The chosen k-mers' hashes, as a sorted set, are the fingerprint; two fingerprints are as
+alike as their sets (Jaccard). Anchors, a k-mer with its place, tell how much of two texts stands at the same place in both.
 """
 
 from __future__ import annotations
@@ -18,8 +19,6 @@ K, S = 7, 2
 #: fixed values: blocks of scripts written without blanks between words (Thai, Lao, Myanmar, Khmer, kana, Han), and all from the first on
 UNSPACED = "[\\u0E00-\\u0EFF\\u1000-\\u109F\\u1780-\\u17FF\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF\\x{20000}-\\x{2FA1F}]"
 BEYOND = "[\\u0E00-\\x{10FFFF}]"
-#: Among so many words a k-mer is always chosen: of K - S of them in a row, one is.
-ENOUGH = 2 * K - S - 1
 #: Buckets of neighbouring ids: about so many rows each, at most so many buckets (what the driver and each row's lookup hold).
 BUCKET_ROWS, MOST_BUCKETS, STEP = 64, 4096, 64
 
@@ -47,33 +46,39 @@ def is_closed(h: Column, i: Column) -> Column:
 
 
 def syncmers(text: Column) -> Column:
-    """Array of (position in words, hash) of the closed syncmers; of the s-mers in a text of fewer than ENOUGH words, or of its only word.
+    """Array of (position in words, hash) of the closed syncmers; ``at`` is the place of the k-mer's first word, negative in the blanks.
 
     Only a text without words has none.
     """
+    last, blanks = K - S, F.array_repeat(F.lit(""), K - 1)
 
-    def of_words(ws):
-        whole = F.array(F.struct(F.lit(0).alias("at"), F.hash(F.array_join(ws, " ")).alias("hash")))
-        last = K - S
-
-        def of_smers(h):
-            chosen = F.filter(F.sequence(F.lit(0), F.size(h) - last - 1), lambda i: is_closed(h, i))
-            closed = F.transform(chosen, lambda i: F.struct(i.alias("at"), F.hash(*[h[i + j] for j in [*range(0, last, S), last]]).alias("hash")))
-            short = F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.struct(i.alias("at"), F.hash(h[i]).alias("hash")))
-            return F.when(F.size(ws) >= ENOUGH, closed).otherwise(short)
+    def of_smers(h):
+        chosen = F.filter(F.sequence(F.lit(0), F.size(h) - last - 1), lambda i: is_closed(h, i))
+        return F.transform(chosen, lambda i: F.struct((i - (K - 1)).alias("at"), F.hash(*[h[i + j] for j in [*range(0, last, S), last]]).alias("hash")))
 
-        return F.when(F.size(ws) >= S, bound(smers(ws), of_smers)).when(F.size(ws) > 0, whole).otherwise(F.array().cast("array<struct<at:int,hash:int>>"))
+    def of_words(ws):
+        return F.when(F.size(ws) > 0, bound(smers(F.concat(blanks, ws, blanks)), of_smers)).otherwise(F.array().cast("array<struct<at:int,hash:int>>"))
 
     return bound(words(text), of_words)
 
 
 def fingerprint(text: Column) -> Column:
     """The sorted set of the syncmers' hashes."""
-    return F.array_sort(F.array_distinct(F.transform(syncmers(text), lambda x: x["hash"])))
+    return hashes(syncmers(text))
+
+
+def hashes(found: Column) -> Column:
+    """The sorted set of the hashes of syncmers."""
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: x["hash"])))
+
+
+def anchors(found: Column) -> Column:
+    """Place and hash of each of the syncmers, as one number."""
+    return F.transform(found, lambda x: F.shiftleft(x["at"].cast("long"), 32) + x["hash"])
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two fingerprints; 1 if both are empty, which only those of texts without words are."""
+    """Jaccard similarity of two fingerprints, or of two sets of anchors; 1 if both are empty, which only those of texts without words are."""
     common = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(common / (F.size(a) + F.size(b) - common).cast("double"))
 
@@ -122,15 +127,18 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """Each row's fingerprint beside that of its edited text, whose last half is the beginning of the next row's text.
 
-    Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null texts count as empty and have
-    an empty fingerprint; very long ones are marked whole. Ids of any ordered type will do; with one row, it is its own next. An empty
-    table gives an empty result; other columns are not read.
+    Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and placed_edited: how alike the
+    text and the edited text are if a k-mer counts only at its place. Null texts count as empty and have an empty fingerprint; very long
+    ones are marked whole. Ids of any ordered type will do; with one row, it is its own next. An empty table gives an empty result; other
+    columns are not read.
     """
-    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("marks", fingerprint(F.col("text")))
+    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("found", syncmers(F.col("text")))
+    rows = rows.select("doc_id", "text", hashes(F.col("found")).alias("marks"), anchors(F.col("found")).alias("anchors"))
     near = with_next(rows, ["text", "marks"]).withColumn("n_chars", F.length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = near.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), F.col("n_chars") - half), F.col("next_text").substr(F.lit(1), half)))
-    marked = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "marks", "next_marks", fingerprint(F.col("edited")).alias("edited_marks"))
+    found = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "marks", "anchors", "next_marks", syncmers(F.col("edited")).alias("found"))
+    marked = found.withColumns({"edited_marks": hashes(F.col("found")), "edited_anchors": anchors(F.col("found"))})
     return marked.select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
@@ -139,6 +147,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
         F.array_join("edited_marks", " ").alias("edited_fingerprint"),
         likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"),
         likeness(F.col("marks"), F.col("next_marks")).alias("near_next"),
+        likeness(F.col("anchors"), F.col("edited_anchors")).alias("placed_edited"),
     )
 
 

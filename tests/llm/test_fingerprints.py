@@ -48,7 +48,8 @@ def test_choice_depends_on_the_k_mer_alone(spark):
     words = [f"w{i * i % 97}" for i in range(200)]
     table = spark.createDataFrame([(" ".join(words),), (" ".join(["new", *words]),)], "text string").select(fp.syncmers(fp.F.col("text")).alias("s"))
     a, b = ({(x["at"] - shift, x["hash"]) for x in r["s"]} for shift, r in enumerate(table.collect()))
-    assert a == {x for x in b if x[0] >= 0}
+    inner = lambda s: {x for x in s if x[0] >= 0}  # the blank words before a text are beside another word in each
+    assert inner(a) == inner(b) and len(inner(a)) > 50
     at = sorted(x for x, _ in a)
     assert max(y - x for x, y in zip(at, at[1:])) <= fp.K - fp.S
 
@@ -66,25 +67,52 @@ def test_hard_rows(spark):
 def test_short_texts_have_fingerprints_that_tell_them_apart(spark):
     texts = [" ".join(f"w{(i * 31 + j * 17) % 101}" for j in range(n)) for n in range(1, 14) for i in range(40)]
     table = spark.createDataFrame([(t,) for t in texts], "text string").select("text", fp.fingerprint(fp.F.col("text")).alias("f"))
-    assert all(r["f"] for r in table.collect())
-    pairs = [(" ".join(f"{a}{j}" for j in range(n)), " ".join(f"{b}{j}" for j in range(n - 1)) + f" {b}z") for n in range(2, 11) for a, b in (("u", "v"), ("u", "u"))]
-    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fp.likeness(fp.fingerprint(fp.F.col("a")), fp.fingerprint(fp.F.col("b"))).alias("l")).collect()
-    for r in got:
-        n = len(r["a"].split())
-        assert abs(r["l"] - (0 if r["b"].startswith("v") else (n - 2) / n)) < 1e-12
+    got = {r["text"]: tuple(r["f"]) for r in table.collect()}
+    assert all(got.values()) and len(set(got.values())) == len(set(texts))
     none = spark.createDataFrame([("", " \n"), ("", "word")], "a string, b string").select(fp.likeness(fp.fingerprint(fp.F.col("a")), fp.fingerprint(fp.F.col("b")))).collect()
     assert [r[0] for r in none] == [1.0, 0.0]
 
 
-def plain_positions(text):
-    """Places of the closed syncmers, by the definition, with the public hash of each stretch of words."""
-    ws, chain = text.split(), lambda words: reduce(lambda seed, w: xxhash.xxh64_intdigest(w.encode(), seed), words, 42)
+def test_one_rule_for_all_lengths(spark):
+    """Likeness of a text and the same with a word more equals that of plain sets of k-mers, and does not fall at any length."""
+    pairs = [(n, " ".join(f"{a}{j}" for j in range(n)), " ".join(f"{a}{j}" for j in range(n + 1))) for n in range(1, 40) for a in "uvwxyz"]
+    table = spark.createDataFrame(pairs, "n int, a string, b string")
+    marks = table.withColumns({c: fp.syncmers(fp.F.col(c)) for c in "ab"}).withColumns({f"{c}_set": fp.hashes(fp.F.col(c)) for c in "ab"})
+    both = marks.select("n", fp.likeness(fp.F.col("a_set"), fp.F.col("b_set")).alias("near"), fp.likeness(fp.anchors(fp.F.col("a")), fp.anchors(fp.F.col("b"))).alias("placed"))
+    got = {}
+    for r, (n, a, b) in zip(both.collect(), pairs, strict=True):
+        x, y = set(plain_syncmers(a)), set(plain_syncmers(b))
+        assert abs(r["placed"] - jaccard(x, y)) < 1e-12
+        assert abs(r["near"] - jaccard({k for _, k in x}, {k for _, k in y})) < 1e-12
+        got.setdefault(n, []).append(r["near"])
+    mean = {n: sum(x) / len(x) for n, x in got.items()}
+    assert min(mean[10], mean[11]) > 0.2 and mean[39] > 0.6  # 10 and 11 words that share 10
+
+
+def test_places_tell_moved_texts(spark):
+    words = [f"w{i * i % 997}" for i in range(300)]
+    table = spark.createDataFrame([(" ".join(words), " ".join(words[:150] + ["new"] + words[150:]))], "a string, b string")
+    a, b = (fp.syncmers(fp.F.col(c)) for c in "ab")
+    near, placed = table.select(fp.likeness(fp.hashes(a), fp.hashes(b)), fp.likeness(fp.anchors(a), fp.anchors(b))).first()
+    assert near > 0.9 and 0.3 < placed < 0.4  # the first half stands where it stood
+
+
+def plain_syncmers(text):
+    """(place, key) of the closed syncmers, by the definition, with the public hash of each stretch of words."""
+    ws, chain = [""] * (fp.K - 1) + text.split() + [""] * (fp.K - 1), lambda words: reduce(lambda seed, w: xxhash.xxh64_intdigest(w.encode(), seed), words, 42)
     signed = lambda h: h - (1 << 64) if h >> 63 else h
     small = [signed(chain(ws[i : i + fp.S])) for i in range(len(ws) - fp.S + 1)]
-    if len(ws) < fp.ENOUGH:
-        return list(range(len(small)))
     inside = fp.K - fp.S + 1
-    return [i for i in range(len(small) - inside + 1) if min(small[i : i + inside]) in (small[i], small[i + inside - 1])]
+    chosen = [i for i in range(len(small) - inside + 1) if min(small[i : i + inside]) in (small[i], small[i + inside - 1])]
+    return [(i - fp.K + 1, tuple(ws[i : i + fp.K])) for i in chosen]
+
+
+def plain_positions(text):
+    return [at for at, _ in plain_syncmers(text)]
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
 
 
 def test_places_equal_the_definition(spark):
