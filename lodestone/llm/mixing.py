@@ -129,7 +129,6 @@ def placed(docs: DataFrame, kept: list[str], weights: dict[str, float] | None =
     if not totals:
         return rows.select("row", "m_chars", *[F.lit(0).cast("long").alias(c) for c in PLACES])
     blocks = {s: max(1, -(-n // block_chars)) for s, n in totals.items()}
-    frame = max(4 * len(totals), min(frame, sum(blocks.values()) // 16))
     target = {s: max(1, totals[s]) ** temperature for s in totals} if weights is None else {s: w for s, w in weights.items() if w > 0 and s in totals}
     parts, table = phases(blocks, target, frame)
     quota = spark.createDataFrame([(*x, blocks[x[1]] - 1) for x in parts], "m_phase long, m_source string, m_first long, m_until long, m_q long, m_size long, m_begin long, m_last long")
