@@ -57,9 +57,9 @@ def syncmers(text: Column) -> Column:
         return F.transform(chosen, lambda i: F.struct((i - (K - 1)).alias("at"), F.hash(*[h[i + j] for j in [*range(0, last, S), last]]).alias("hash")))
 
     def of_words(ws):
-        return F.when(F.size(ws) > 0, bound(smers(F.concat(blanks, ws, blanks)), of_smers)).otherwise(F.array().cast("array<struct<at:int,hash:int>>"))
+        return F.when(F.size(ws) > 2 * (K - 1), bound(smers(ws), of_smers)).otherwise(F.array().cast("array<struct<at:int,hash:int>>"))
 
-    return bound(words(text), of_words)
+    return bound(F.concat(blanks, words(text), blanks), of_words)
 
 
 def fingerprint(text: Column) -> Column:
