@@ -49,11 +49,12 @@ def group_values(df: DataFrame, keys: list[str], aggregates: list[Column]) -> Da
 def nearest(left: DataFrame, right: DataFrame, on: str, key: str, most: float | None = None) -> DataFrame:
     """``left`` with ``key`` of the ``right`` row whose value ``on`` is nearest (the smaller value in ties), and the gap; null beyond ``most``.
 
-    Both tables go through one sorted pass: no row meets all of ``right``, which may be large. Values are dealt to ranges by quantiles of
-    ``right``, and each range gets the nearest values outside it as well.
+    The distinct values of both tables go through one sorted pass: no row meets all of ``right``, which may be large, and equal values of
+    ``left`` are looked up once. Values are dealt to ranges by quantiles of both, and each range gets the nearest keys outside it as well.
     """
     keys = right.where(F.col(on).isNotNull()).groupBy(F.col(on).alias("v")).agg(F.min(key).alias("k"))
-    found = keys.agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 1000)).first()[0]
+    asked = left.where(F.col(on).isNotNull()).select(F.col(on).alias("x")).distinct()
+    found = keys.select("v").union(asked).agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 1000)).first()[0]
     bounds = sorted(set(found or []))
     part = lambda c: F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= c)) if bounds else F.lit(0)
     dealt = keys.withColumn("part", part(F.col("v")))
@@ -61,17 +62,18 @@ def nearest(left: DataFrame, right: DataFrame, on: str, key: str, most: float |
     every = edges.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("part")).join(edges, "part", "left")
     w = Window.orderBy("part")  # at most 64 rows
     around = every.select("part", F.last("high", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("low", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    here = Window.partitionBy("part").orderBy("x", "side")
-    rows = left.select(F.struct(*left.columns).alias("row"), F.col(on).alias("x"), F.lit(1).alias("side"), F.lit(None).cast(dict(keys.dtypes)["k"]).alias("k"))
-    both = rows.unionByName(dealt.select(F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.col("v").alias("x"), F.lit(0).alias("side"), "k")).withColumn("part", F.when(F.col("x").isNull(), F.lit(-1)).otherwise(part(F.col("x"))))
-    mark = F.when(F.col("side") == 0, F.struct(F.col("x").alias("v"), "k"))
-    seen = both.withColumns({"down": F.last(mark, True).over(here.rowsBetween(Window.unboundedPreceding, 0)), "up": F.first(mark, True).over(here.rowsBetween(0, Window.unboundedFollowing))}).where("side = 1")
+    so_far = lambda *order: Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # noqa: E731  # a frame to the end would be read anew for each row
+    both = asked.withColumns({"side": F.lit(1), "v": F.lit(None).cast(dict(keys.dtypes)["v"]), "k": F.lit(None).cast(dict(keys.dtypes)["k"])}).unionByName(dealt.select(F.col("v").alias("x"), F.lit(0).alias("side"), "v", "k"))
+    mark = F.when(F.col("side") == 0, F.struct("v", "k"))
+    both = both.withColumn("part", part(F.col("x")))
+    seen = both.withColumns({"down": F.last(mark, True).over(so_far("x", "side")), "up": F.last(mark, True).over(so_far(F.desc("x"), F.desc("side")))}).where("side = 1")
     seen = seen.join(F.broadcast(around), "part", "left").withColumns({"down": F.coalesce("down", "before"), "up": F.coalesce("up", "after")})
     gap = lambda c: F.abs(F.col("x") - F.col(f"{c}.v"))
     down = F.col("up").isNull() | (gap("down") <= gap("up"))
     best = F.when(down & F.col("down").isNotNull(), F.struct(gap("down").alias("gap"), F.col("down.k").alias("k"))).when(F.col("up").isNotNull(), F.struct(gap("up").alias("gap"), F.col("up.k").alias("k")))
     ok = F.lit(True) if most is None else F.col("best.gap") <= most
-    return seen.withColumn("best", best).select("row.*", F.when(ok, F.col("best.k")).alias(key), F.when(ok, F.col("best.gap")).alias("gap"))
+    told = seen.withColumn("best", best).select(F.col("x").alias("x_"), F.when(ok, F.col("best.k")).alias("k_"), F.when(ok, F.col("best.gap")).alias("gap"))
+    return left.join(told, F.col(on) == F.col("x_"), "left").select(*[left[c] for c in left.columns], F.col("k_").alias(key), "gap")
 
 
 def preferred(rows: DataFrame, keys: list[str], kind: str, preference: list, value: str, then: list[Column]) -> DataFrame:
