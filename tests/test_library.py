@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import cleaning, formulas
-from lodestone.operators import checks, columns, families, joins, ranking, scoring, transforms
+from lodestone.operators import checks, columns, dedup, families, joins, ranking, scoring, transforms
 from lodestone.sources import files
 from lodestone.streaming import windows
 
@@ -64,6 +64,47 @@ def test_families_equal_plain_versions(spark, seed):
     assert families_of(families.leaders(nodes.orderBy(F.rand(4)), shuffled, ["place"])) == lead
 
 
+def test_long_chains_are_few_rounds(spark, monkeypatch):
+    names = list(range(300))
+    random.Random(5).shuffle(names)
+    tables, written = [], families.written
+    monkeypatch.setattr(families, "written", lambda df: tables.append(df) or written(df))
+    nodes = spark.createDataFrame([(n,) for n in range(301)], "node long")
+    pairs = spark.createDataFrame(list(zip(names, names[1:], strict=False)), "a long, b long")
+    assert families_of(families.components(nodes, pairs)) == {n: 0 for n in range(300)} | {300: 300}
+    assert len(tables) < 20
+
+
+def test_links_and_classes_stand_for_all_pairs(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice("uv"), rng.choice([rng.randint(900, 960) / 1.0, 900.0, 0.0, None])) for i in range(120)]
+    df = spark.createDataFrame(rows, "node long, b string, v double")
+    ab = lambda pairs: pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "difference")
+    near = {(r["a"], r["b"]): r["difference"] for r in ab(dedup.blocked_pairs(df, "b", "node", "v", 0.01)).collect()}
+    links = {(r["a"], r["b"]): r["difference"] for r in ab(dedup.linked_pairs(df, "b", "node", "v", 0.01)).collect()}
+
+    def joined(pairs: dict, within: float) -> dict[int, int]:
+        label = {r[0]: r[0] for r in rows}
+        for a, b in [p for p, d in pairs.items() if d <= within] * 120:
+            label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert links.items() <= near.items() and len(links) == 120 - len(set(joined(near, 0.01).values()))
+    assert all(joined(links, within) == joined(near, within) for within in (0.0005, 0.002, 0.01))
+    classes, between = dedup.blocked_classes(df, "b", "node", "v", 0.01)
+    nodes = spark.createDataFrame([(r[0], r[2]) for r in rows], "node long, v double")
+    between, firsts = ab(between).cache(), families.firsts(nodes, classes).cache()
+    assert firsts.count() < 100 and between.count() < len(near) / 2
+    lead, linked = {}, lambda a, b: (min(a, b), max(a, b)) in near
+    order = [r[0] for r in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0]))]
+    for n in order:
+        lead[n] = next((m for m in order if lead.get(m) == m and linked(m, n)), n)
+    found = families.leaders(firsts, between, ["v"]).cache()
+    assert families_of(families.of_classes(found, classes)) == lead
+    got = families.boundary_of_classes(between, found, classes)
+    assert sorted(map(tuple, got.select("a", "b", "family_a", "family_b").collect())) == sorted((a, b, lead[a], lead[b]) for a, b in near if lead[a] != lead[b])
+
+
 def test_a_triple_that_is_not_transitive(spark):
     nodes = spark.createDataFrame([(1,), (2,), (3,)], "node long")
     pairs = spark.createDataFrame([(1, 2, 0.1), (2, 3, 0.1)], PAIRS)
@@ -123,6 +164,15 @@ def test_nearest_equals_all_pairs(spark):
     assert {r["i"]: r["k"] for r in got} == want
 
 
+def test_nearest_reads_no_frame_anew(spark):
+    left = spark.range(3000).select(F.col("id").alias("i"), (500 + F.col("id") % 2).cast("double").alias("x"))
+    right = spark.createDataFrame([(1.0, 1), (2.0, 2)], "x double, k long")
+    got = joins.nearest(left, right, "x", "k")
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding$(), currentrow$()" in plan and "currentrow$(), unboundedfollowing$()" not in plan
+    assert got.where("k = 2").groupBy("gap").count().orderBy("gap").collect() == [(498.0, 1500), (499.0, 1500)]
+
+
 def test_checks(spark):
     df = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, None)], "rank long, v double")
     assert checks.consecutive_ranks(df, "rank")[1] and not checks.consecutive_ranks(df.where("rank <> 2"), "rank")[1]
