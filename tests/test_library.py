@@ -105,6 +105,20 @@ def test_links_and_classes_stand_for_all_pairs(spark):
     assert sorted(map(tuple, got.select("a", "b", "family_a", "family_b").collect())) == sorted((a, b, lead[a], lead[b]) for a, b in near if lead[a] != lead[b])
 
 
+def test_pairs_of_many_copies_are_not_sent(spark):
+    rows = [(i, 100.0 if i < 300 else 100.5 if i < 310 else None if i == 310 else 200.0 + i, "xy"[i % 2]) for i in range(330)] + [(None, 100.0, "x"), (0, 100.5, "y")]
+    df = spark.createDataFrame(rows, "id long, v double, kind string").withColumn("b", F.lit("b")).repartition(3)
+    got = dedup.blocked_pairs(df, "b", "id", "v", 0.01, ["kind"], digits=4)
+    want = []
+    for a, v, k in rows:
+        for b, w, m in rows:
+            if None not in (a, b, v, w) and a < b and abs(v - w) / max(v, w) <= 0.01:
+                want.append((a, b, k, m, round(abs(v - w) / max(v, w), 4)))
+    assert sorted(map(tuple, got.select("key_a", "key_b", "kind_a", "kind_b", "difference").collect())) == sorted(want)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("explode(ys") < min(plan.find(x) for x in ("Exchange", "Join") if x in plan)  # rows meet after the last join and shuffle
+
+
 def test_a_triple_that_is_not_transitive(spark):
     nodes = spark.createDataFrame([(1,), (2,), (3,)], "node long")
     pairs = spark.createDataFrame([(1, 2, 0.1), (2, 3, 0.1)], PAIRS)
