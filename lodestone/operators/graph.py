@@ -8,11 +8,22 @@ from pyspark.sql import functions as F
 from lodestone.sources.scratch import dropped, written
 
 
+#: Rows and pairs that a task of shared_neighbours() holds, about.
+TASK_ROWS = 1_000_000
+
+
 def shared_neighbours(edges: DataFrame, node: str, via: str) -> DataFrame:
-    """a, b and n_shared for pairs of nodes with a common ``via``. A pair needs one; nodes of a via meet, so its degree must be small."""
-    e = edges.select(node, via).distinct()
-    left, right = e.select(F.col(node).alias("a"), via), e.select(F.col(node).alias("b"), via)
-    return left.join(right, via).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared"))
+    """a, b and n_shared for pairs of nodes with a common ``via``. A pair needs one; nodes of a via meet, so its degree must be small.
+
+    Pairs are counted first, so that they are dealt to as many tasks as keep each one's part at ``TASK_ROWS``, however many there are. They
+    are not summed before they are dealt, as few repeat among one task's.
+    """
+    e = edges.select(node, via).where(F.col(node).isNotNull() & F.col(via).isNotNull())
+    rows, pairs = e.groupBy(via).agg(F.count(F.lit(1)).alias("d")).agg(F.sum("d"), F.sum(F.col("d") * (F.col("d") - 1) / 2)).first()
+    tasks = lambda n: min(int((n or 0) // TASK_ROWS) + 1, 20_000)
+    listed = e.repartition(max(tasks(rows), tasks(pairs)), via).groupBy(via).agg(F.collect_set(node).alias("all"))
+    left = listed.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a < b")
+    return left.repartition(tasks(pairs), "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
 def sharing_types(pairs: DataFrame) -> DataFrame:
@@ -40,20 +51,25 @@ def simple(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
+def _kept(table: DataFrame) -> DataFrame:
+    return table if hasattr(table, "_lodestone_scratch") else written(table)
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """x, y, z of each triangle of a table of simple edges.
 
     Every edge points to its end of higher degree (then of the greater name), so that a node of any degree has few edges from it: the pairs
-    that are looked up are at most the edges times the root of twice their number.
+    that are looked up are at most the edges times the root of twice their number. Each edge takes the list of its lower end to its upper end,
+    where what is in both lists closes a triangle: a shuffle of one row an edge, not one a pair.
     """
-    edges = written(edges)
+    edges = _kept(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
     of = lambda end: degree.select(F.col("n").alias(end), F.struct("d", "n").alias(f"{end}_rank"))
     ends = edges.join(of("a"), "a").join(of("b"), "b")
-    up = written(ends.select(F.least("a_rank", "b_rank").alias("s"), F.greatest("a_rank", "b_rank").alias("t")))
-    wedge = up.select("s", F.col("t").alias("t1")).join(up.select("s", F.col("t").alias("t2")), "s").where("t1 < t2")
-    closed = wedge.join(up.select(F.col("s").alias("t1"), F.col("t").alias("t2")), ["t1", "t2"])
-    return closed.select(F.col("s.n").alias("x"), F.col("t1.n").alias("y"), F.col("t2.n").alias("z"))
+    up = written(ends.select(F.least("a_rank", "b_rank")["n"].alias("s"), F.greatest("a_rank", "b_rank")["n"].alias("t")))
+    out = written(up.groupBy("s").agg(F.collect_list("t").alias("out")))
+    both = out.where(F.size("out") > 1).select(F.col("s").alias("x"), F.explode("out").alias("s"), F.col("out").alias("mine")).join(out, "s")
+    return both.select("x", F.col("s").alias("y"), F.explode(F.array_intersect("mine", "out")).alias("z"))
 
 
 def core_numbers(edges: DataFrame) -> DataFrame:
@@ -65,10 +81,11 @@ def core_numbers(edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").union(edges.select("b", "a")))
     state = written(both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("core")))
     while True:
-        seen = both.join(state.select(F.col("node").alias("b"), F.col("core").alias("c")), "b").groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"))
+        # a row a node, however small its file: without the hints it is broadcast through the driver in every round
+        seen = both.join(state.select(F.col("node").alias("b"), F.col("core").alias("c")).hint("shuffle_hash"), "b").groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"))
         above = F.sum("n").over(Window.partitionBy("a").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0))
         h = seen.withColumn("h", F.least(F.col("c"), above)).groupBy(F.col("a").alias("node")).agg(F.max("h").alias("h"))
-        new = written(state.join(h, "node").select("node", F.col("core").alias("old"), F.least("core", "h").alias("core")))
+        new = written(state.join(h.hint("shuffle_hash"), "node").select("node", F.col("core").alias("old"), F.least("core", "h").alias("core")))
         done = new.where("core < old").isEmpty()
         dropped(state)
         state = new
@@ -77,15 +94,22 @@ def core_numbers(edges: DataFrame) -> DataFrame:
             return state.select("node", "core")
 
 
-def node_metrics(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
-    """node, degree, triangles, clustering (share of the pairs of its neighbours that are linked; 0 below two) and core of all ``nodes``;
-    those without an edge have 0 throughout. ``edges`` are simple (a, b)."""
+def clustering(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
+    """node, degree, triangles and clustering (share of the pairs of its neighbours that are linked; 0 below two) of all ``nodes``; those
+    without an edge have 0 throughout. ``edges`` are simple (a, b)."""
+    edges = _kept(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias(node)).groupBy(node).agg(F.count(F.lit(1)).alias("degree"))
     closed = triangles(edges).select(F.explode(F.array("x", "y", "z")).alias(node)).groupBy(node).agg(F.count(F.lit(1)).alias("triangles"))
-    core = core_numbers(edges).select(F.col("node").alias(node), "core")
-    got = nodes.select(node).join(degree, node, "left").join(closed, node, "left").join(core, node, "left").na.fill(0)
+    got = nodes.select(node).join(degree, node, "left").join(closed, node, "left").na.fill(0)
     pairs = F.col("degree") * (F.col("degree") - 1) / 2
-    return got.select(node, "degree", "triangles", F.when(pairs > 0, F.col("triangles") / pairs).otherwise(0.0).alias("clustering"), "core")
+    return got.select(node, "degree", "triangles", F.when(pairs > 0, F.col("triangles") / pairs).otherwise(0.0).alias("clustering"))
+
+
+def node_metrics(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
+    """The columns of clustering() and core of all ``nodes``, 0 for those without an edge."""
+    edges = _kept(edges)
+    core = core_numbers(edges).select(F.col("node").alias(node), "core")
+    return clustering(nodes, edges, node).join(core, node, "left").na.fill(0, ["core"])
 
 
 def consensus_edges(edges: DataFrame, methods: int, how: str = "majority") -> DataFrame:
