@@ -29,9 +29,36 @@ def rows_of(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+#: Columns up to which moments() are plain aggregates.
+NARROW = 8
+
+
+def _narrow_moments(rows: DataFrame, width: int, complete: bool) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    x = [F.nanvl(F.col("x")[i], F.lit(None).cast("double")) for i in range(width)]
+    flat = rows.select(*[x[i].alias(f"x{i}") for i in range(width)])
+    means = flat.agg(F.lit(0), *[F.avg(f"x{i}") for i in range(width)]).first()[1:]
+    shift = np.array([0.0 if m is None else m for m in means])
+    moved = flat.where(F.lit(not complete) | F.forall(F.array(*flat.columns), lambda v: v.isNotNull())).select(*[(F.col(f"x{i}") - float(shift[i])).alias(f"x{i}") for i in range(width)])
+    sums, at = [], [(i, j) for i in range(width) for j in range(i, width)]
+    for i, j in at:
+        a, b = F.col(f"x{i}"), F.col(f"x{j}")
+        both = lambda v, w=b: F.sum(F.when(w.isNotNull(), v))
+        sums += [F.count(a * b), both(a), both(b, a), both(a * a), both(b * b, a), F.sum(a * b)]
+    told = [float(v or 0) for v in moved.agg(F.lit(0), *sums).first()[1:]]
+    out = {c: np.zeros((width, width)) for c in ("n", "sx", "sxx", "sxy")}
+    for k, (i, j) in enumerate(at):
+        n, a, b, aa, bb, ab = told[6 * k : 6 * k + 6]
+        for u, v, s, ss in ((i, j, a, aa), (j, i, b, bb)):
+            out["n"][u, v], out["sx"][u, v], out["sxx"][u, v], out["sxy"][u, v] = n, s, ss, ab
+    return shift, out
+
+
 def moments(rows: DataFrame, width: int, complete: bool = False) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Shifts of the columns of ``rows`` (x), and matrices over the rows where both columns are there: n, sum of the row's column (sx), of its
-    squares (sxx), and of products (sxy), all of shifted values. ``complete``: only rows where all columns are there count."""
+    squares (sxx), and of products (sxy), all of shifted values. ``complete``: only rows where all columns are there count. Tables of at most
+    ``NARROW`` columns are summed by Spark alone, without Python workers."""
+    if 0 < width <= NARROW:
+        return _narrow_moments(rows, width, complete)
 
     def first(batches: Iterator) -> Iterator:
         import pyarrow as pa
