@@ -47,6 +47,37 @@ def permuted(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def unpermuted(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
+    """The numbers that permuted() puts where ``numbers`` are."""
+    half = max(1, -(-max(n - 1, 1).bit_length() // 2))
+    low, shift = np.uint64((1 << half) - 1), np.uint64(half)
+    out, todo = numbers.astype(np.uint64), np.ones(len(numbers), bool)
+    while todo.any():
+        x = out[todo]
+        left, right = x >> shift, x & low
+        for i in reversed(range(4)):
+            salt = np.uint64((key * 4 + i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+            left, right = right ^ (_mixed(left + salt) & low), left
+        out[todo] = left << shift | right
+        todo = out >= n
+    return out.astype(np.int64)
+
+
+def sent_values(rows: DataFrame, n: int, width: int, repeats: int, seed: int = 0) -> DataFrame:
+    """number, key and v: for each of ``width * repeats`` permutations, as of permutations(), v is the entry ``key % width`` of the array x of
+    the row where the permutation puts ``number``; ``rows`` has number (0 .. n - 1) and x."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            at, x = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            for k in range(width * repeats):
+                yield pa.RecordBatch.from_arrays([pa.array(unpermuted(at, n, seed * 1_000_003 + k)), pa.array(np.full(len(at), k, np.int32)), pa.array(x[:, k % width])], ["number", "key", "v"])
+
+    return rows.select(F.col("number").cast("long").alias("number"), "x").mapInArrow(run, "number long, key int, v double")
+
+
 def permutations(rows: DataFrame, n: int, keys: int, seed: int = 0) -> DataFrame:
     """number, key and other: ``keys`` permutations of the column number of ``rows``, which holds 0 .. n - 1."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.cleaning import finite
 from lodestone.operators.gram import moments, numbers, rows_of
-from lodestone.operators.order import numbered, permutations
+from lodestone.operators.order import numbered, sent_values
 from lodestone.operators.transforms import exact_quantiles
 
 # --- mutual information
@@ -19,7 +19,7 @@ from lodestone.operators.transforms import exact_quantiles
 def quantile_cuts(df: DataFrame, columns: list[str], q: int) -> dict[str, list[float]]:
     """The inner quantiles of each column, without repeats; all columns in one table of (column, value)."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), finite(F.col(c)).alias("v")) for c in columns])).alias("x")).select("x.*")
-    found = {r["c"]: r["q"] for r in exact_quantiles(long, ["c"], "v", [i / q for i in range(q + 1)]).collect()}  # a row a column
+    found = {r["c"]: r["q"] for r in exact_quantiles(long, ["c"], "v", [i / q for i in range(q + 1)], few_groups=True).collect()}  # a row a column
     return {c: sorted(set(found[c]))[1:-1] if c in found else [] for c in columns}
 
 
@@ -115,14 +115,13 @@ def permutation_importance(df: DataFrame, id_: str, columns: list[str], target:
     """feature, importance (mean over ``repeats`` of how much R2 falls when the column is permuted) and std (population) of it.
 
     ``predict`` makes a prediction of the columns' values. Rows with a missing value do not count. All columns and repeats are one join:
-    each row meets, for each of them, the value of the row where a keyed permutation of the row numbers sends it.
+    each row meets, for each of them, the value of the row where a keyed permutation of the row numbers sends it. Values go to the rows that
+    meet them, by the inverse permutation, so they are sent once.
     """
     whole = df.select(F.col(id_).alias("id"), F.array(*[finite(F.col(c)) for c in columns]).alias("x"), finite(F.col(target)).alias("y"))
     rows = numbered(whole.where(~F.exists("x", lambda v: v.isNull()) & F.col("y").isNotNull()), [F.xxhash64("id"), F.col("id")])
     n, p = rows.count(), len(columns)
-    sent = permutations(rows, n, p * repeats, seed)
-    values = rows.select(F.col("number").alias("other"), F.posexplode("x").alias("column", "v"))
-    met = sent.withColumn("column", F.col("key") % p).join(values, ["other", "column"]).join(rows, "number")
+    met = sent_values(rows, n, p, repeats, seed).withColumn("column", F.col("key") % p).join(rows, "number")
     moved = [F.when(F.col("column") == i, F.col("v")).otherwise(F.col("x")[i]) for i in range(p)]
     lost = lambda guess: F.sum((F.col("y") - guess) ** 2)
     base = rows.agg(lost(predict([F.col("x")[i] for i in range(p)])).alias("base"), F.var_pop("y").alias("v"), F.count(F.lit(1)).alias("n"))
