@@ -108,17 +108,34 @@ def mostly_numbers(df: DataFrame, columns: list[str], share: float = 0.5) -> lis
 # --- ranks
 
 
+#: Distinct values of a column up to which average_ranks() sends its ranks to all tasks.
+FEW_VALUES = 50_000
+
+
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns as average ranks (ties share their mean), nulls as null.
 
     Ranks come from counts of distinct values: these are range-partitioned and summed partition by partition, so no task orders all rows.
-    All columns are one table of (row, column, value), which meets the ranks in one join.
+    Ranks of columns of at most ``FEW_VALUES`` values are broadcast, so that rows are not sent. The other columns are one table of (row,
+    column, value), which meets the ranks in one join.
     """
+    if not columns:
+        return df.select()
     rows = written(df.select(*[finite(F.col(c)).alias(c) for c in columns]).withColumn("row_", F.monotonically_increasing_id()))
-    long = rows.select("row_", F.posexplode(F.array(*columns)).alias("c", "v")).where("v IS NOT NULL")
-    ranks = value_places(long, ["c"], "v").select("g.c", F.col("value").alias("v"), (F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
-    wide = long.join(ranks, ["c", "v"]).groupBy("row_").agg(*[F.max(F.when(F.col("c") == i, F.col("rank"))).alias(c) for i, c in enumerate(columns)])
-    return rows.select("row_").join(wide, "row_", "left").select(*columns)
+    listed = lambda some: F.posexplode(F.array(*[F.when(F.lit(c in some), F.col(c)) for c in columns])).alias("c", "v")
+    ranks = value_places(rows.select(listed(columns)).where("v IS NOT NULL"), ["c"], "v")
+    ranks = written(ranks.select("g.c", F.col("value").alias("v"), (F.col("below") + (F.col("n") + 1) / 2).alias("rank")))
+    sizes = {r["c"]: r["n"] for r in ranks.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a column
+    many = [c for i, c in enumerate(columns) if sizes.get(i, 0) > FEW_VALUES]
+    out = rows
+    for i, c in enumerate(columns):
+        if c not in many:
+            out = out.join(F.broadcast(ranks.where(F.col("c") == i).select(F.col("v").alias(c), F.col("rank").alias(f"rank_{i}"))), c, "left")
+    if many:
+        long = rows.select("row_", listed(many)).where("v IS NOT NULL")
+        wide = long.join(ranks, ["c", "v"]).groupBy("row_").agg(*[F.max(F.when(F.col("c") == i, F.col("rank"))).alias(f"rank_{i}") for i, c in enumerate(columns) if c in many])
+        out = out.join(wide, "row_", "left")
+    return out.select(*[F.col(f"rank_{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def value_places(df: DataFrame, group: list[str], column: str, parts: int = 64) -> DataFrame:
@@ -144,13 +161,15 @@ def distinct_ranks(df: DataFrame, column: str, parts: int = 256) -> DataFrame:
     return got.select("value", "n", "below", (F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def exact_quantiles(df: DataFrame, group: list[str], column: str, qs: list[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, group: list[str], column: str, qs: list[float], few_groups: bool = False) -> DataFrame:
     """The group's columns and q, an array of the exact quantiles of its values, between neighbours in proportion; groups without values
     have no row.
 
     A sketch brackets each quantile, and a second pass counts what is below the bracket and the values in it, some thousandths of all. So
-    the input is read twice, and neither a large group nor a common value meets in one task.
+    the input is read twice, and neither a large group nor a common value meets in one task. Brackets of ``few_groups`` (columns of a
+    table, say) are broadcast, so that rows are not sent to their group.
     """
+    sent = F.broadcast if few_groups or not group else lambda told: told
     rows = df.where(F.col(column).isNotNull()).select((F.struct(*group) if group else F.lit(0)).alias("g"), F.col(column).alias("v"))
     edges = [min(max(q + side * 3 / SKETCH, 0.0), 1.0) for q in qs for side in (-1, 1)]
     found = rows.groupBy("g").agg(F.count(F.lit(1)).alias("all"), F.percentile_approx("v", edges, SKETCH).alias("e"))
@@ -160,7 +179,7 @@ def exact_quantiles(df: DataFrame, group: list[str], column: str, qs: list[float
     v = F.col("v")
     told = F.filter("w", lambda w: w["high"].isNull() | (v <= w["high"]))
     each = F.explode(F.transform(told, lambda w: F.struct(w["i"].alias("i"), F.when(w["low"].isNull() | (v >= w["low"]), v).alias("v"))))
-    met = rows.join(F.broadcast(wanted), "g") if not group else rows.join(wanted, "g")
+    met = rows.join(sent(wanted), "g")
     counts = met.select("g", each.alias("x")).groupBy("g", "x.i", "x.v").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("g", "i").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
     placed = counts.withColumn("upto", upto).where("v IS NOT NULL")
@@ -168,7 +187,7 @@ def exact_quantiles(df: DataFrame, group: list[str], column: str, qs: list[float
     x = (F.col("all") - 1) * quantile
     has = lambda k: (F.col("upto") - F.col("n") <= k) & (k < F.col("upto"))
     sizes = found.select("g", "all")
-    near = (placed.join(F.broadcast(sizes), "g") if not group else placed.join(sizes, "g")).withColumn("x", x).where(has(F.floor("x")) | has(F.ceil("x")))
+    near = placed.join(sent(sizes), "g").withColumn("x", x).where(has(F.floor("x")) | has(F.ceil("x")))
     ends = near.groupBy("g", "i", "x").agg(F.min("v").alias("a"), F.max("v").alias("b"))
     value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("x") - F.floor("x"))
     listed = ends.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", value.alias("v")))), lambda s: s["v"]).alias("q"))

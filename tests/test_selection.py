@@ -179,3 +179,34 @@ def test_portfolio_equals_a_loop_over_rows(spark):
                 count += 1
                 want.add((s.name, count, r[0]))
     assert {(r["section"], r["place"], r["i"]) for r in robustness.portfolio(df, "item", "g", sections, 2).collect()} == want
+
+
+def test_inverse_permutations_send_each_value_once():
+    for n in (1, 2, 3, 17, 500):
+        for key in (0, 7, 2 * 1_000_003 + 5):
+            assert order.unpermuted(order.permuted(np.arange(n), n, key), n, key).tolist() == list(range(n))
+
+
+def test_ranks_of_few_values_send_no_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i % 7), float(i), None if i % 5 else 2.0) for i in range(60)], "a double, b double, c double").repartition(3)
+    want = sorted(map(tuple, transforms.average_ranks(df, ["a", "b", "c"]).collect()), key=repr)
+    assert "Exchange" not in transforms.average_ranks(df, ["a", "b", "c"])._jdf.queryExecution().sparkPlan().toString().replace("BroadcastExchange", "")
+    assert "Aggregate" not in transforms.average_ranks(df, ["a", "b", "c"])._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(transforms, "FEW_VALUES", 10)  # b goes by rows
+    assert sorted(map(tuple, transforms.average_ranks(df, ["a", "b", "c"]).collect()), key=repr) == want
+
+
+def test_moments_of_narrow_tables_need_no_python(spark, monkeypatch):
+    from lodestone.operators import gram
+
+    x = RNG.normal(size=(200, 3)) + 1e6
+    df, names, _ = frame(spark, x)
+    rows, width = gram.numbers(df, names)
+    for complete in (False, True):
+        shift, got = gram._narrow_moments(rows, width, complete)
+        monkeypatch.setattr(gram, "NARROW", 0)
+        with_python = gram.moments(rows, width, complete)
+        monkeypatch.undo()
+        assert shift == pytest.approx(with_python[0])
+        for c, m in with_python[1].items():
+            assert got[c] == pytest.approx(m, abs=1e-4)
