@@ -8,6 +8,10 @@ results.
 from lodestone.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from lodestone.llm.common import cut, documents, fresh, spent
 
+#: Words whose ids a task of the packing remembers and characters it works on at once: fewer than in op10, as a worker keeps its words for
+#: as long as it lives, beside what the other stages need.
+REMEMBER, AT_ONCE = 100_000, 1 << 20
+
 
 def drop_toxic(spark, docs, sf_dir):
     """Without the rows that the lexicon, learned from ``labels``, predicts as toxic. An empty text is not toxic; ties are not possible."""
@@ -32,7 +36,7 @@ def mix_sources(spark, docs, sf_dir):
 def pack_sequences(spark, docs, sf_dir):
     """A row per piece of each text and its place in a sequence; sequences follow the mixed order, which files do not keep."""
     (order,) = fresh(docs.columns, "m_order")
-    return packing.pack(mixing.with_order(docs, order), "word_bpe_49k.json", order=order)
+    return packing.pack(mixing.with_order(docs, order), "word_bpe_49k.json", order=order, remember=REMEMBER, at_once=AT_ONCE)
 
 
 STAGES = [

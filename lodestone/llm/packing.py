@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import cut, documents, once, text_or_empty
 
 CAPACITY, END = 4096, 1
-#: Remembered words of a task, at most.
-REMEMBER = 400_000
+#: Remembered words of a task, at most, and characters that it works on at once.
+REMEMBER, AT_ONCE = 400_000, 1 << 22
 #: Buckets of a given order: about so many pieces each, at most so many buckets (what the driver holds).
 BUCKET_ROWS, MOST_BUCKETS = 64, 4096
 #: Python's split() takes these for white space and the tokenizer does not.
@@ -159,7 +159,7 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> dict[str, np.ndarray
     return dict(zip(("length", "rank", "bin", "per", "offset"), columns, strict=True))
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool, order: str | None = None) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool, order: str | None = None, remember: int = REMEMBER, at_once: int = AT_ONCE) -> DataFrame:
     """The pieces of each text, with the task that made them and the rank of each among the task's pieces of its length."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, shard int, nth long" + ", ids binary" * with_ids + f", {order} long" * bool(order)
@@ -171,13 +171,13 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_
 
         made, shard = np.zeros(capacity + 1, dtype=np.int64), TaskContext.get().partitionId()
         path, last = public_tokenizers.path(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        words = once(f"words {path}", lambda: WordIds(path))
+        words = once(f"words {path} {remember}", lambda: WordIds(path, remember))
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             at = 0
             while at < batch.num_rows:
                 part, chars = [], 0
-                while at + len(part) < batch.num_rows and chars < 1 << 22:
+                while at + len(part) < batch.num_rows and chars < at_once:
                     part.append(texts[at + len(part)].as_py())
                     chars += len(part[-1])
                 which, rows, blobs = [], [], []
@@ -222,16 +222,17 @@ def numbered(packed: DataFrame, order: str) -> DataFrame:
     return packed.join(new, "sequence_id").withColumn("sequence_id", F.col("new_id"))
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END, with_ids: bool = False, order: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END, with_ids: bool = False, order: str | None = None, remember: int = REMEMBER, at_once: int = AT_ONCE) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, the piece's ids as 32-bit bytes).
 
     A text's ids are the tokenizer's, without special tokens added, then ``end_id``; null and empty texts are that id alone. Only longer
     ones are cut, every ``capacity`` ids. Sequences are filled without gaps from offset 0. Rows are neither merged nor dropped (repeated
     doc_ids give their own pieces); an empty table gives an empty result; other columns are not read. With ``order``, a column of whole
     numbers from 0, pieces of one length are dealt out in that order and sequences are numbered by the earliest place of their pieces.
+    ``remember`` bounds the words whose ids a task remembers, ``at_once`` the characters it works on; the result depends on neither.
     """
     spark = docs.sparkSession
-    made = cut(pieces_of(docs, tokenizer, capacity, end_id, with_ids, order))
+    made = cut(pieces_of(docs, tokenizer, capacity, end_id, with_ids, order, remember, at_once))
     if order:
         by_order = Window.partitionBy("shard", "length").orderBy(order, "doc_id", "piece", "ids_crc32")
         made = in_buckets(made, order, "shard").withColumn("nth", (F.row_number().over(by_order) - 1).cast("long"))

@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 
 import corpus_pipeline
-from lodestone.llm import mixing, near_dedup, toxicity
+from lodestone.llm import mixing, near_dedup, packing, toxicity
 from tests.llm.test_tokens import check_packing
 
 FOLDER = "/root/testdata/sf0.001"
@@ -86,3 +86,12 @@ def test_stages_keep_columns_of_any_name(spark):
     rows = sorted(docs.collect())
     assert [tuple(r)[3:] for r in rows] == [("v1",) * len(names), ("v2",) * len(names)]
     assert sorted(r["doc_id"] for r in corpus_pipeline.pack_sequences(spark, docs, FOLDER).collect()) == [1, 3]
+
+
+def test_packing_remembers_fewer_words_in_the_pipeline(spark, monkeypatch):
+    docs, asked, pack = spark.read.parquet(f"{FOLDER}/documents.parquet"), {}, packing.pack
+    monkeypatch.setattr(packing, "pack", lambda *a, **b: asked.update(b) or pack(*a, **b | {"remember": 50, "at_once": 1000}))
+    got = corpus_pipeline.pack_sequences(spark, docs, FOLDER).collect()
+    assert asked["remember"] < packing.REMEMBER and asked["at_once"] < packing.AT_ONCE
+    monkeypatch.setattr(packing, "pack", pack)
+    assert sorted(got) == sorted(corpus_pipeline.pack_sequences(spark, docs, FOLDER).collect())
