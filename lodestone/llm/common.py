@@ -8,12 +8,13 @@ import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import settings
+
 #: What holds while a table is written: shuffle files go when the query ends, and Python gets few rows at a time, which may be long.
 WRITING = {"spark_sql_classic_shuffleDependency_fileCleanup_enabled": "true", "spark_sql_execution_arrow_maxRecordsPerBatch": "1000"}
 ODD, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -38,20 +39,6 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-@contextmanager
-def settings(spark: SparkSession, **values: str):
-    """Within it, these settings (with _ for .) hold."""
-    names = {k.replace("_", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to a Parquet table in the shared folder and read it back: lineage ends there and no column is computed twice.
 
