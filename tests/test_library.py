@@ -280,3 +280,19 @@ def test_streams(spark, tmp_path):
 def test_percentiles_without_a_reference(spark):
     df = spark.createDataFrame([(1, 2.0), (2, None)], "k long, v double")
     assert sorted(map(tuple, scoring.against_reference(df, "v", df.where("false"), "k").collect())) == [(1, 0.5, 1.0), (2, None, None)]
+
+
+@pytest.mark.parametrize("links", [50_000, 120])
+def test_chains_of_complete_links_are_few_rounds(spark, monkeypatch, links):
+    rng, n = random.Random(8), 90
+    pairs = {(i, i + 1): 0.5 - i / 1000 for i in range(60)}  # each is nearer to the next than to the one before
+    pairs |= {(i, j): rng.choice([0.1, 0.2, 0.3, rng.random()]) for i, j in combinations(range(61, n), 2) if j - i < 6}
+    if links == 120:
+        pairs |= {(60, j): 0.05 + j / 1000 for j in range(61, 2 * n)}  # more links than a task is to hold
+    tables, written = [], families.written
+    monkeypatch.setattr(families, "LINKS", links)
+    monkeypatch.setattr(families, "written", lambda df: tables.append(df) or written(df))
+    nodes = spark.createDataFrame([(i,) for i in range(2 * n)], "node long")
+    got = families_of(families.complete_link(nodes, spark.createDataFrame([(*p, d) for p, d in pairs.items()], PAIRS), "score", 0.6, order=["node"]))
+    assert got == plain_complete_link(range(2 * n), pairs, 0.6)
+    assert links == 120 or len(tables) < 10
