@@ -296,3 +296,19 @@ def test_chains_of_complete_links_are_few_rounds(spark, monkeypatch, links):
     got = families_of(families.complete_link(nodes, spark.createDataFrame([(*p, d) for p, d in pairs.items()], PAIRS), "score", 0.6, order=["node"]))
     assert got == plain_complete_link(range(2 * n), pairs, 0.6)
     assert links == 120 or len(tables) < 10
+
+
+def test_pairs_of_many_near_values_are_sent_once(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, rng.choice("uv"), round(100 + rng.randint(0, 300) / 100, 2)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, b string, v double")
+    want = {(a, c) for (a, b, v), (c, e, w) in permutations(rows, 2) if a < c and b == e and abs(v - w) / max(v, w) <= 0.01}
+    sent, plain = [], type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *a: sent.append(self) or plain(self, *a))
+    pairs = lambda: [tuple(r) for r in dedup.blocked_pairs(df, "b", "id", "v", 0.01).select("key_a", "key_b").collect()]
+    assert sorted(pairs()) == sorted(want)
+    told = lambda x: x.select(F.sum(F.size(F.split(F.to_json(F.struct("xs", "ys")), '"key"')) - 1)).first()[0]
+    assert told(sent[-1]) <= 8 * len(rows)  # a row meets some hundred other values
+    monkeypatch.setattr(dedup, "LISTED", 2)
+    monkeypatch.setattr(dedup, "PART", 50)
+    assert sorted(pairs()) == sorted(want)
